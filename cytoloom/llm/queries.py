@@ -89,3 +89,35 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import digest
 
     return digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op1_oracle() -> str:
+    from .quality_rules import oracle
+
+    return oracle()
+
+
+ORACLES["op1_quality_rules"] = _op1_oracle()
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def _op5_oracle() -> str:
+    from .license_scan import oracle
+
+    return oracle()
+
+
+ORACLES["op5_licenses"] = _op5_oracle()

@@ -121,3 +121,10 @@ def _op5_oracle() -> str:
 
 
 ORACLES["op5_licenses"] = _op5_oracle()
+
+
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar
+
+    return similar(table(spark, sf_dir, "documents"), 4, 85, 100)

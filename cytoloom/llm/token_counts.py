@@ -126,8 +126,8 @@ class PieceCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         pieces = [self.split(" " + t.replace("▁", " ")) if t else [] for t in texts]
-        new = set().union(*pieces)
-        new.difference_update(self.known)
+        known = self.known
+        new = {x for x in set().union(*pieces) if x not in known}
         extra: dict[str, int] = {}
         if new:
             self._learn(sorted(new), extra)
@@ -135,7 +135,6 @@ class PieceCounter:
             for w in list(extra)[: max(0, room)]:
                 if len(w) <= 40:
                     self.known[w] = extra.pop(w)
-        known = self.known
         if not extra:
             return [sum(map(known.__getitem__, p)) for p in pieces]
         return [sum(known[w] if w in known else extra[w] for w in p) for p in pieces]

@@ -41,17 +41,37 @@ class CachedTokenizer:
         self.lower = self.model.normalizer is not None
         self.split = (_WORD_SPLIT if self.lower else _BYTE_SPLIT).findall
         self.limit, self.known = limit, {}
+        names = self.model.get_vocab()
+        self.size = np.zeros(max(names.values(), default=0) + 1, np.int64)  # letters of each token; a byte is one
+        self.last = np.zeros(len(self.size), bool)
+        for name, i in names.items():
+            self.size[i], self.last[i] = len(name), name.endswith("</w>")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
+        if not self.lower:
+            odd = [x for x in new if not (x[0] == " " and x[1:].isalpha())]
+            for at in range(0, len(odd), 20_000):
+                part = odd[at : at + 20_000]
+                e = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
+                self._cut(part, e.ids, np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)), into)
+            new = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        # Pieces that split again the same way when joined are encoded as one text.
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            e = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(e.ids, "<u4").tobytes()
-            cut = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * 4
-            into.update(zip(part, (raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), strict=True))
+            ids = self.model.encode_batch_fast([(" " if self.lower else "").join(part)], add_special_tokens=False)[0].ids
+            if self.lower:
+                ends = np.flatnonzero(self.last[ids]) + 1
+            else:
+                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
+            self._cut(part, ids, np.r_[0, ends], into)
+
+    @staticmethod
+    def _cut(part: list[str], ids: list[int], at: np.ndarray, into: dict[str, bytes]) -> None:
+        raw, cut = np.array(ids, "<u4").tobytes(), (at * 4).tolist()
+        into.update(zip(part, (raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, split = self.known, self.split
@@ -65,7 +85,7 @@ class CachedTokenizer:
             pieces = split(text.lower() if self.lower else text)
             new.update(pieces)
             plain.append((i, pieces))
-        new.difference_update(known)
+        new = {x for x in new if x not in known}
         here = known
         if new:
             extra: dict[str, bytes] = {}

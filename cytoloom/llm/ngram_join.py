@@ -69,7 +69,7 @@ class Restriction:
             self.bits *= 2
         if 4 * n <= self.bits:
             at = F.pmod(F.xxhash64(ids.columns[0]), F.lit(self.bits))
-            words = ids.select(at.alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("x", F.lit(32)).cast("int"))).alias("b")).toArrow()
+            words = ids.select(at.alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x % 32 AS int)))").alias("b")).toArrow()
             table = np.zeros(self.bits // 32, np.uint32)
             table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
             self.data = ids.sparkSession.sparkContext.broadcast(table)
@@ -341,6 +341,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     n_ask = ask.count()
     b = F.pmod(F.xxhash64("family", "chunk", "salt"), F.lit(_buckets(n_ask, 2000)))
     ask = ask.join(per, ["family", "chunk"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(sets.select("node", "tokens"), "node").withColumn("bucket", b)
+    sets, per = (x.toDF(*x.columns) for x in (sets, per))  # new column ids: both sides of the cogroup have these tables
     members = label.select("node", "component", "family", "chunk").join(per, ["family", "chunk"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(sets.select("node", "tokens"), "node").withColumn("bucket", b)
     outer = ask.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInArrow(_open(num, den), "a long, b long")
 

@@ -143,9 +143,6 @@ def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~fired).drop("stratum", *(f"cut_{r}" for r in RULES))
 
 
-NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bang", "n_lines", "base_failed")
-
-
 def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Per document of (doc_id, text, lang): the measures, base_failed and kept.
 
@@ -159,12 +156,12 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; the texts are measured twice, never shuffled."""
-    named = [c for c in docs.columns if c not in NAMES]
     stats = written(measured(docs.select("doc_id", "lang", "text")).drop("text"), "quality")
     cuts = cutoffs(calibrate(stats, labels.select("doc_id", "quality"), alpha, delta))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = measured(docs.select("lang", "text", whole))
-    return judged(rows, cuts).where("kept").select("_row.*") if named else docs
+    # A filter would be pushed below the measures and repeat them in its predicate; a generator is not.
+    return judged(rows, cuts).select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
 
 
 ORACLE = r"""

@@ -128,3 +128,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar
 
     return similar(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify, grades_of
+
+    return classify(table(spark, sf_dir, "documents"), grades_of(table(spark, sf_dir, "labels")))

@@ -3,11 +3,12 @@
 1. Documents with equal shingle sets become one node (its smallest id).
 2. Every token's document frequency is found once, over the nodes, from packed arrays shuffled by token. A
    document can have a partner only if ceil(t n) of its n tokens occur elsewhere; only such *active* documents
-   go on. Of their tokens, ordered by frequency, any partner shares one of the first n - ceil(t n) + 1.
+   go on. With tokens ordered by frequency, two partners share one of the first n - ceil(t n) + 1 of the larger
+   and of the first n - ceil(2 t n / (1 + t)) + 1 of the smaller.
 3. Active documents are partitioned into groups of similar ones (by the minimum hash of their shared tokens),
    at most ``GROUP`` in each. Links inside a group are settled by one matrix product.
 4. A document is a query to another group when the token-group matrix has one of its prefix tokens in that
-   group's row and they are not yet in one component. The group's token union bounds the overlap with any
+   group's row (from documents that may be the smaller partner) and they are not yet in one component. The group's token union bounds the overlap with any
    member; only groups whose bound reaches ceil(t n) are opened and compared member by member.
 5. Components of all links.
 
@@ -177,11 +178,12 @@ def _frequent(rows: DataFrame, may, n_slices: int, k: int, num: int, den: int) -
         who = np.flatnonzero(good)
         cut = np.searchsorted(row, np.r_[who, len(ids)])
         lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(key)))
-        return pa.table({"node": pa.array(ids[who]), "n": pa.array(n[who]), "family": pa.array(signed(least[who])), "prefix": lists})
+        short = np.maximum(shared - needed(2 * n, num, num + den) + 1, 0)
+        return pa.table({"node": pa.array(ids[who]), "n": pa.array(n[who]), "family": pa.array(signed(least[who])), "short": pa.array(short[who].astype(np.int32)), "prefix": lists})
 
     packed = rows.mapInArrow(emit, "slice long, batch long, rows binary, tokens binary")
     shared = packed.groupBy("slice").applyInArrow(count, "batch long, rows binary, tokens binary")
-    return shared.groupBy("batch").applyInArrow(active, "node long, n long, family long, prefix array<long>")
+    return shared.groupBy("batch").applyInArrow(active, "node long, n long, family long, short int, prefix array<long>")
 
 
 def _sets(rows: DataFrame, may, k: int) -> DataFrame:
@@ -278,7 +280,7 @@ def _open(num: int, den: int):
                 if comp[i] in done:
                     continue
                 other = sets[i]
-                if len(other) * num > len(mine) * den or len(other) * den < len(mine) * num:
+                if len(other) > len(mine) or len(other) * den < len(mine) * num:
                     continue
                 if linked(len(other.intersection(here)), len(mine), len(other), num, den):
                     a_out.append(a)
@@ -328,12 +330,12 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     label = written(_chunks(label, "family").drop("_m"), "labels")
 
     # Queries to other groups, by the prefix tokens that more than one component has.
-    cells = label.select("node", "n", "component", "family", "chunk", F.explode("prefix").alias("token"))
+    cells = label.select("node", "n", "component", "family", "chunk", "short", F.posexplode("prefix").alias("place", "token"))
     mixed = cells.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     cells = written(cells.join(mixed, "token"), "cells")
-    matrix = cells.groupBy("token", "family", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    matrix = cells.where("place < short").groupBy("token", "family", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
     ask = cells.select("token", "node", "n", "component").alias("q").join(matrix.alias("g"), "token")
-    fits = (F.col("n_hi") * den >= F.col("q.n") * num) & (F.col("n_lo") * num <= F.col("q.n") * den)
+    fits = (F.col("n_hi") * den >= F.col("q.n") * num) & (F.col("n_lo") <= F.col("q.n"))
     other = ~((F.col("g.lo") == F.col("q.component")) & (F.col("g.hi") == F.col("q.component")))
     ask = ask.where(fits & other).select("q.node", "q.component", "g.family", "g.chunk").distinct()
     ask = written(ask, "queries")

@@ -46,7 +46,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
     bare = F.translate("_t", SPACE, "")
-    rows = rows.withColumn("_s", F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM _t)"))
+    rows = rows.withColumn("_s", F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM _t)"))
     rows = rows.withColumn("_w", F.when(F.col("_s") != "", F.split("_s", r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACE, "") != "")
     rows = rows.withColumn("_l", lines)

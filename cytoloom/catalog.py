@@ -1,8 +1,501 @@
-"""Named queries over the test tables and their DuckDB counterparts."""
+"""Named queries over the test tables and their DuckDB counterparts.
+
+``embeddings`` stands in for both sets: even vec_id are reference cells, odd ones query cells, label is the
+reference's cluster. ``lineitem`` gives sizes, blanks, places and counts. Doubles are rounded to 6 digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.distributions import normal_cdf
+from .operators import anchors as A
+from .operators import annotate, cca, clean, cluster, correct, gates, knn, transfer
+from .params import Params
+from .plans import integration
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+K, K_ANCHOR, K_FILTER, K_SCORE, K_WEIGHT = 20, 10, 30, 20, 25
+NB = (("A", 4.0, 20.0), ("N", 6.0, 30.0), ("R", 2.5, 25.0))
+GATES: list[gates.Gate] = [(0, 0.1), (3, 0.05), ((1, 2), (0.4, 0.3))]
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _cells(spark: SparkSession, sf_dir: str, side: int | None = None) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    if side is not None:
+        rows = rows.where(F.col("vec_id") % 2 == side)
+    return rows.select(F.floor(F.col("vec_id") / (1 if side is None else 2)).alias("ord"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+def _ref(spark, sf_dir):
+    return _cells(spark, sf_dir, 0)
+
+
+def _query(spark, sf_dir):
+    return _cells(spark, sf_dir, 1)
+
+
+def _long(cells: DataFrame, key: str = "ord") -> DataFrame:
+    return cells.select(key, F.posexplode("v").alias("feature", "x")).select(key, "feature", F.round("x", 6).alias("value"))
+
+
+# ------------------------------------------------------------------ SQL pieces
+
+_E = """e AS (SELECT vec_id, vec_id % 2 AS side, vec_id // 2 AS ord, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+c AS (SELECT *, list_avg(v) AS m FROM e), d AS (SELECT *, list_transform(v, lambda x: x - m) AS u FROM c),
+z AS (SELECT side, ord, label, v, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS z FROM d)"""
+
+
+def _sql_knn(name: str, src: int, dst: int, k: int | str, metric: str = "correlation", where: str = "") -> str:
+    dist = "1 - list_dot_product(a.z, b.z)" if metric == "correlation" else "list_distance(a.v, b.v)"
+    return f"""{name} AS (SELECT src, dst, rank, dist FROM (SELECT a.ord AS src, b.ord AS dst, round({dist}, 12) AS dist,
+  row_number() OVER (PARTITION BY a.ord ORDER BY round({dist}, 12), b.ord) AS rank FROM z a, z b WHERE a.side = {src} AND b.side = {dst} {where}) WHERE rank <= {k})"""
+
+
+_NN = ", ".join([_E, _sql_knn("rr", 0, 0, K + 1), _sql_knn("qq", 1, 1, K + 1, "euclidean"), _sql_knn("rq", 0, 1, K, "euclidean"), _sql_knn("qr", 1, 0, K, "euclidean")])
+_MUTUAL = f"{_NN}, mu AS (SELECT rq.src AS cellr, rq.dst AS cellq FROM rq JOIN qr ON rq.src = qr.dst AND rq.dst = qr.src WHERE rq.rank <= {K_ANCHOR} AND qr.rank <= {K_ANCHOR})"
+_FILTER = ", ".join([_MUTUAL, _sql_knn("f1", 0, 1, K_FILTER), _sql_knn("f2", 1, 0, K_FILTER), "an AS (SELECT * FROM mu WHERE (cellr, cellq) IN (SELECT (src, dst) FROM f1 UNION SELECT (dst, src) FROM f2))"])
+_SCORE = f"""{_FILTER}, nb AS (SELECT 'r' AS own, src, 'r' AS side, dst FROM rr WHERE rank <= {K_SCORE} UNION ALL SELECT 'r', src, 'q', dst FROM rq WHERE rank <= {K_SCORE}
+  UNION ALL SELECT 'q', src, 'r', dst FROM qr WHERE rank <= {K_SCORE} UNION ALL SELECT 'q', src, 'q', dst FROM qq WHERE rank <= {K_SCORE}),
+sh AS (SELECT cellr, cellq, count(*) AS shared FROM an JOIN nb a ON a.own = 'r' AND a.src = cellr JOIN nb b ON b.own = 'q' AND b.src = cellq AND b.side = a.side AND b.dst = a.dst GROUP BY ALL),
+qt AS (SELECT quantile_cont(shared, 0.01) AS lo, quantile_cont(shared, 0.9) AS hi FROM sh),
+sc AS (SELECT cellr, cellq, CASE WHEN hi = lo THEN 1.0 ELSE greatest(0, least(1, (shared - lo) / (hi - lo))) END AS score FROM sh, qt)"""
+_WEIGHT = f"""{_SCORE}, pt AS (SELECT (cellq << 31) + cellr AS anchor_id, cellr, cellq, score, z, v FROM sc JOIN z ON z.side = 1 AND z.ord = cellq),
+nw AS (SELECT src AS cellq, anchor_id, score, dist, max(dist) OVER (PARTITION BY src) AS dk, rank, max(rank) OVER (PARTITION BY src) AS n FROM (SELECT a.ord AS src, anchor_id, score, round(1 - list_dot_product(a.z, pt.z), 12) AS dist,
+  row_number() OVER (PARTITION BY a.ord ORDER BY round(1 - list_dot_product(a.z, pt.z), 12), anchor_id) AS rank FROM z a, pt WHERE a.side = 1) WHERE rank <= {K_WEIGHT}),
+uw AS (SELECT cellq, anchor_id, 1 - exp(-(1 - CASE WHEN dk < 1e-12 THEN CASE WHEN rank = n THEN 1 ELSE 0 END ELSE dist / dk END) * score / 4) AS u FROM nw),
+tw AS (SELECT *, sum(u) OVER (PARTITION BY cellq) AS t, row_number() OVER (PARTITION BY cellq ORDER BY anchor_id) AS f FROM uw),
+wt AS (SELECT cellq, anchor_id, CASE WHEN t = 0 THEN 'nan'::DOUBLE ELSE u / t END AS w FROM tw WHERE u > 0 OR (t = 0 AND f = 1))"""
+_AUTO = "(SELECT greatest(1, CASE WHEN count(*) < 1000 THEN count(*) * 2 // 100 ELSE count(*) * 2 // 1000 END) FROM z WHERE side = 1)"
+_TRANSFER = f"""{_E}, {_sql_knn("kn", 1, 0, _AUTO)},
+tw AS (SELECT src, dst, dist, exp(-dist / 0.1) / sum(exp(-dist / 0.1)) OVER (PARTITION BY src) AS w FROM kn)"""
+_LABEL = f"""{_TRANSFER}, tl AS (SELECT src, label, s FROM (SELECT src, label, sum(w) AS s FROM tw JOIN z ON side = 0 AND ord = dst GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, label) = 1),
+mk AS (SELECT src, avg(dist) AS mean_dist, avg(dist) < 0.5 AS keep FROM tw GROUP BY src)"""
+_TRUTH = f"{_LABEL}, tt AS (SELECT q.label::VARCHAR AS truth, tl.label::VARCHAR AS label FROM tl JOIN z q ON q.side = 1 AND q.ord = tl.src)"
+
+
+# ------------------------------------------------------------------ neighbours and anchors
+
+
+@query(f"WITH {_E}, {_sql_knn('k', 1, 0, 80)} SELECT src, dst, rank, round(dist, 6) AS dist FROM k")
+def corr_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn(_query(spark, sf_dir), _ref(spark, sf_dir), 80).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {_E}, {_sql_knn('k', 1, 0, 80, 'euclidean')} SELECT src, dst, rank, round(dist, 6) AS dist FROM k")
+def euclid_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn(_query(spark, sf_dir), _ref(spark, sf_dir), 80, "euclidean").withColumn("dist", F.round("dist", 6))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = _ref(spark, sf_dir)
+    return knn.four_way(ref, _query(spark, sf_dir), ref, K)
+
+
+@query(f"WITH {_NN} SELECT 'rr' AS kind, src, dst, rank, round(dist, 6) AS dist FROM rr UNION ALL SELECT 'qq', src, dst, rank, round(dist, 6) FROM qq UNION ALL SELECT 'rq', src, dst, rank, round(dist, 6) FROM rq UNION ALL SELECT 'qr', src, dst, rank, round(dist, 6) FROM qr")
+def four_way_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {_NN}, n AS (SELECT count(*) AS r FROM z WHERE side = 0) SELECT src AS i, dst + r AS j FROM rq, n")
+def neighbour_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = _ref(spark, sf_dir)
+    return knn.indicator(_neighbours(spark, sf_dir).where("kind = 'rq'"), 0, ref.count())
+
+
+@query(f"WITH {_MUTUAL} SELECT cellr, cellq FROM mu")
+def mutual_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.mutual(_neighbours(spark, sf_dir), K_ANCHOR)
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.filtered(mutual_nn(spark, sf_dir), _ref(spark, sf_dir), _query(spark, sf_dir), K_FILTER)
+
+
+@query(f"WITH {_FILTER} SELECT cellr, cellq FROM an")
+def filter_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchors(spark, sf_dir)
+
+
+@query(f"WITH {_SCORE} SELECT cellr, cellq, shared FROM sh")
+def score_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.shared_counts(_neighbours(spark, sf_dir), _anchors(spark, sf_dir), K_SCORE)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.scored(_neighbours(spark, sf_dir), _anchors(spark, sf_dir), K_SCORE)
+
+
+@query(f"WITH {_SCORE} SELECT cellr, cellq, round(score, 6) AS score FROM sc")
+def score_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+# ------------------------------------------------------------------ correction
+
+
+@query(f"WITH {_SCORE} SELECT cellr, cellq, j - 1 AS feature, round(q.v[j] - r.v[j], 6) AS value FROM sc JOIN z q ON q.side = 1 AND q.ord = cellq JOIN z r ON r.side = 0 AND r.ord = cellr, range(1, 65) t(j)")
+def integration_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = correct.differences(_scored(spark, sf_dir).select("cellr", "cellq"), _ref(spark, sf_dir), _query(spark, sf_dir))
+    return rows.select("cellr", "cellq", F.posexplode("dv").alias("feature", "x")).select("cellr", "cellq", "feature", F.round("x", 6).alias("value"))
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = correct.numbered(_scored(spark, sf_dir)).cache()
+    return found, correct.anchor_weights(found, _query(spark, sf_dir), K_WEIGHT)
+
+
+@query(f"WITH {_WEIGHT} SELECT cellq, anchor_id, round(w, 6) AS w FROM wt")
+def anchor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weights(spark, sf_dir)[1].withColumn("w", F.round("w", 6))
+
+
+@query(f"""WITH {_WEIGHT}, dv AS (SELECT cellq, j, sum(w * (p.v[j] - r.v[j])) AS s FROM wt JOIN (SELECT anchor_id, cellr, v FROM pt) p USING (anchor_id) JOIN z r ON r.side = 0 AND r.ord = p.cellr, range(1, 65) t(j) GROUP BY ALL)
+SELECT ord, i - 1 AS feature, round(v[i] - coalesce(s, 0), 6) AS value FROM (SELECT ord, v, i FROM z, range(1, 65) t(i) WHERE side = 1) LEFT JOIN dv ON dv.cellq = ord AND dv.j = i""")
+def corrected_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, q = _ref(spark, sf_dir), _query(spark, sf_dir)
+    found, w = _weights(spark, sf_dir)
+    diffs = found.select("anchor_id", "cellr", "cellq").join(correct.differences(found.select("cellr", "cellq"), ref, q), ["cellr", "cellq"])
+    return _long(correct.corrected(q, w, diffs.select("anchor_id", "dv")))
+
+
+# ------------------------------------------------------------------ transfer
+
+
+def _transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transfer.transfer_weights(_query(spark, sf_dir), _ref(spark, sf_dir))
+
+
+@query(f"WITH {_TRANSFER} SELECT src, dst, round(w, 6) AS w FROM tw")
+def transfer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _transfer(spark, sf_dir).select("src", "dst", F.round("w", 6).alias("w"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transfer.transfer_labels(_transfer(spark, sf_dir), _ref(spark, sf_dir).select("ord", "label"))
+
+
+@query(f"WITH {_LABEL} SELECT src, label::VARCHAR AS label, round(s, 6) AS score FROM tl")
+def transfer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_LABEL} SELECT src, round(mean_dist, 6) AS mean_dist, keep FROM mk")
+def query_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transfer.query_mask(_transfer(spark, sf_dir)).withColumn("mean_dist", F.round("mean_dist", 6))
+
+
+@query(f"WITH {_LABEL} SELECT src, CASE WHEN keep THEN label::VARCHAR ELSE 'Not Assigned' END AS label, round(mean_dist, 6) AS mean_dist, keep FROM tl JOIN mk USING (src)")
+def masked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _transfer(spark, sf_dir).cache()
+    rows = transfer.masked_labels(transfer.transfer_labels(w, _ref(spark, sf_dir).select("ord", "label")), transfer.query_mask(w))
+    return rows.withColumn("mean_dist", F.round("mean_dist", 6))
+
+
+@query(f"WITH {_LABEL} SELECT ord FROM z WHERE side = 1 AND ord IN (SELECT src FROM mk WHERE keep)")
+def discard_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transfer.discard(_query(spark, sf_dir), transfer.query_mask(_transfer(spark, sf_dir))).select("ord")
+
+
+# ------------------------------------------------------------------ canonical correlation
+
+
+@query(f"WITH {_E} SELECT vec_id AS ord, i - 1 AS feature, round(u[i] / sqrt(list_dot_product(u, u) / 63), 6) AS value FROM d, range(1, 65) t(i)")
+def cell_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(cca.standardized(_cells(spark, sf_dir)))
+
+
+@query(f"WITH {_E}, s AS (SELECT list_transform(u, lambda x: x / sqrt(list_dot_product(u, u) / 63)) AS s FROM d WHERE side = 0) SELECT a.i - 1 AS i, b.j - 1 AS j, round(sum(s[a.i] * s[b.j]), 6) AS g FROM s, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL")
+def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = cca.gram(_ref(spark, sf_dir))
+    return spark.createDataFrame([(i, j, round(float(g[i, j]), 6)) for i in range(len(g)) for j in range(len(g))], "i long, j long, g double")
+
+
+@query()
+def cca_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, q, _ = cca.cca(_ref(spark, sf_dir), _query(spark, sf_dir), 63)
+    both = r.select(F.lit("ref").alias("side"), "ord", "v").unionByName(q.select(F.lit("query").alias("side"), "ord", "v"))
+    return both.select("side", "ord", F.posexplode("v").alias("component", "x")).select("side", "ord", "component", F.round("x", 6).alias("value"))
+
+
+@query()
+def pca_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(cca.pca(_cells(spark, sf_dir), 2))
+
+
+# ------------------------------------------------------------------ gates and projections
+
+
+def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), (F.col("l_quantity") * 1000).alias("y"), F.col("l_linenumber").cast("double").alias("z"), (F.col("l_quantity") * 500).alias("size"), F.array("l_discount", "l_tax").alias("blanks"))
+
+
+_SPOT = "s AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS x, l_quantity * 1000 AS y, l_linenumber::DOUBLE AS z, l_quantity * 500 AS size, l_discount AS b1, l_tax AS b2 FROM lineitem)"
+
+
+@query(f"WITH {_SPOT} SELECT l_orderkey, l_linenumber FROM s WHERE x < 40000 AND y < 40000")
+def border_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.border_filter(_spots(spark, sf_dir), 40000).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {_SPOT}, m AS (SELECT min(x) AS mx, min(y) AS my FROM s) SELECT l_orderkey, l_linenumber, round((x - (mx - 1)) * 188, 4) AS x, round((y - (my - 1)) * 188, 4) AS y, z * 900 AS z FROM s, m")
+def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gates.unit_convert(_spots(spark, sf_dir))
+    return rows.select("l_orderkey", "l_linenumber", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "z")
+
+
+@query(f"WITH {_SPOT} SELECT l_orderkey, l_linenumber FROM s WHERE (b1 >= 0.04 OR b2 >= 0.06) AND b1 <= 0.09 AND b2 <= 0.07 AND size BETWEEN 1000 AND 22000")
+def blank_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.blank_size_gate(_spots(spark, sf_dir), (1000, 22000), (0.04, 0.06), (0.09, 0.07)).select("l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH {_SPOT}, q AS (SELECT quantile_cont(b1, 0.002) AS l1, quantile_cont(b1, 0.995) AS h1, quantile_cont(b2, 0.002) AS l2, quantile_cont(b2, 0.995) AS h2, quantile_cont(size, 0.025) AS lo, quantile_cont(size, 0.99) AS hi FROM s)
+SELECT l_orderkey, l_linenumber FROM s, q WHERE (b1 >= l1 OR b2 >= l2) AND b1 <= h1 AND b2 <= h2 AND size BETWEEN lo AND hi""")
+def quantile_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.blank_size_gate(_spots(spark, sf_dir), None, None, None).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT vec_id AS ord, label FROM embeddings WHERE vec_id < 100")
+def take_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.take_subset(_cells(spark, sf_dir), 100).select("ord", "label")
+
+
+_TOPS = ", ".join(f"row_number() OVER (ORDER BY v[{f + 1}] DESC, vec_id) <= floor({t} * count(*) OVER ()) AS g{f}" for f, t in ((0, 0.1), (3, 0.05), (1, 0.4), (2, 0.3)))
+
+
+@query(f"WITH {_E}, g AS (SELECT vec_id, {_TOPS} FROM e) SELECT vec_id AS ord, CASE WHEN g1 AND g2 THEN 3 WHEN g3 THEN 2 WHEN g0 THEN 1 ELSE -1 END AS cluster FROM g")
+def marker_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.marker_gate(_cells(spark, sf_dir), GATES)
+
+
+@query("SELECT vec_id AS ord FROM embeddings WHERE len(list_filter(embedding, lambda x: isnan(x))) = 0")
+def drop_nan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.drop_nan(_cells(spark, sf_dir)).select("ord")
+
+
+@query(f"WITH {_E} SELECT vec_id AS ord, round(v[6], 6) AS a, round(v[2], 6) AS b FROM e")
+def select_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = [f"m{i}" for i in range(64)]
+    rows = gates.select_panel(_cells(spark, sf_dir), panel, gates.common_panel(["m5", "x", "m1"], panel))
+    return rows.select("ord", F.round(F.get("v", F.lit(0)), 6).alias("a"), F.round(F.get("v", F.lit(1)), 6).alias("b"))
+
+
+# ------------------------------------------------------------------ cleaning
+
+
+@query(f"""WITH {_E}, m AS (SELECT min(list_min(v)) AS lo FROM e), s AS (SELECT vec_id, list_transform(v, lambda x: x - (SELECT lo FROM m)) AS v FROM e), t AS (SELECT *, list_sum(v) AS t FROM s), a AS (SELECT avg(t) AS a FROM t)
+SELECT vec_id AS ord, i - 1 AS feature, round(CASE WHEN t <> 0 THEN v[i] / t * a ELSE v[i] END, 6) AS value FROM t, a, range(1, 65) r(i)""".replace("list_transform(v, lambda x: x - (SELECT lo FROM m)) AS v FROM e", "list_transform(v, lambda x: x - lo) AS v FROM e, m"))
+def total_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(clean.total_normalize(_cells(spark, sf_dir)))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS v FROM embeddings), s AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS v FROM e WHERE list_sum(v) <> 0),
+l AS (SELECT vec_id, i, v[i] AS x FROM s, range(1, 65) r(i)), h AS (SELECT i, min(x) AS lo, max(x) AS hi FROM l GROUP BY i)
+SELECT vec_id AS ord, i - 1 AS feature, round(CASE WHEN hi = lo THEN 0 ELSE (x - lo) / (hi - lo) END, 6) AS value FROM l JOIN h USING (i)""")
+def ref_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(clean.reference_normalize(_cells(spark, sf_dir).withColumn("v", F.transform("v", lambda x: F.abs(x)))))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("feature"), F.col("l_quantity").alias("value"))
+
+
+_PMF = """c AS (SELECT l_returnflag AS feature, l_quantity::BIGINT AS value, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT feature, max(value) AS hi, sum(n) AS total FROM c GROUP BY 1),
+g AS (SELECT feature, total, unnest(range(0, hi + 1)) AS value FROM t), p AS (SELECT feature, value, coalesce(n, 0)::BIGINT AS n, coalesce(n, 0) / total AS p FROM g LEFT JOIN c USING (feature, value))"""
+
+
+@query(f"WITH {_PMF} SELECT feature, value, n, round(p, 6) AS p FROM p")
+def nb_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.count_pmf(_counts(spark, sf_dir)).withColumn("p", F.round("p", 6))
+
+
+@query(f"""WITH {_PMF}, f(feature, size, mean) AS (VALUES {", ".join(f"('{a}', {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in NB)})
+SELECT feature, value, round(least(1, sum(exp(lgamma(value + size) - lgamma(value + 1) - lgamma(size) + size * ln(size / (size + mean)) + value * ln(mean / (size + mean)))) OVER (PARTITION BY feature ORDER BY value)), 6) AS cdf FROM p JOIN f USING (feature)""")
+def nb_cdf_fixed_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = spark.createDataFrame(list(NB), "feature string, size double, mean double")
+    return clean.nb_cdf_table(clean.count_pmf(_counts(spark, sf_dir)), fits).withColumn("cdf", F.round("cdf", 6))
+
+
+@query("""WITH q AS (SELECT l_orderkey, l_linenumber, (l_quantity - 25) / (10 * sqrt(2)) AS z FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(0.5 + list_sum(list_transform(range(0, 40), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(z, 2 * n + 1) / (gamma(n + 1.0) * (2 * n + 1)))) / sqrt(pi()), 6) AS p FROM q""")
+def normal_cdf_fixed_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(normal_cdf("l_quantity", F.lit(25.0), F.lit(10.0)), 6).alias("p"))
+
+
+@query()
+def nb_mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.nb_fits(_counts(spark, sf_dir))
+
+
+@query()
+def gaussian_mixture_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(clean.clean_query(_cells(spark, sf_dir)))
+
+
+@query()
+def negative_binomial_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _cells(spark, sf_dir).withColumn("v", F.transform(F.slice("v", 1, 8), lambda x: F.floor(F.abs(x) * 20).cast("double")))
+    return _long(clean.clean_reference(counts)[0])
+
+
+# ------------------------------------------------------------------ annotation and evaluation
+
+
+@query(f"WITH {_E} SELECT label AS cluster, i - 1 AS feature, round(avg(least(v[i], 0.1)), 6) AS mean FROM e, range(1, 65) r(i) GROUP BY ALL")
+def cluster_means_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir)
+    return annotate.cluster_means(cells.select("ord", "v"), cells.select("ord", F.col("label").alias("cluster")), 0.1).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {_E} SELECT label AS cluster, round(avg(v[1]), 6) AS f0, round(avg(v[2]), 6) AS f1 FROM e GROUP BY ALL")
+def cluster_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir)
+    wide = annotate.heatmap(annotate.cluster_means(cells.select("ord", "v"), cells.select("ord", F.col("label").alias("cluster"))).where("feature < 2"), [0, 1])
+    return wide.select("cluster", F.round("0", 6).alias("f0"), F.round("1", 6).alias("f1"))
+
+
+@query("SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1")
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.cluster_sizes(_cells(spark, sf_dir).select(F.col("label").alias("cluster")))
+
+
+@query("SELECT vec_id AS ord, label - 1 AS cluster, CASE WHEN label = 0 THEN '' WHEN label = 1 THEN 'B' WHEN label = 3 THEN 'T' ELSE '' END AS name FROM embeddings")
+def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(0, "B"), (2, "T"), (-1, "noise")], "cluster int, name string")
+    return annotate.named(_cells(spark, sf_dir).select("ord", (F.col("label") - 1).alias("cluster")), names).select("ord", "cluster", "name")
+
+
+@query("WITH s AS (SELECT value AS score FROM events), m AS (SELECT min(score) AS lo, max(score) AS hi FROM s) SELECT least(floor((score - lo) / (hi - lo) * 100), 99)::INT AS bin, count(*) AS n FROM s, m GROUP BY 1")
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.score_histogram(_table(spark, sf_dir, "events").select(F.col("value").alias("score")))
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = _query(spark, sf_dir).select(F.col("ord").alias("src"), F.col("label").cast("string").alias("truth"))
+    return _labels(spark, sf_dir).select("src", "label").join(truth, "src")
+
+
+@query(f"WITH {_TRUTH} SELECT t.truth AS type, round(count(*) FILTER (a.truth = t.truth AND a.label = t.truth) / count(*) FILTER (a.truth = t.truth), 6) AS tpr, round(count(*) FILTER (a.truth <> t.truth AND a.label <> t.truth) / nullif(count(*) FILTER (a.truth <> t.truth), 0), 6) AS tnr FROM (SELECT DISTINCT truth FROM tt) t, tt a GROUP BY 1")
+def tpr_tnr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.rates(_truth(spark, sf_dir)).select("type", F.round("tpr", 6).alias("tpr"), F.round("tnr", 6).alias("tnr"))
+
+
+def _sql_majority(by: str, label: str) -> str:
+    return f"""WITH {_TRUTH}, k AS (SELECT {by} AS g, {label} AS l, count(*) AS n FROM tt GROUP BY ALL), y AS (SELECT *, sum(n) OVER (PARTITION BY g) AS size FROM k)
+SELECT g AS {by}, l AS best, n, size::BIGINT AS size, round(100 * n / size, 6) AS share FROM y QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, l) = 1"""
+
+
+@query(_sql_majority("truth", "label"))
+def majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.majority(_truth(spark, sf_dir), "truth", "label").withColumnRenamed("label", "best").withColumn("share", F.round("share", 6))
+
+
+@query(_sql_majority("label", "truth"))
+def cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = annotate.majority(_truth(spark, sf_dir).withColumnRenamed("label", "cluster"), "cluster", "truth")
+    return rows.withColumnRenamed("label", "best").withColumnRenamed("cluster", "label").withColumn("share", F.round("share", 6))
+
+
+@query(f"WITH {_TRUTH}, n AS (SELECT truth = label AS agree FROM tt) SELECT agree, count(*) AS n FROM n GROUP BY 1")
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.agreement(_truth(spark, sf_dir)).groupBy("agree").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ clustering
+
+
+@query(f"""WITH {_E}, k AS (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_dot_product(a.z, b.z), 12), b.vec_id) AS r
+  FROM (SELECT side + 2 * ord AS vec_id, z FROM z) a, (SELECT side + 2 * ord AS vec_id, z FROM z) b WHERE a.vec_id <> b.vec_id QUALIFY r <= 29)
+SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM k GROUP BY ALL""")
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.knn_edges(_cells(spark, sf_dir))
+
+
+@query(f"""WITH {_E}, p AS (SELECT a.side + 2 * a.ord AS i, a.label AS la, b.label AS lb, 1 - list_dot_product(a.z, b.z) AS dist FROM z a, z b WHERE a.side + 2 * a.ord <> b.side + 2 * b.ord),
+m AS (SELECT i, la, lb, avg(dist) AS m FROM p GROUP BY ALL), s AS (SELECT i, min(m) FILTER (la = lb) AS a, min(m) FILTER (la <> lb) AS b FROM m GROUP BY i)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS score FROM s""")
+def silhouette_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir)
+    return cluster.silhouettes(cells, cells.select("ord", "label")).select(F.round("score", 6).alias("score"))
+
+
+@query()
+def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.graph_clusters(_cells(spark, sf_dir))
+
+
+@query()
+def hdbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.density_grid(_cells(spark, sf_dir, 0), [5, 9], [5, 10])
+
+
+@query()
+def parameter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.parameter_scan(_cells(spark, sf_dir, 0), [5, 9], [5, 10])[1]
+
+
+@query()
+def refined_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir, 0)
+    return cluster.refined_clusters(cells, cells.select("ord", F.col("label").alias("cluster")))
+
+
+_RUNS = "l AS (SELECT r AS run, vec_id AS ord, CASE WHEN (vec_id + r) % 11 = 0 THEN -1 ELSE (vec_id // (r + 3)) % 20 END AS label, r / 10 AS score FROM embeddings, range(0, 6) t(r))"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = F.col("run")
+    rows = _cells(spark, sf_dir).select("ord", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("run"))
+    labels = rows.select("run", "ord", F.when((F.col("ord") + r) % 11 == 0, -1).otherwise(F.floor(F.col("ord") / (r + 3)) % 20).alias("label"))
+    return labels, spark.range(6).select(F.col("id").cast("int").alias("run"), (F.col("id") / 10).alias("score"))
+
+
+@query(f"WITH {_RUNS} SELECT x.ord AS a, y.ord AS b, round(1 - count(*) / 4, 6) AS d FROM l x JOIN l y ON x.run = y.run AND x.label = y.label AND x.label <> -1 AND x.ord < y.ord AND x.score >= 0.2 GROUP BY ALL")
+def consensus_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.consensus_distance(*_runs(spark, sf_dir), 0.2).withColumn("d", F.round("d", 6))
+
+
+@query(f"WITH {_RUNS}, m AS (SELECT label, dense_rank() OVER (ORDER BY label) AS c FROM (SELECT DISTINCT label FROM l WHERE run = 2 AND label <> -1)) SELECT ord, coalesce(c, -1)::INT AS cluster FROM l LEFT JOIN m USING (label) WHERE run = 2")
+def consensus_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.relabel(_runs(spark, sf_dir)[0].where("run = 2").select("ord", "label"))
+
+
+@query()
+def consensus_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir)
+    labels, scores = _runs(spark, sf_dir)
+    return cluster.consensus_clusters(cells, cluster.consensus_distance(labels, scores, 0.2), 0.5, 3)
+
+
+# ------------------------------------------------------------------ whole pipelines
+
+
+@query()
+def map_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(integration.map_query(_query(spark, sf_dir), _ref(spark, sf_dir)).corrected)
+
+
+@query()
+def integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = _ref(spark, sf_dir)
+    return integration.integrate(_query(spark, sf_dir), ref, ref.select("ord", "label"), p=Params())

@@ -52,12 +52,13 @@ def cuts(length: int, capacity: int, finest: int = 16) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, finest: int = 16, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, finest: int = 16, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False, remembered: int = 300_000) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``tokens``, the ids).
 
     Null and empty texts are documents of the end id alone. Repeated rows are packed each on its own; a null id
     stays null. Every id of a document lies in exactly one piece; offsets in a sequence have no gaps. Which
-    sequence holds a piece depends on the input's partitions, the pieces themselves do not.
+    sequence holds a piece depends on the input's partitions, the pieces themselves do not. A worker remembers at
+    most ``remembered`` encoded words, some 200 bytes each, also while it waits for other work.
     """
     spark = docs.sparkSession
     table: dict[int, list[tuple[int, int]]] = {}
@@ -66,7 +67,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, fine
         from pyspark import TaskContext
 
         worker, local = TaskContext.get().partitionId(), {}
-        tok = tokenizer(path)
+        tok = tokenizer(path, remembered)
         end = np.array([end_id], "<u4").tobytes()
         for b in slices(batches, "t"):
             cols: list[list] = [[] for _ in range(9)]

@@ -93,7 +93,9 @@ _R = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32  # only A-Z
 _RLOW = _R[_FOLD]
-_pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes hashed at once: the tables of powers that a worker keeps have this many entries (16 MB each).
+_STEP = 1 << 21
+_pow: list[np.ndarray] = []
 
 
 def _is_space() -> np.ndarray:
@@ -112,15 +114,22 @@ def _is_alnum() -> np.ndarray:
 SPACE_WORDS, ALNUM_WORDS = _is_space(), _is_alnum()
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        size = 1 << max(21, n.bit_length())
-        inverse = pow(_B, -1, 1 << 64)
-        for k, base in enumerate((_B, inverse)):
-            p = np.full(size, base & _MASK, np.uint64)
-            p[0] = 1
-            _pow[k] = np.cumprod(p, dtype=np.uint64)
-    return _pow[0], _pow[1]
+def _made_powers(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (_B, pow(_B, -1, 1 << 64)):
+        p = np.full(n, base & _MASK, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse; only a row beyond _STEP has tables of its own, which are not kept."""
+    if n > _STEP:
+        return _made_powers(n)
+    if not _pow:
+        _pow[:] = _made_powers(_STEP)
+    return _pow
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -142,6 +151,17 @@ def words_of(raw: np.ndarray, at: np.ndarray, kind: np.ndarray, fold: bool = Tru
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n > _STEP // 2 and len(at) > 2:  # whole rows in portions
+        parts, words, row = [], 0, 0
+        before = [np.zeros(1, np.int64)]
+        while row < len(at) - 1:
+            stop = max(row + 1, int(np.searchsorted(at, at[row] + _STEP // 2, "right")) - 1)
+            h, b, s, e = words_of(raw[at[row] : at[stop]], at[row : stop + 1] - at[row], kind, fold)
+            parts.append((h, s + at[row], e + at[row]))
+            before.append(b[1:] + words)
+            words, row = words + len(h), stop
+        h, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return h, np.concatenate(before), s, e
     inside = kind[raw]
     first = np.zeros(n + 1, bool)
     first[at] = True  # also the end

@@ -109,7 +109,7 @@ def _frequent(rows: DataFrame, may, n_slices: int, k: int, num: int, den: int) -
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        for b in slices((may(b) for b in batches), "t", 8 << 20):
+        for b in slices((may(b) for b in batches), "t", 4 << 20):
             x, at = row_sets(b.column(1), k)
             n = np.diff(at)
             row = np.repeat(np.arange(len(n), dtype=np.uint16 if len(n) < 1 << 16 else np.uint32), n)

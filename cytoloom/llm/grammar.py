@@ -26,63 +26,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_path, slices, texts_of
+from .common import scratch_path, slices, texts_of, written
 from .tokens import tokenizer
 
 MAGIC = b"CLRP1\n"
-FIRST = 1 << 16  # nonterminals start here in memory; in a frame they follow the largest id
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 6, least: int = 24, most_rules: int = 12_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 8, least: int = 24, most_rules: int = 12_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbol ends of documents, left, right): nonterminal r is ``base + r`` with base the largest id + 1.
 
-    ``ends`` are the documents' ends in ``ids``, ascending. Pairs seen fewer than ``least`` times stay.
+    ``ends`` are the documents' ends in ``ids``, ascending. Pairs seen fewer than ``least`` times stay. Rounds
+    stop when one replaces fewer than 2 % of the symbols.
     """
     sym = ids.astype(np.uint32)
     base = int(sym.max()) + 1 if len(sym) else 1
+    narrow = base < 1 << 16  # pairs then fit 32 bits
+    if narrow:
+        most_rules = min(most_rules, (1 << 16) - base)
+    half, kind = (16, np.uint32) if narrow else (32, np.uint64)
+    slots = 18
+    factor, down = (kind(0x9E3779B1), kind(32 - slots)) if narrow else (kind(0x9E3779B97F4A7C15), kind(64 - slots))
     last = np.zeros(len(sym), bool)
     last[np.asarray(ends)[np.diff(np.r_[0, ends]) > 0] - 1] = True
     left, right = [], []
     made = 0
+    none = np.uint32(0xFFFFFFFF)
     for _ in range(rounds):
-        if len(sym) < 2 or made >= most_rules or base + made >= 1 << 32:
+        if len(sym) < 2 or made >= most_rules:
             break
-        key = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
-        inner = ~last[:-1]
-        # A first count in hashed bins leaves only places whose pair can be frequent.
-        bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        may = inner & (np.bincount(bins[inner], minlength=1 << 20) >= least)[bins]
-        at = np.flatnonzero(may)
-        if not len(at):
-            break
-        pairs, inverse, times = np.unique(key[at], return_inverse=True, return_counts=True)
+        key = (sym[:-1].astype(kind) << kind(half)) | sym[1:]
+        value = np.sort(key[~last[:-1]])
+        first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[first, len(value)])
         top = np.flatnonzero(times >= least)
         top = top[np.argsort(-times[top], kind="stable")][: most_rules - made]
         if not len(top):
             break
-        order = np.full(len(pairs), np.iinfo(np.int64).max)
-        order[top] = np.arange(len(top))
-        best = np.full(len(sym) + 1, np.iinfo(np.int64).max)
-        best[at] = order[inverse]
-        here = np.flatnonzero(best[:-2] < np.iinfo(np.int64).max) if len(sym) > 1 else at
-        before = np.where(here > 0, best[here - 1], np.iinfo(np.int64).max)
-        take = here[(best[here] < before) & (best[here] <= best[here + 1])]
-        used = np.bincount(best[take], minlength=len(top))
+        pairs = value[first[top]]
+        # A table of hashed pairs; where two frequent pairs meet in a slot the rarer waits for the next round.
+        slot = (pairs * factor >> down).astype(np.int64)
+        of_slot = np.full(1 << slots, none)
+        of_slot[slot[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.uint32)
+        pair_of = np.zeros(1 << slots, kind)
+        pair_of[slot[::-1]] = pairs[::-1]
+        at = (key * factor >> down).astype(np.int32)
+        rank = of_slot[at]
+        rank[(pair_of[at] != key) | last[:-1]] = none
+        take = rank != none
+        take[1:] &= rank[1:] < rank[:-1]
+        take[:-1] &= rank[:-1] <= rank[1:]
+        take = np.flatnonzero(take)
+        used = np.bincount(rank[take], minlength=len(pairs))
         good = np.flatnonzero(used >= 8)  # a rule costs 12 bytes, a replacement saves 2
         if not len(good):
             break
-        renumber = np.full(len(top), -1, np.int64)
+        renumber = np.full(len(pairs), -1, np.int64)
         renumber[good] = np.arange(len(good))
-        take = take[renumber[best[take]] >= 0]
-        left.append((pairs[top[good]] >> np.uint64(32)).astype(np.uint32))
-        right.append(pairs[top[good]].astype(np.uint32))
+        number = renumber[rank[take]]
+        take, number = take[number >= 0], number[number >= 0]
+        left.append((pairs[good] >> kind(half)).astype(np.uint32))
+        right.append((pairs[good] & kind((1 << half) - 1)).astype(np.uint32))
         last[take] = last[take + 1]
-        sym[take] = (base + made + renumber[best[take]]).astype(np.uint32)
+        sym[take] = (base + made + number).astype(np.uint32)
         keep = np.ones(len(sym), bool)
         keep[take + 1] = False
         sym, last = sym[keep], last[keep]
         made += len(good)
-        if len(take) < 0.01 * len(sym):
+        if len(take) < 0.02 * len(sym):
             break
     ends_now = np.zeros(len(ends), np.int64)
     filled = np.diff(np.r_[0, ends]) > 0
@@ -140,20 +150,33 @@ class Shard:
         self.left, self.right, self.length = take("<u4", rules), take("<u4", rules), take("<u4", rules)
         self.base, width = struct.unpack_from("<IB", raw, p)
         p += 5
+        self._flat: tuple[np.ndarray, np.ndarray] | None = None
         self.symbols = take("<u4" if width == 4 else "<u2", symbols).astype(np.int64)
         self.at = np.r_[0, np.cumsum(per, dtype=np.int64)]
 
+    def _rules(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every rule's ids, one after the other, and where each begins."""
+        if self._flat is None:
+            sym = np.stack([self.left, self.right], 1).reshape(-1).astype(np.int64)
+            while (big := sym >= self.base).any():  # a level of all rules at once
+                at = np.cumsum(1 + big) - (1 + big)
+                out = np.empty(len(sym) + int(big.sum()), np.int64)
+                out[at] = sym
+                rule = sym[big] - self.base
+                out[at[big]], out[at[big] + 1] = self.left[rule], self.right[rule]
+                sym = out
+            start = self.base + np.cumsum(self.length, dtype=np.int64) - self.length
+            self._flat = np.r_[np.arange(self.base), sym].astype(np.uint32), np.r_[np.arange(self.base), start]
+        return self._flat
+
     def expand(self, sym: np.ndarray) -> np.ndarray:
-        """Replace nonterminals, all of a depth at once, until none is left."""
-        while len(sym) and (big := sym >= self.base).any():
-            rule = sym[big] - self.base
-            at = np.cumsum(1 + big) - (1 + big)
-            out = np.empty(len(sym) + int(big.sum()), np.int64)
-            out[at] = sym
-            out[at[big]] = self.left[rule]
-            out[at[big] + 1] = self.right[rule]
-            sym = out
-        return sym
+        """The ids that ``sym`` stands for."""
+        flat, start = self._rules()
+        size = np.ones(len(start), np.int64)
+        size[self.base :] = self.length
+        size = size[sym]
+        move = start[sym] - (np.cumsum(size) - size)
+        return flat[np.repeat(move, size) + np.arange(int(size.sum()))]
 
     def sizes(self) -> np.ndarray:
         """Ids that each symbol stands for."""
@@ -228,7 +251,7 @@ def read_ids(spark, path: str) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 for s in shards(b.column(0)[k].as_py()):
-                    ids = s.expand(s.symbols).astype("<u4")
+                    ids = s.expand(s.symbols).astype("<u4", copy=False)
                     ends = np.r_[0, np.cumsum(s.sizes())][s.at]
                     sums = [zlib.crc32(ids[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                     n = len(s.doc_ids)
@@ -258,4 +281,4 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     spark = docs.sparkSession
     to = scratch_path(spark, "ids")
     write_ids(docs, path, to, end_id)
-    return with_starts(read_ids(spark, to)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(written(read_ids(spark, to), "decoded")).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -128,16 +128,18 @@ class PieceCounter:
         pieces = [self.split(" " + t.replace("▁", " ")) if t else [] for t in texts]
         known = self.known
         new = {x for x in set().union(*pieces) if x not in known}
-        extra: dict[str, int] = {}
+        gone: list[str] = []
         if new:
+            extra: dict[str, int] = {}
             self._learn(sorted(new), extra)
-            room = self.limit - len(self.known)
-            for w in list(extra)[: max(0, room)]:
-                if len(w) <= 40:
-                    self.known[w] = extra.pop(w)
-        if not extra:
-            return [sum(map(known.__getitem__, p)) for p in pieces]
-        return [sum(known[w] if w in known else extra[w] for w in p) for p in pieces]
+            room = self.limit - len(known)
+            gone = [x for i, x in enumerate(extra) if i >= room or len(x) > 40]
+            known.update(extra)  # those over the limit leave again below
+        get = known.__getitem__
+        out = [sum(map(get, p)) for p in pieces]
+        for x in gone:
+            del known[x]
+        return out
 
 
 _open: dict[str, PieceCounter] = {}

@@ -1,21 +1,22 @@
-"""Exact library token ids through a cache of pre-tokens.
+"""Exact library token ids through a cache of text units.
 
-Both vocabularies split a text before merging, and no merge crosses a split. For texts of plain characters
-(ASCII printables, tab, line ends, Latin-1 letters) the split is one regular expression, so each different
-piece is encoded once by the library and remembered. Any other text goes to the library whole.
+Both vocabularies split a text before merging, and no merge crosses a split. In a text of plain characters
+(ASCII printables, line ends, Latin-1 letters) every space or line end starts a new piece, so what stands
+between them can be encoded once by the library and remembered. Any text where that might not hold (other
+characters, runs of white space, special tokens) goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = b"\t\n\r" + bytes(range(0x20, 0x7F)) + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)).encode("latin-1")
-_BYTE_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s0-9{_LETTER}]+|\\s+(?!\\S)|\\s+")
-_WORD_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s0-9{_LETTER}]+")
+_PLAIN = b"\n" + bytes(range(0x20, 0x7F)) + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)).encode("latin-1")
+#: Marks a unit that no space precedes: a text's first, or one that starts with a full stop or comma.
+_FIRST = "\x01"
+_NO_SYMBOLS = bytes(c for c in _PLAIN if c > 0x7F or chr(c).isalnum() or chr(c) in " \n")
+_PAIRS = ("..", ".,", ",.", ",,", " .", " ,", "\n.", "\n,")
 
 
 def is_plain(text: str) -> bool:
@@ -29,8 +30,8 @@ def is_plain(text: str) -> bool:
 class CachedTokenizer:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    At most ``limit`` pieces of up to 40 characters are remembered; the rest are encoded anew each time,
-    so results never depend on the cache.
+    At most ``limit`` units of up to 40 characters are remembered; the rest are encoded anew each time, so
+    results never depend on the cache.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
@@ -39,78 +40,67 @@ class CachedTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.lower = self.model.normalizer is not None
-        self.split = (_WORD_SPLIT if self.lower else _BYTE_SPLIT).findall
         self.limit, self.known = limit, {}
         names = self.model.get_vocab()
-        self.size = np.zeros(max(names.values(), default=0) + 1, np.int64)  # letters of each token; a byte is one
-        self.last = np.zeros(len(self.size), bool)
+        self.size = np.zeros(max(names.values(), default=0) + 1, np.int64)  # bytes of each token
         for name, i in names.items():
-            self.size[i], self.last[i] = len(name), name.endswith("</w>")
+            self.size[i] = len(name) - 4 * name.endswith("</w>")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _units(self, text: str) -> list[str] | None:
+        """The units of a plain text, or None where the library must see it whole.
+
+        With lower-casing, white space only separates. Otherwise a unit is a word that a space precedes, or one
+        that starts with the line end before it; single spaces and single line ends between words are required.
+        Where single full stops and commas behind words are the only symbols, they start units as well.
+        """
+        if not text or not is_plain(text):
+            return None
+        if self.lower:
+            return text.lower().split()
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n":
+            return None
+        symbols = text.encode("latin-1").translate(None, _NO_SYMBOLS)
+        units = (_FIRST + text).replace("\n", " \n")
+        if symbols and not symbols.translate(None, b".,") and text[0] not in ".," and not any(x in text for x in _PAIRS):
+            units = units.replace(".", " \x01.").replace(",", " \x01,")
+        return units.split(" ")
+
     def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
+        """Encode units joined, and cut the ids where a unit's bytes end."""
         if not self.lower:
-            odd = [x for x in new if not (x[0] == " " and x[1:].isalpha())]
-            for at in range(0, len(odd), 20_000):
-                part = odd[at : at + 20_000]
-                e = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
-                self._cut(part, e.ids, np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)), into)
-            new = [x for x in new if x[0] == " " and x[1:].isalpha()]
-        # Pieces that split again the same way when joined are encoded as one text.
+            into.update((x, self._whole(x[1:])) for x in new if x[0] == _FIRST)
+            new = [x if x[0] == "\n" else " " + x for x in new if x[0] != _FIRST]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = self.model.encode_batch_fast([(" " if self.lower else "").join(part)], add_special_tokens=False)[0].ids
-            if self.lower:
-                ends = np.flatnonzero(self.last[ids]) + 1
-            else:
-                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
-            self._cut(part, ids, np.r_[0, ends], into)
-
-    @staticmethod
-    def _cut(part: list[str], ids: list[int], at: np.ndarray, into: dict[str, bytes]) -> None:
-        raw, cut = np.array(ids, "<u4").tobytes(), (at * 4).tolist()
-        into.update(zip(part, (raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True))
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in part])) + 1
+            raw, cut = np.array(ids, "<u4").tobytes(), (np.r_[0, ends] * 4).tolist()
+            keys = part if self.lower else [x if x[0] == "\n" else x[1:] for x in part]
+            into.update(zip(keys, (raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, self.split
-        out: list[bytes | None] = [None] * len(texts)
-        plain: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
-        for i, text in enumerate(texts):
-            if not is_plain(text):
-                out[i] = self._whole(text)
-                continue
-            pieces = split(text.lower() if self.lower else text)
-            new.update(pieces)
-            plain.append((i, pieces))
-        new = {x for x in new if x not in known}
-        here = known
+        known = self.known
+        units = [self._units(t) for t in texts]
+        new = {x for x in set().union(*(u for u in units if u)) if x not in known}
+        gone: list[str] = []
         if new:
             extra: dict[str, bytes] = {}
             self._learn(sorted(new), extra)
             room = self.limit - len(known)
-            if room > 0:
-                known.update((k, v) for k, v in (extra.items() if len(extra) <= room else list(extra.items())[:room]) if len(k) <= 40)
-            here = _Both(known, extra)
-        get = here.__getitem__
-        for i, pieces in plain:
-            out[i] = b"".join(map(get, pieces))
+            for i, x in enumerate(extra):
+                if i >= room or len(x) > 40:
+                    gone.append(x)
+            known.update(extra)  # one plain dictionary: those over the limit leave again below
+        get = known.__getitem__
+        out = [self._whole(t) if u is None else b"".join(map(get, u)) for t, u in zip(texts, units, strict=True)]
+        for x in gone:
+            del known[x]
         return out
 
 
-class _Both(dict):
-    """The known pieces, then those of this call."""
-
-    def __init__(self, known: dict, extra: dict):
-        super().__init__(extra)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
-
-
 _open: dict[tuple[str, int], CachedTokenizer] = {}
 
 

@@ -6,8 +6,8 @@ left is cut at the next class boundary ``capacity // j`` down to ``finest`` clas
 their sequences to within j tokens; the last short piece goes to one of the coarser tail classes.
 
 Workers cut and classify on their own. A piece's number in its class is its worker's offset (a prefix sum over
-one count per worker and class) plus its local rank, so a class has one incomplete sequence however many
-workers there are.
+one count per worker and class) plus its local rank, so only the last pieces of each class, fewer than a
+sequence takes, are left however many workers there are; those of all classes are packed together, longest first.
 """
 
 from __future__ import annotations
@@ -94,16 +94,39 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, fine
     count = pieces.groupBy("worker", "j").agg(F.count("*").alias("n"))
     before = Window.partitionBy("j").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     count = count.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    bins = count.groupBy("j").agg(F.ceil(F.sum("n") / F.abs("j")).cast("long").alias("bins"))
-    first = bins.select("j", F.coalesce(F.sum("bins").over(Window.partitionBy(F.lit(0)).orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    offsets = count.join(first, "j").select("worker", "j", "base", "first")
+    bins = count.groupBy("j").agg(F.floor(F.sum("n") / F.abs("j")).cast("long").alias("bins"))
+    every = Window.partitionBy(F.lit(0))
+    first = bins.select("j", "bins", F.coalesce(F.sum("bins").over(every.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), F.sum("bins").over(every).alias("full"))
+    offsets = count.join(first, "j").select("worker", "j", "base", "bins", "first", "full")
     placed = pieces.join(offsets, ["worker", "j"])
     number = F.col("base") + F.col("rank")
     slot = F.pmod(number, F.abs("j"))
-    placed = placed.select("*", (F.col("first") + F.floor(number / F.abs("j"))).cast("long").alias("sequence_id"), slot.alias("slot"))
+    placed = placed.select("*", number.alias("number"), (F.col("first") + F.floor(number / F.abs("j"))).cast("long").alias("sequence_id"), slot.alias("slot"))
+    whole = F.floor(F.col("number") / F.abs("j")) < F.col("bins")
     exact = F.col("j") > 0
     names = [F.col("i").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["tokens"] if tokens else [])]
     # Pieces of the cut classes have one length, so the slot gives the offset; only tail pieces meet in a window of j rows.
-    head = placed.where(exact).withColumn("offset", F.col("slot") * F.col("length"))
-    tail = placed.where(~exact).withColumn("offset", F.coalesce(F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return head.select(*names).unionByName(tail.select(*names))
+    head = placed.where(whole & exact).withColumn("offset", F.col("slot") * F.col("length"))
+    tail = placed.where(whole & ~exact).withColumn("offset", F.coalesce(F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # What no full sequence took, fewer than j pieces of each class: some 5,500 rows at most, whatever the input.
+    left = placed.where(~whole).select("worker", "j", "rank", "length", "full").withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_first_fit(capacity), "worker int, j int, rank long, sequence_id long, offset long")
+    left = placed.where(~whole).drop("sequence_id").join(left, ["worker", "j", "rank"])
+    return head.select(*names).unionByName(tail.select(*names)).unionByName(left.select(*names))
+
+
+def _first_fit(capacity: int):
+    def run(pdf):
+        """Longest first into the first sequence with room."""
+        pdf = pdf.sort_values(["length", "j", "worker", "rank"], ascending=[False, True, True, True])
+        used: list[int] = []
+        at, offset = [], []
+        for n in pdf["length"].tolist():
+            k = next((i for i, u in enumerate(used) if u + n <= capacity), len(used))
+            if k == len(used):
+                used.append(0)
+            at.append(k)
+            offset.append(used[k])
+            used[k] += n
+        return pdf.assign(sequence_id=pdf["full"] + at, offset=offset)[["worker", "j", "rank", "sequence_id", "offset"]]
+
+    return run

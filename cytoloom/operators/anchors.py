@@ -28,7 +28,7 @@ def shared_counts(neighbours: DataFrame, anchors: DataFrame, k: int) -> DataFram
     A cell's neighbours are the first ``k`` of its own set (itself among them) and the first ``k`` of the other.
     """
     of = neighbours.where(F.col("rank") <= k)
-    key = lambda kind: F.struct(F.substring(F.lit(kind), 2, 1).alias("side"), F.col("dst").alias("cell"))
+    key = lambda kind: F.col("dst") * 2 + (1 if kind[1] == "q" else 0)  # one number per cell of either set: arrays of longs intersect by hashing
     lists = {}
     for side in ("r", "q"):
         parts = [of.where(F.col("kind") == side + other).select("src", key(side + other).alias("n")) for other in ("r", "q")]

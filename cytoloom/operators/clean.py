@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.distributions import nb_median, nb_pmf, normal_cdf
+from ..sources.scratch import settled
 from .gates import row_sum
 
 BINS = 65_536
@@ -35,7 +36,7 @@ def total_normalize(cells: DataFrame) -> DataFrame:
 
 def reference_normalize(cells: DataFrame) -> DataFrame:
     """Drop rows whose sum is 0; divide by it, then scale every feature to 0..1 (a constant one becomes 0)."""
-    rows = cells.withColumn("_s", row_sum()).where("_s <> 0").withColumn("v", F.transform("v", lambda x: x / F.col("_s"))).drop("_s")
+    rows = cells.withColumn("_s", row_sum()).where("_s <> 0").withColumn("v", F.transform("v", lambda x: F.try_divide(x, F.col("_s")))).drop("_s")
     each = rows.select(F.posexplode("v").alias("j", "x")).groupBy("j").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     limits = each.agg(F.array_sort(F.collect_list(F.struct("j", "lo", "hi"))).alias("_l"))  # one row of panel size
     rows = rows.crossJoin(F.broadcast(limits))
@@ -105,7 +106,7 @@ def gaussian_fits(rows: DataFrame) -> DataFrame:
 def clean_query(cells: DataFrame) -> DataFrame:
     """(ord, v): every scaled value replaced by its probability under the feature's signal component."""
     rows = long_form(total_normalize(cells))
-    fits = gaussian_fits(rows.select("feature", "value"))
+    fits = settled(gaussian_fits(rows.select("feature", "value")))
     return wide_form(rows.join(F.broadcast(fits), "feature").select("ord", "feature", normal_cdf("value", "mean", "sd").alias("value")))  # a row per feature
 
 
@@ -186,11 +187,11 @@ def nb_cdf_table(pmf: DataFrame, fits: DataFrame) -> DataFrame:
 def clean_reference(cells: DataFrame, starts: Sequence[Sequence[float]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Cleaned cells (ord, v) and the fits (their sse summed is the total). Zero-sum rows are dropped; drop them in the other tables too."""
     rows = long_form(cells).select("ord", "feature", F.col("value").cast("long").alias("value"))
-    fits = nb_fits(rows.select("feature", "value"), starts)
+    fits = settled(nb_fits(rows.select("feature", "value"), starts))
     table = nb_cdf_table(count_pmf(rows.select("feature", "value")), fits)
-    clean = wide_form(rows.join(table, ["feature", "value"]), "cdf")
+    clean = settled(wide_form(rows.join(table, ["feature", "value"]), "cdf"))
     sums = cells.select("ord", row_sum().alias("s")).where("s <> 0")
-    scaled = clean.join(sums, "ord").withColumn("v", F.transform("v", lambda x: x / F.col("s"))).select("ord", "v")
+    scaled = clean.join(sums, "ord").withColumn("v", F.transform("v", lambda x: F.try_divide(x, F.col("s")))).select("ord", "v")
     each = long_form(scaled).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     limits = each.agg(F.array_sort(F.collect_list(F.struct("feature", "lo", "hi"))).alias("_l"))  # one row of panel size
     out = scaled.crossJoin(F.broadcast(limits)).select("ord", F.zip_with("v", "_l", lambda x, r: F.coalesce(F.try_divide(x - r["lo"], r["hi"] - r["lo"]), F.lit(0.0))).alias("v"))

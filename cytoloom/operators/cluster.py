@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import settled
 from .knn import knn, matrix, unit
 
 #: Limits of the steps that one task does.
@@ -269,9 +270,9 @@ def silhouettes(cells: DataFrame, labels: DataFrame, by: Sequence[str] = ()) ->
 
 def parameter_scan(cells: DataFrame, min_sizes: Sequence[int] = range(5, 21, 4), min_samples: Sequence[int] = range(10, 41, 3), metric: str = "correlation") -> tuple[DataFrame, DataFrame]:
     """Labels of every grid run, and (run, min_samples, min_cluster_size, score)."""
-    labels = density_grid(cells, min_sizes, min_samples, metric).cache()
+    labels = settled(density_grid(cells, min_sizes, min_samples, metric))
     keys = ["run", "min_samples", "min_cluster_size"]
-    return labels, silhouettes(cells, labels, keys)
+    return labels, settled(silhouettes(cells, labels, keys))
 
 
 # ------------------------------------------------------------------ consensus

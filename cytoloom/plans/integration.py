@@ -12,6 +12,7 @@ from ..operators import clean, cluster, correct, gates, transfer
 from ..operators.cca import cca
 from ..operators.knn import four_way
 from ..params import Params
+from ..sources.scratch import settled
 
 
 @dataclass
@@ -28,9 +29,10 @@ def map_query(query: DataFrame, ref: DataFrame, latent: DataFrame | None = None,
     """Calibrate query rows (ord, v) to the reference over a shared panel; ``latent`` defaults to the reference's own vectors."""
     size = panel_size or query.select(F.max(F.size("v"))).first()[0]
     ref_emb, query_emb, _ = cca(ref, query, size - 1)
-    neighbours = four_way(ref_emb, query_emb, latent if latent is not None else ref, p.k_find_nn).cache()
+    neighbours = four_way(ref_emb, query_emb, latent if latent is not None else ref, p.k_find_nn)
+    neighbours = settled(neighbours)
     pairs = A.filtered(A.mutual(neighbours, p.k_find_anchor), ref, query, p.k_filter_anchor)
-    found = correct.numbered(A.scored(neighbours, pairs, p.k_score_anchor)).cache()
+    found = settled(correct.numbered(A.scored(neighbours, pairs, p.k_score_anchor)))
     weights = correct.anchor_weights(found, query, p.k_find_weights, p.sd_weight, p.delta, zero)
     diffs = found.select("anchor_id", "cellr", "cellq").join(correct.differences(found.select("cellr", "cellq"), ref, query), ["cellr", "cellq"])
     return Mapping(neighbours, found, weights, correct.corrected(query, weights, diffs.select("anchor_id", "dv")))
@@ -38,8 +40,8 @@ def map_query(query: DataFrame, ref: DataFrame, latent: DataFrame | None = None,
 
 def integrate(query: DataFrame, ref: DataFrame, labels: DataFrame, latent: DataFrame | None = None, p: Params = Params(), k: int | None = None) -> DataFrame:
     """(src, label, mean_dist, keep): labels of the reference on every query cell, 'Not Assigned' far from it."""
-    mapped = gates.drop_nan(map_query(query, ref, latent, p=p).corrected)
-    w = transfer.transfer_weights(mapped, ref, k, p.c)
+    mapped = settled(gates.drop_nan(map_query(query, ref, latent, p=p).corrected))
+    w = settled(transfer.transfer_weights(mapped, ref, k, p.c))
     return transfer.masked_labels(transfer.transfer_labels(w, labels), transfer.query_mask(w, p.mask_threshold))
 
 
@@ -97,10 +99,10 @@ def pipeline(query: DataFrame, query_panel: list[str], ref: DataFrame, ref_panel
         if latent is not None:  # rows without counts went on all reference tables
             latent = latent.join(ref.select("ord"), "ord", "left_semi")
     panel = gates.common_panel(query_panel, ref_panel)
-    q = gates.select_panel(query, query_panel, panel).select("ord", "v").cache()
-    r = gates.select_panel(ref, ref_panel, panel).select("ord", "v").cache()
-    mapped = gates.drop_nan(map_query(q, r, latent, len(panel), p).corrected).cache()
-    w = transfer.transfer_weights(mapped, r, None, p.c).cache()
+    q = settled(gates.select_panel(query, query_panel, panel).select("ord", "v"))
+    r = settled(gates.select_panel(ref, ref_panel, panel).select("ord", "v"))
+    mapped = settled(gates.drop_nan(map_query(q, r, latent, len(panel), p).corrected))
+    w = settled(transfer.transfer_weights(mapped, r, None, p.c))
     mask = transfer.query_mask(w, p.mask_threshold)
-    kept = transfer.discard(q, mask)
+    kept = settled(transfer.discard(q, mask))
     return Result(mapped, w, mask, cluster_cells(kept, 1, p.k_cluster), cluster_reference(latent if latent is not None else r, 1, p))

@@ -24,6 +24,11 @@ from cytoloom.llm.secret_scan import find_secrets
 NEAR = (5, 80, 100)
 
 
+def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``docs``, whatever their names."""
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a risk-controlled rule reject go; a null text has no words and goes."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
@@ -36,22 +41,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
     if keep.where("times > 1").limit(1).count():  # repeated rows of one document
         one = Window.partitionBy("doc_id").orderBy("text")
-        rows = rows.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
-    return rows.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+        rows = rows.withColumn("_cytoloom_row", F.row_number().over(one)).where("_cytoloom_row = 1")
+    return _columns(rows, docs).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any window of ten words of a benchmark item go. The verdict follows the text, so equal rows share it."""
     key = F.xxhash64("doc_id", "text")
-    found = contamination(docs.select(key.alias("_key"), "text"), table(spark, sf_dir, "benchmark"), 10, "_key")
-    return docs.withColumn("_key", key).join(found.where("contaminated").select("_key").distinct(), "_key", "left_anti").select(docs.columns)
+    found = contamination(docs.select(key.alias("_cytoloom_key"), "text"), table(spark, sf_dir, "benchmark"), 10, "_cytoloom_key")
+    rows = docs.withColumn("_cytoloom_key", key).join(found.where("contaminated").select("_cytoloom_key").distinct(), "_cytoloom_key", "left_anti")
+    return _columns(rows, docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; stretches that hold a secret become ``[secret]`` and n_chars follows."""
     rows = find_secrets(docs, redact=True)
     changed = F.size("secret_spans") > 0
-    return rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return _columns(rows, docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

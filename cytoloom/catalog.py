@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 K, K_ANCHOR, K_FILTER, K_SCORE, K_WEIGHT = 20, 10, 30, 20, 25
+#: Near the middle of the mean distances here, so that the mask has both values.
+MASK = 0.66
 NB = (("A", 4.0, 20.0), ("N", 6.0, 30.0), ("R", 2.5, 25.0))
 GATES: list[gates.Gate] = [(0, 0.1), (3, 0.05), ((1, 2), (0.4, 0.3))]
 
@@ -90,7 +92,7 @@ _TRANSFER = f"""{_E}, {_sql_knn("kn", 1, 0, _AUTO)},
 tw AS (SELECT src, dst, dist, exp(-dist / 0.1) / sum(exp(-dist / 0.1)) OVER (PARTITION BY src) AS w FROM kn)"""
 _LABEL = f"""{_TRANSFER}, tl AS (SELECT src, label, s FROM (SELECT src, label, sum(w) AS s FROM tw JOIN z ON side = 0 AND ord = dst GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, label) = 1),
-mk AS (SELECT src, avg(dist) AS mean_dist, avg(dist) < 0.5 AS keep FROM tw GROUP BY src)"""
+mk AS (SELECT src, avg(dist) AS mean_dist, avg(dist) < {MASK} AS keep FROM tw GROUP BY src)"""
 _TRUTH = f"{_LABEL}, tt AS (SELECT q.label::VARCHAR AS truth, tl.label::VARCHAR AS label FROM tl JOIN z q ON q.side = 1 AND q.ord = tl.src)"
 
 
@@ -202,19 +204,19 @@ def transfer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LABEL} SELECT src, round(mean_dist, 6) AS mean_dist, keep FROM mk")
 def query_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfer.query_mask(_transfer(spark, sf_dir)).withColumn("mean_dist", F.round("mean_dist", 6))
+    return transfer.query_mask(_transfer(spark, sf_dir), MASK).withColumn("mean_dist", F.round("mean_dist", 6))
 
 
 @query(f"WITH {_LABEL} SELECT src, CASE WHEN keep THEN label::VARCHAR ELSE 'Not Assigned' END AS label, round(mean_dist, 6) AS mean_dist, keep FROM tl JOIN mk USING (src)")
 def masked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _transfer(spark, sf_dir).cache()
-    rows = transfer.masked_labels(transfer.transfer_labels(w, _ref(spark, sf_dir).select("ord", "label")), transfer.query_mask(w))
+    rows = transfer.masked_labels(transfer.transfer_labels(w, _ref(spark, sf_dir).select("ord", "label")), transfer.query_mask(w, MASK))
     return rows.withColumn("mean_dist", F.round("mean_dist", 6))
 
 
 @query(f"WITH {_LABEL} SELECT ord FROM z WHERE side = 1 AND ord IN (SELECT src FROM mk WHERE keep)")
 def discard_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfer.discard(_query(spark, sf_dir), transfer.query_mask(_transfer(spark, sf_dir))).select("ord")
+    return transfer.discard(_query(spark, sf_dir), transfer.query_mask(_transfer(spark, sf_dir), MASK)).select("ord")
 
 
 # ------------------------------------------------------------------ canonical correlation

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 from .knn import knn
 
 
@@ -47,5 +48,5 @@ def rescaled(scores: DataFrame, column: str = "shared") -> DataFrame:
 
 
 def scored(neighbours: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """(cellr, cellq, score)."""
-    return rescaled(shared_counts(neighbours, anchors, k)).select("cellr", "cellq", "score")
+    """(cellr, cellq, score). The counts are kept: their quantiles and their scaling both read them."""
+    return rescaled(settled(shared_counts(neighbours, anchors, k))).select("cellr", "cellq", "score")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.distributions import normal_cdf
 from .operators import anchors as A
-from .operators import annotate, cca, clean, cluster, correct, gates, knn, transfer
+from .operators import annotate, cca, clean, cluster, correct, embed, gates, knn, transfer
 from .params import Params
 from .plans import integration
 
@@ -245,6 +245,11 @@ def pca_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(cca.pca(_cells(spark, sf_dir), 2))
 
 
+@query()
+def neighbour_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(embed.neighbour_embedding(_cells(spark, sf_dir)))
+
+
 # ------------------------------------------------------------------ gates and projections
 
 

@@ -238,6 +238,20 @@ def test_density(spark):
     assert all(r["cluster"] in (-1, truth[r["ord"]]) for r in refined.collect())
 
 
+def test_neighbour_embedding(spark):
+    from cytoloom.operators import embed
+
+    a, b = embed.curve(0.1)
+    assert abs(a - 1.577) < 0.05 and abs(b - 0.895) < 0.03  # the known fit for these settings
+    strength = embed.membership(np.sort(np.random.default_rng(0).random((20, 15)), axis=1))
+    assert np.allclose(strength.sum(axis=1), np.log2(15), atol=1e-3)
+    got = embed.neighbour_embedding(cells(spark, blobs()), 2, 15)
+    y, truth = values(got), np.repeat([0, 1, 2], 40)
+    d = np.linalg.norm(y[:, None] - y[None], axis=2) + np.eye(120) * 1e9
+    assert (truth[d.argmin(axis=1)] == truth).mean() > 0.97
+    assert np.array_equal(values(embed.neighbour_embedding(cells(spark, blobs()).repartition(5), 2, 15)), y)
+
+
 def test_silhouette(spark):
     x, truth = blobs(10), np.repeat([0, 1, 2], 10)
     truth[0] = 9  # a singleton

@@ -22,6 +22,8 @@ from cytoloom.llm.secret_scan import find_secrets
 
 #: Shingles of five words, Jaccard similarity of 0.8 or more.
 NEAR = (5, 80, 100)
+#: At most so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
+FEW = 500_000
 
 
 def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -34,23 +36,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def _without(rows: DataFrame, bad: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key is not in ``bad``; keys are broadcast while they are few, so that texts need no shuffle."""
+    bad = written(bad.select(key).distinct(), "dropped")
+    return rows.join(F.broadcast(bad) if bad.count() <= FEW else bad, key, "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; documents without an id all stay."""
     found = written(similar(docs, *NEAR).where(F.col("doc_id").isNotNull()), "near")
-    keep = found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("times")).where("doc_id = component")
-    rows = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    if keep.where("times > 1").limit(1).count():  # repeated rows of one document
+    each = found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("times"))
+    rows = _without(docs, each.where("doc_id <> component"), "doc_id")
+    if each.where("times > 1").limit(1).count():  # repeated rows of one document
         one = Window.partitionBy("doc_id").orderBy("text")
-        rows = rows.withColumn("_cytoloom_row", F.row_number().over(one)).where("_cytoloom_row = 1")
-    return _columns(rows, docs).unionByName(docs.where(F.col("doc_id").isNull()))
+        rows = rows.withColumn("_cytoloom_row", F.row_number().over(one)).where("_cytoloom_row = 1 OR doc_id IS NULL")
+    return _columns(rows, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any window of ten words of a benchmark item go. The verdict follows the text, so equal rows share it."""
     key = F.xxhash64("doc_id", "text")
     found = contamination(docs.select(key.alias("_cytoloom_key"), "text"), table(spark, sf_dir, "benchmark"), 10, "_cytoloom_key")
-    rows = docs.withColumn("_cytoloom_key", key).join(found.where("contaminated").select("_cytoloom_key").distinct(), "_cytoloom_key", "left_anti")
-    return _columns(rows, docs)
+    return _columns(_without(docs.withColumn("_cytoloom_key", key), found.where("contaminated"), "_cytoloom_key"), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -361,7 +361,7 @@ def gaussian_mixture_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def negative_binomial_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _cells(spark, sf_dir).withColumn("v", F.transform(F.slice("v", 1, 8), lambda x: F.floor(F.abs(x) * 20).cast("double")))
+    counts = _cells(spark, sf_dir).withColumn("v", F.transform("v", lambda x: F.floor(F.abs(x) * 20).cast("double")))
     return _long(clean.clean_reference(counts)[0])
 
 

@@ -188,6 +188,18 @@ def test_cleaning(spark):
     assert clean.clean_query(cells(spark, counts)).count() == 500
 
 
+def test_reference_cleaning_query_takes_every_feature(spark, tmp_path):
+    from cytoloom import catalog
+
+    x = np.random.default_rng(16).normal(0, 0.4, (60, 12))
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["ord"], r["feature"]): r["value"] for r in catalog.QUERIES["negative_binomial_clean"](spark, str(tmp_path)).collect()}
+    want = values(clean.clean_reference(cells(spark, np.floor(np.abs(x) * 20)))[0])
+    assert set(got) == {(i, j) for i in range(60) for j in range(12)}
+    assert np.allclose([[got[i, j] for j in range(12)] for i in range(60)], want, atol=1e-6)
+
+
 def test_annotation(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "Not Assigned")], "truth string, label string")
     got = {r["type"]: (r["tpr"], r["tnr"]) for r in annotate.rates(rows).collect()}

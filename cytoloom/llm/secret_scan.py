@@ -1,7 +1,8 @@
 """Secret scans: pattern findings, and a character convolutional network over every candidate in its context.
 
 Three base patterns give findings that always stay. Other long tokens of letters and digits are candidates;
-each candidate (base ones too) is scored by a small network in numpy over its characters and those around it.
+each candidate (base ones too) is scored by a small network in numpy over its characters and those around it;
+of a token longer than the network's window every part is scored, and the largest score counts.
 The network is trained on labelled findings (by default drawn from a seeded generator), its score calibrated
 on a second part, and the threshold is the largest that keeps a stated recall on a third part.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +30,9 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 BEFORE, VALUE, AFTER = 28, 48, 12
+#: Longer tokens are seen through windows of VALUE characters, one every so many, and piece by piece between / and =.
+STEP = 16
+PIECE = re.compile(r"[^/=]{20,}")
 WIDTH = BEFORE + VALUE + AFTER
 _CODE = np.full(0x110000, 97, np.uint8)
 _CODE[32:127] = np.arange(1, 96)
@@ -70,6 +75,16 @@ def encoded(found: list[tuple[str, int, int]]) -> np.ndarray:
     return out
 
 
+def views(text: str, a: int, b: int) -> Iterator[tuple[str, int, int]]:
+    """What the network sees of a token: its start, and for a token beyond VALUE characters all the rest."""
+    yield text, a, b
+    if b - a > VALUE:
+        for k in (*range(a, b - VALUE, STEP), b - VALUE):
+            yield text, k, k + VALUE
+        for m in PIECE.finditer(text, a, b):
+            yield text, m.start(), m.end()
+
+
 @dataclass
 class Network:
     """Embedding, one convolution of width five, maximum and mean over places, logistic output, calibration."""
@@ -97,6 +112,13 @@ class Network:
         p = [1 / (1 + np.exp(-np.clip(self.slope * self._forward(x[i : i + 512])[-1] + self.shift, -30, 30))) for i in range(0, len(x), 512)]
         return np.concatenate(p) if p else np.zeros(0)
 
+    def scores(self, found: list[tuple[str, int, int]]) -> np.ndarray:
+        """The largest probability over the views of each token, some thousands of views at a time."""
+        out = np.zeros(len(found))
+        for part in itertools.batched(((i, v) for i, x in enumerate(found) for v in views(*x)), 4096):
+            np.maximum.at(out, [i for i, _ in part], self.probability(encoded([v for _, v in part])))
+        return out
+
 
 def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, epochs: int = 14, seed: int = 7) -> Network:
     """Fit on 60 % of the rows, calibrate on 20 %, choose the threshold on 20 %."""
@@ -195,7 +217,7 @@ def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, int, float
     for t, b in zip(texts, base, strict=True):
         more.append([(s, e) for s, e in candidates(t) if not any(x[0] <= s and e <= x[1] for x in b)] if b else candidates(t))
     found = [(t, s, e) for t, b, c in zip(texts, base, more, strict=True) for s, e, *_ in (*b, *c)]
-    p = net.probability(encoded(found)).tolist() if found else []
+    p = net.scores(found).tolist()
     out, at = [], 0
     for b, c in zip(base, more, strict=True):
         here = [(s, e, k, p[at + i]) for i, (s, e, k) in enumerate(b)]

@@ -387,6 +387,20 @@ def test_network_and_redaction(spark, odd):
     assert secret_scan.find_secrets(clash, redact=True).count() == odd.count()
 
 
+def test_secrets_beyond_the_window():
+    net, rnd = secret_scan.network(), random.Random(8)
+    some = lambda n: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n))
+    path = "com/v1/projects/alpha/deployments/production/webhooks/"
+    for value in (path + "9fA3kLmQz7Xy2Vb8Nc4Rt6", path + some(40), path * 3 + some(24) + "/edit", "page=1=stage=production=region=westeurope=name=checkout=k=" + some(32), path + some(22) + "/" + path):
+        text = f"see {value} for it"
+        spans = secret_scan.scan([text], net)[0]
+        assert [(s, e, k) for s, e, k, _ in spans] == [(4, 4 + len(value), 3)] and secret_scan.redacted(text, spans) == "see [secret] for it", value
+    assert secret_scan.scan([f"see {path}2024 and {path}{path}12 for it", ""], net) == [[], []]
+    found, _ = secret_scan.labelled_findings(300, 78)
+    for (text, a, b), p, q in zip(found, net.probability(secret_scan.encoded(found)), net.scores(found), strict=True):
+        assert abs(p - q) < 1e-9 if b - a <= secret_scan.VALUE else q >= p - 1e-9, text
+
+
 # ------------------------------------------------------------------ archives
 
 

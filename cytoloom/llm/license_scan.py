@@ -18,9 +18,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases that are always reported.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: (label, keyword, name pattern, identifier pattern) over lowered words with single spaces.
+#: (label, keyword, name pattern, identifier pattern or none) over lowered words with single spaces. The keyword is
+#: in all that the name pattern matches.
 LICENSES = (
-    ("MIT", "mit", "(?:mit|expat) licen[cs]e", "mit"),
+    ("MIT", "mit", "mit licen[cs]e", "mit"),
+    ("MIT", "expat", "expat licen[cs]e", None),
     ("MIT-0", "mit no attribution", "mit no attribution(?: licen[cs]e)?", "mit 0"),
     ("X11", "x11", "x11 licen[cs]e", "x11"),
     ("ISC", "isc", "isc licen[cs]e", "isc"),
@@ -92,7 +94,7 @@ LICENSES = (
     ("LPPL-1.3c", "latex project", "latex project public licen[cs]e(?: (?:version |v)?1 3c?)?", "lppl 1 3c?"),
     ("OFL-1.1", "open font", "(?:sil )?open font licen[cs]e(?: (?:version |v)?1 1)?", "ofl 1 1"),
     ("Ubuntu-font-1.0", "ubuntu font", "ubuntu font licen[cs]e(?: (?:version |v)?1 0)?", "ubuntu font 1 0"),
-    ("ODbL-1.0", "open database", "open (?:data commons )?(?:open )?database licen[cs]e(?: (?:version |v)?1 0)?", "odbl 1 0"),
+    ("ODbL-1.0", "database", "open (?:data commons )?(?:open )?database licen[cs]e(?: (?:version |v)?1 0)?", "odbl 1 0"),
     ("ODC-By-1.0", "open data commons", "open data commons attribution licen[cs]e(?: (?:version |v)?1 0)?", "odc by 1 0"),
     ("PDDL-1.0", "public domain dedication", "(?:open data commons )?public domain dedication (?:and )?licen[cs]e", "pddl 1 0"),
     ("CC0-1.0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
@@ -155,7 +157,8 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, pattern, priority, confidence) in order; patterns want a space on either side."""
     out = []
     for label, key, name, identifier in LICENSES:
-        out.append((label, "spdx", f" spdx licen[cs]e identifier {identifier} ", *TAG))
+        if identifier:
+            out.append((label, "spdx", f" spdx licen[cs]e identifier {identifier} ", *TAG))
         out.append((label, key, f" {GRANT}(?:{name}) ", *NOTICE))
         out.append((label, key, f" (?:{name}) ", *NAME))
     out += [(label, key, f" (?:{pattern}) ", *SENTENCE) for label, key, pattern in SENTENCES]

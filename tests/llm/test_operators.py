@@ -351,6 +351,37 @@ def test_licenses(spark, odd, empty):
     assert len(license_scan.rules()) > 300
 
 
+def matched(tree):
+    """Strings that a rule's pattern matches, every alternative among them."""
+    out = [""]
+    for op, x in tree:
+        if op is re._constants.LITERAL:
+            part = [chr(x)]
+        elif op is re._constants.IN:
+            part = ["z"] if x[0][0] is re._constants.NEGATE else [chr(v if k is re._constants.LITERAL else v[0]) for k, v in x]
+        elif op is re._constants.NOT_LITERAL:
+            part = ["z"]
+        elif op is re._constants.SUBPATTERN:
+            part = matched(x[3])
+        elif op is re._constants.BRANCH:
+            part = [s for b in x[1] for s in matched(b)]
+        else:
+            assert op is re._constants.MAX_REPEAT
+            part = [s * n for s in matched(x[2]) for n in {x[0], max(x[0], 1)}]
+        out = [a + b for a in out for b in dict.fromkeys(part)]
+    return out
+
+
+def test_license_keywords(spark):
+    for label, key, pattern, priority, _ in license_scan.rules():
+        if priority != license_scan.NOTICE[0]:  # a notice holds a name
+            for s in matched(re._parser.parse(pattern)):
+                assert re.fullmatch(pattern, s) and key in s and any(r in s for r in license_scan.ROOTS), (label, s)
+    texts = ["Released under the Expat License", "an Expat Licence here", "Open Data Commons Database License v1.0", "the Open Database License", "MIT License", "an expat"]
+    got = license_scan.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r["labels"] for r in got.orderBy("doc_id").collect()] == ["MIT", "MIT", "ODbL-1.0", "ODbL-1.0", "MIT,mit", ""]
+
+
 # ------------------------------------------------------------------ secrets
 
 

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cytoloom.llm.common import written
 from cytoloom.llm.decontamination import contamination
@@ -43,13 +42,26 @@ def _without(rows: DataFrame, bad: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; documents without an id all stay."""
-    found = written(similar(docs, *NEAR).where(F.col("doc_id").isNotNull()), "near")
-    each = found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("times"))
-    rows = _without(docs, each.where("doc_id <> component"), "doc_id")
-    if each.where("times > 1").limit(1).count():  # repeated rows of one document
-        one = Window.partitionBy("doc_id").orderBy("text")
-        rows = rows.withColumn("_cytoloom_row", F.row_number().over(one)).where("_cytoloom_row = 1 OR doc_id IS NULL")
+    """Of each group of near copies the row with the smallest id stays, one without an id only where none has one.
+
+    Rows are told apart by a hash of id and text, so that rows of one id go only if their texts are equal or linked.
+    """
+    key = "_cytoloom_key"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = written(similar(keyed, *NEAR, id_col=key), "near")
+    each = written(found.groupBy(key).agg(F.min("component_id").alias("component"), F.count("*").alias("times")).where(f"{key} <> component OR times > 1"), "copies")
+    linked = each.where(f"{key} <> component").select(key, "component")
+    linked = written(linked.union(linked.select("component", "component").distinct()), "linked")
+    ids = keyed.groupBy(key).agg(F.min("doc_id").alias("doc_id")).join(linked, key)
+    best = ids.groupBy("component").agg(F.min_by(key, F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias(key))
+    rows = _without(keyed, linked.join(best.select(key), key, "left_anti"), key)
+    again = written(each.where("times > 1").select(key), "again")
+    n = again.count()
+    if n:  # equal rows: combined before the shuffle, whatever their number
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        order = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+        some = rows.join(F.broadcast(again) if n <= FEW else again, key, "left_semi").groupBy(key).agg(F.min_by(whole, order).alias("_row"))
+        return _columns(_without(rows, again, key), docs).union(some.select("_row.*"))
     return _columns(rows, docs)
 
 

@@ -52,3 +52,25 @@ def test_stages(spark, corpus):
     for i in steps[3]:
         pieces = sorted((r["start"], r["length"], r["doc_tokens"]) for r in packed if r["doc_id"] == i)
         assert sum(p[1] for p in pieces) == pieces[0][2]
+
+
+def test_near_duplicates_without_unique_ids(spark):
+    rnd = random.Random(5)
+    text = lambda n=60: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 7))) for _ in range(n))
+    one, two, three, four, five, six, seven = (text() for _ in range(7))
+    rows = [
+        (1, one), (1, two),  # one id, different texts: both stay
+        (1, two + " extra"), (2, one + " extra"),  # near copies of either
+        (None, three), (None, three), (None, three + " extra"), (None, four),  # without ids
+        (7, four + " extra"), (None, one),  # an id goes before none
+        (5, five), (5, five), (5, five),  # equal rows
+        (-3, six), (3, six), (4, six + " extra"), (None, None), (8, ""), (9, ""), (10, seven),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == COLUMNS and got.schema == docs.schema
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    sure = [(1, one), (7, four + " extra"), (5, five), (-3, six), (None, None), (8, ""), (9, ""), (10, seven)]
+    either = [((1, two), (1, two + " extra")), ((None, three), (None, three + " extra"))]
+    assert all(left.count(x) == 1 for x in sure) and all(left.count(x) + left.count(y) == 1 for x, y in either)
+    assert len(left) == len(sure) + len(either)

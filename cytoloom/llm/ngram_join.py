@@ -1,10 +1,12 @@
 """Exact Jaccard self-join of documents on word shingles, by a token-group matrix.
 
 1. Documents with equal shingle sets become one node (its smallest id).
-2. Every token's document frequency is found once, over the nodes, from packed arrays shuffled by token. A
-   document can have a partner only if ceil(t n) of its n tokens occur elsewhere; only such *active* documents
-   go on. With tokens ordered by frequency, two partners share one of the first n - ceil(t n) + 1 of the larger
-   and of the first n - ceil(2 t n / (1 + t)) + 1 of the smaller.
+2. Every token's frequency is found once, from packed arrays shuffled by token; equal sets of one batch of texts
+   count once, and a batch sends each token once with its count, so a token that every document has makes one entry
+   a batch. A document can have a partner only if ceil(t n) of its n tokens occur elsewhere; only such *active*
+   nodes go on, with the tokens they share (others are in no intersection). With tokens ordered by frequency, two
+   partners share one of the first n - ceil(t n) + 1 of the larger and of the first n - ceil(2 t n / (1 + t)) + 1 of
+   the smaller. Texts are read twice and never shuffled, whatever the number of documents.
 3. Active documents are partitioned into groups of similar ones (by the minimum hash of their shared tokens),
    at most ``GROUP`` in each. Links inside a group are settled by one matrix product.
 4. A document is a query to another group when the token-group matrix has one of its prefix tokens in that
@@ -18,19 +20,18 @@ No pair is emitted inside a group of copies, and no group, list or component rea
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, mix, shingles_of, signed, slices, utf8_of, words_of, written
+from .common import SPACE_WORDS, forget, mix, shingles_of, signed, slices, utf8_of, words_of, written
 from .components import components
 
 GROUP = 256
-#: Tokens of one slice of the frequency table; with 32 bits of a hash within a slice, about 0.1 % of tokens seem shared and are not.
-SLICE = 4_000_000
+#: Tokens of one slice of the frequency table, of a bucket of groups and (twice as many) of a group: 8 bytes each.
+SLICE = 1_000_000
 KEYS = 3
 
 
@@ -47,7 +48,9 @@ def row_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of every row, and where each row's begin."""
     h, before, _, _ = words_of(*utf8_of(column), SPACE_WORDS)
     x, r = shingles_of(h, before, k)
-    order = np.lexsort((x, r))
+    order = np.argsort(x)
+    if len(column) > 1:
+        order = order[np.argsort(r[order].astype(np.uint16) if len(column) <= 1 << 16 else r[order], kind="stable")]
     x, r = x[order], r[order]
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
@@ -60,148 +63,149 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-class Restriction:
-    """Rows whose id may be in a table of ids: by a bitmap of fixed size while that is selective, else by a semi-join."""
-
-    def __init__(self, ids: DataFrame, most_bits: int = 1 << 26):
-        n = ids.count()
-        self.ids, self.bits, self.data = ids, 1 << 16, None
-        while self.bits < min(16 * n, most_bits):
-            self.bits *= 2
-        if 4 * n <= self.bits:
-            at = F.pmod(F.xxhash64(ids.columns[0]), F.lit(self.bits))
-            words = ids.select(at.alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x % 32 AS int)))").alias("b")).toArrow()
-            table = np.zeros(self.bits // 32, np.uint32)
-            table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
-            self.data = ids.sparkSession.sparkContext.broadcast(table)
-
-    def rows(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """i, t and x, a place in the bitmap."""
-        if self.data is None:
-            docs = docs.join(self.ids.select(F.col(self.ids.columns[0]).alias(id_col)), id_col, "left_semi")
-        return docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"), F.pmod(F.xxhash64(docs[id_col].cast("long")), F.lit(self.bits)).alias("x"))
-
-    def may(self):
-        """A function of a batch (column x) for the executors."""
-        data = self.data
-        if data is None:
-            return lambda b: b
-        def keep(b: pa.RecordBatch) -> pa.RecordBatch:
-            x = b.column(2).to_numpy(zero_copy_only=False)
-            return b.filter(pa.array((data.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 > 0))
-        return keep
+def _signs(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two sums of hashes of each row's set: equal for equal sets."""
+    return np.diff(at), signed(_sums(mix(x), at)), signed(_sums(mix(x ^ np.uint64(0x5851F42D4C957F2D)), at))
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            x, at = row_sets(b.column(1), k)
-            s1, s2 = _sums(mix(x), at), _sums(mix(x ^ np.uint64(0x5851F42D4C957F2D)), at)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), pa.array(signed(s1)), pa.array(signed(s2))], ["i", "n", "s1", "s2"])
+            n, s1, s2 = _signs(*row_sets(b.column(1), k))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2)], ["i", "n", "s1", "s2"])
 
     return docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t")).mapInArrow(run, "i long, n long, s1 long, s2 long")
 
 
-def _frequent(rows: DataFrame, may, n_slices: int, k: int, num: int, den: int) -> DataFrame:
-    """node, n and prefix (order keys: frequency in the upper 16 bits) of every active document."""
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of every range, ``many`` each, one after the other."""
+    total = np.r_[0, np.cumsum(many)]
+    return np.repeat(start - total[:-1], many) + np.arange(total[-1])
+
+
+PACKED = "slice long, batch long, a binary, b binary, c binary, d binary"
+SHARED = "batch long, slice long, a binary, b binary, c binary, d binary"
+ACTIVE = "node long, n long, family long, short int, keys array<long>, prefix array<long>, tokens binary"
+
+
+def _active(docs: DataFrame, id_col: str, text_col: str, n_slices: int, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Documents that may have a partner, one of equal sets in a batch: ACTIVE, ``tokens`` being the 64-bit shared tokens, rarest first; and a table to forget.
+
+    A batch sends its different tokens (48 bits) with their counts to slices of the token space, and the rows that
+    have them past the slices to its own place, where the answers (a bit for each token sent, and of those that are
+    shared the frequency and the token) meet them.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        for b in slices((may(b) for b in batches), "t", 4 << 20):
+        for b in slices(batches, "t", 4 << 20):
             x, at = row_sets(b.column(1), k)
-            n = np.diff(at)
-            row = np.repeat(np.arange(len(n), dtype=np.uint16 if len(n) < 1 << 16 else np.uint32), n)
-            s = ((x >> np.uint64(32)) % np.uint64(n_slices)).astype(np.int64)
-            order = np.argsort(s, kind="stable")
-            cut = np.searchsorted(s[order], np.arange(n_slices + 1))
-            low, row = x[order].astype(np.uint32), row[order].astype(np.uint32)
-            full = np.flatnonzero(np.diff(cut)).tolist()
-            wide = "<u2" if len(n) < 1 << 16 else "<u4"
+            ids = b.column(0).to_numpy()
+            n, s1, s2 = _signs(x, at)
+            order = np.lexsort((ids, s2, s1, n))
+            same = np.zeros(len(order), bool)
+            same[1:] = (n[order][1:] == n[order][:-1]) & (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])
+            mine = n > 0
+            mine[order[same]] = False
+            place = np.cumsum(mine) - 1
+            has = np.repeat(mine, n)
+            row = np.repeat(place, n)[has].astype(np.uint16)
+            x = x[has]
+            order = np.argsort(x, kind="stable")
+            x, row = x[order], row[order]
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+            many = np.diff(np.r_[first, len(x)]).astype("<u2")
+            x = x[first]
+            at_slice = ((x >> np.uint64(40)) * np.uint64(n_slices) >> np.uint64(24)).astype(np.int64)
+            full, begin = np.unique(at_slice, return_index=True)
+            ends = [*begin.tolist(), len(x)]
+            low, mid = x.astype("<u4"), (x >> np.uint64(32)).astype("<u2")
+            cut = lambda z: [z[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
             cols = [
-                [-1 - number % n_slices, *full],
-                [number] * (len(full) + 1),
-                [b.column(0).to_numpy().astype("<i8").tobytes(), *(row[cut[j] : cut[j + 1]].astype(wide).tobytes() for j in full)],
-                [n.astype("<i8").tobytes(), *(low[cut[j] : cut[j + 1]].tobytes() for j in full)],
+                pa.array([-1 - number % n_slices, *full.tolist()], pa.int64()),
+                pa.array([number] * (len(full) + 1), pa.int64()),
+                pa.array([np.concatenate([ids[mine], n[mine]]).astype("<i8").tobytes(), *cut(low)], pa.binary()),
+                pa.array([many.tobytes(), *cut(mid)], pa.binary()),
+                pa.array([np.stack([full, begin], 1).astype("<u8").tobytes(), *cut(many)], pa.binary()),
+                pa.array([row.astype("<u2").tobytes(), *[b""] * len(full)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["slice", "batch", "rows", "tokens"])
+            yield pa.RecordBatch.from_arrays(cols, ["slice", "batch", "a", "b", "c", "d"])
             number += 1
 
     def count(group: pa.Table) -> pa.Table:
         s = group.column("slice")[0].as_py()
         if s < 0:
-            return group.select(["batch", "rows", "tokens"])
-        batch, raw, tok = group.column("batch").to_pylist(), group.column("rows").to_pylist(), group.column("tokens").to_pylist()
-        t = np.concatenate([np.frombuffer(x, "<u4") for x in tok])
-        value = np.sort(t)
+            return group.select(["batch", "slice", "a", "b", "c", "d"])
+        raw = [group.column(c).to_pylist() for c in ("a", "b", "c")]
+        size = [len(x) // 4 for x in raw[0]]
+        token = np.frombuffer(b"".join(raw[1]), "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(b"".join(raw[0]), "<u4")
+        many = np.frombuffer(b"".join(raw[2]), "<u2")
+        del raw
+        order = np.argsort(token)
+        value = token[order]
         first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        many = np.diff(np.r_[first, len(value)])
-        value, many = value[first][many > 1], many[many > 1]
+        times = np.add.reduceat(many[order].astype(np.int64), first)
+        seen = np.empty(len(token), np.uint16)
+        seen[order] = np.repeat(np.minimum(times, 65535).astype(np.uint16), np.diff(np.r_[first, len(value)]))
+        del order, value, first, times
         out: list[tuple] = []
-        for b, r, x in zip(batch, raw, tok, strict=True):
-            x = np.frombuffer(x, "<u4")
-            if not len(value):
-                break
-            k_ = np.minimum(np.searchsorted(value, x), len(value) - 1)
-            hit = np.flatnonzero(value[k_] == x)
+        at = 0
+        for b, m in zip(group.column("batch").to_pylist(), size, strict=True):
+            hit = np.flatnonzero(seen[at : at + m] > 1)
             if len(hit):
-                width = len(r) // len(x)
-                key = (np.minimum(many[k_[hit]], 65535).astype(np.uint64) << np.uint64(48)) | (mix((x[hit].astype(np.uint64) << np.uint64(28)) ^ np.uint64(s)) >> np.uint64(16))
-                out.append((b, np.frombuffer(r, f"<u{width}")[hit].astype("<u4").tobytes(), key.tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"batch": pa.array(cols[0], pa.int64()), "rows": pa.array(cols[1], pa.binary()), "tokens": pa.array(cols[2], pa.binary())})
+                x = token[at + hit]
+                out.append((b, s, np.packbits(seen[at : at + m] > 1).tobytes(), seen[at + hit].astype("<u2").tobytes(), x.astype("<u4").tobytes(), (x >> np.uint64(32)).astype("<u2").tobytes()))
+            at += m
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["batch", "slice", "a", "b", "c", "d"])
 
     def active(group: pa.Table) -> pa.Table:
-        ids = n = None
-        rows, keys = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
-        for r, t in zip(group.column("rows").to_pylist(), group.column("tokens").to_pylist(), strict=True):
-            if len(r) == len(t):  # the ids and set sizes of the batch
-                ids, n = np.frombuffer(r, "<i8"), np.frombuffer(t, "<i8")
-            else:
-                rows.append(np.frombuffer(r, "<u4"))
-                keys.append(np.frombuffer(t, "<u8"))
-        row, key = np.concatenate(rows), np.concatenate(keys)
+        own: tuple = ()
+        which, times, name = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint64)]
+        answers = sorted(zip(*(group.column(c).to_pylist() for c in ("slice", "a", "b", "c", "d")), strict=True), key=lambda x: x[0])
+        for x in answers:
+            if x[0] < 0:  # the batch's own record comes first
+                own = x[1:]
+                begins = np.frombuffer(own[2], "<u8")
+                continue
+            at_slice = int(begins[2 * np.searchsorted(begins[::2], x[0]) + 1])
+            which.append(at_slice + np.flatnonzero(np.unpackbits(np.frombuffer(x[1], np.uint8))))
+            times.append(np.frombuffer(x[2], "<u2"))
+            name.append(mix((np.frombuffer(x[4], "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(x[3], "<u4")) + np.uint64((x[0] << 48) & (1 << 64) - 1)))
+        which, times, name = (np.concatenate(y) for y in (which, times, name))
+        ids, n = np.frombuffer(own[0], "<i8").reshape(2, -1)
+        many, rows = np.frombuffer(own[1], "<u2"), np.frombuffer(own[3], "<u2")
+        begin = (np.cumsum(many, dtype=np.int64) - many)[which]
+        each = many[which].astype(np.int64)
+        row = rows[_ranges(begin, each)]
         shared = np.bincount(row, minlength=len(ids))
         need = needed(n, num, den)
         good = (shared >= need) & (n > 0)
         mine = good[row]
-        row, key = row[mine], key[mine]
-        order = np.lexsort((key, row))
-        row, key = row[order], key[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        prefix = place < (shared - need + 1)[row]
-        # The group key: the least hash among tokens that several documents have.
-        least = np.full(len(ids), np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(least, row, mix(key))
-        row, key = row[prefix], key[prefix]
+        row, name, times = row[mine], np.repeat(name, each)[mine], np.repeat(times, each)[mine]
+        order = np.lexsort((name, times, row))
+        row, name = row[order], name[order]
         who = np.flatnonzero(good)
         cut = np.searchsorted(row, np.r_[who, len(ids)])
-        lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(key)))
+        place = np.arange(len(row)) - np.repeat(cut[:-1], np.diff(cut))
+        prefix = name[place < (shared - need + 1)[row]]
+        size = np.minimum((shared - need + 1)[who], np.diff(cut))
+        least = lambda h: signed(np.minimum.reduceat(h, cut[:-1])) if len(who) else np.zeros(0, np.int64)
+        keys = np.stack([least(mix(name ^ np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for seed in range(KEYS)], 1)
+        lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x))
         short = np.maximum(shared - needed(2 * n, num, num + den) + 1, 0)
-        return pa.table({"node": pa.array(ids[who]), "n": pa.array(n[who]), "family": pa.array(signed(least[who])), "short": pa.array(short[who].astype(np.int32)), "prefix": lists})
-
-    packed = rows.mapInArrow(emit, "slice long, batch long, rows binary, tokens binary")
-    shared = packed.groupBy("slice").applyInArrow(count, "batch long, rows binary, tokens binary")
-    return shared.groupBy("batch").applyInArrow(active, "node long, n long, family long, short int, prefix array<long>")
+        return pa.table({
+            "node": pa.array(ids[who], pa.int64()), "n": pa.array(n[who], pa.int64()), "family": pa.array(least(mix(name)), pa.int64()),
+            "short": pa.array(short[who].astype(np.int32)), "keys": lists(np.arange(len(who) + 1) * KEYS, keys.reshape(-1)),
+            "prefix": lists(np.r_[0, np.cumsum(size)], signed(prefix)),
+            "tokens": pa.array([name[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()),
+        })
 
-
-def _sets(rows: DataFrame, may, k: int) -> DataFrame:
-    """node, tokens (sorted 64-bit) and minimum hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices((may(b) for b in batches), "t"):
-            x, at = row_sets(b.column(1), k)
-            full = np.flatnonzero(np.diff(at))
-            mins = []
-            for seed in range(KEYS):
-                h = mix(x ^ np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-                mins.append(signed(np.minimum.reduceat(h, at[full])) if len(full) else np.zeros(0, np.int64))
-            tokens = [x[at[j] : at[j + 1]].tobytes() for j in full.tolist()]
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(full) + 1, KEYS, dtype=np.int32)), pa.array(np.stack(mins, 1).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full)), pa.array(tokens, pa.binary()), keys], ["node", "tokens", "keys"])
-
-    return rows.mapInArrow(run, "node long, tokens binary, keys array<long>")
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
+    shared = written(rows.mapInArrow(emit, PACKED).groupBy("slice").applyInArrow(count, SHARED), "shared")
+    return shared.groupBy("batch").applyInArrow(active, ACTIVE), shared
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -233,24 +237,25 @@ def leaders(link: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         now = new
 
 
+def _groups(table: pa.Table, names: list[str]) -> dict:
+    return table.select(names).to_pandas().groupby(names, sort=False).indices
+
+
 def _within(num: int, den: int):
-    def run(group: pa.Table) -> pa.Table:
+    def run(bucket: pa.Table) -> pa.Table:
         """Links of each (key, chunk) of the bucket, as (a, its leader)."""
-        a_out, b_out = [], []
-        frame = group.select(["key", "chunk", "node"]).to_pandas()
-        tokens = group.column("tokens")
-        for _, at in frame.groupby(["key", "chunk"], sort=False).indices.items():
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        nodes, sizes = bucket.column("node").to_numpy(), bucket.column("n").to_numpy()
+        tokens = bucket.column("tokens")
+        for at in _groups(bucket, ["key", "chunk"]).values():
             if len(at) < 2:
                 continue
-            sets = [np.frombuffer(tokens[i].as_py(), np.uint64) for i in at.tolist()]
-            node = frame["node"].to_numpy()[at]
-            size = np.array([len(x) for x in sets], np.int64)
-            link = linked(intersections(sets), size[:, None], size[None, :], num, den)
-            lead = leaders(link, node)
+            node, n = nodes[at], sizes[at]
+            shared = intersections([np.frombuffer(tokens[i].as_py(), "<u8") for i in at.tolist()])
+            lead = leaders(linked(shared, n[:, None], n[None, :], num, den), node)
             a_out.append(node[lead != node])
             b_out.append(lead[lead != node])
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(a_out), pa.int64()), "b": pa.array(cat(b_out), pa.int64())})
+        return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
 
     return run
 
@@ -258,48 +263,45 @@ def _within(num: int, den: int):
 def _open(num: int, den: int):
     def run(asked: pa.Table, members: pa.Table) -> pa.Table:
         """Compare queries with the groups they may overlap; a group is opened only if its union's bound allows."""
-        of: dict[tuple, list[int]] = {}
-        group = list(zip(members.column("family").to_pylist(), members.column("chunk").to_pylist(), members.column("salt").to_pylist(), strict=True))
-        for i, g in enumerate(group):
-            of.setdefault(g, []).append(i)
-        node, comp = members.column("node").to_pylist(), members.column("component").to_pylist()
-        sets = [frozenset(np.frombuffer(x.as_py(), np.int64).tolist()) for x in members.column("tokens")]
-        union: dict[tuple, frozenset] = {g: sets[x[0]] if len(x) == 1 else frozenset().union(*(sets[i] for i in x)) for g, x in of.items()}
-        a_out, b_out = [], []
-        q = zip(asked.column("node").to_pylist(), asked.column("component").to_pylist(), asked.column("tokens"), asked.column("family").to_pylist(), asked.column("chunk").to_pylist(), asked.column("salt").to_pylist(), strict=True)
-        for a, c, raw, f, k, s in q:
-            if (f, k, s) not in of:
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        names = ["family", "chunk", "salt"]
+        inside = _groups(members, names)
+        sets = lambda t, at: [np.frombuffer(t.column("tokens")[i].as_py(), "<u8") for i in at.tolist()]
+        column = lambda t, c, at: t.column(c).to_numpy()[at]
+        for group, ask in _groups(asked, names).items():
+            at = inside.get(group)
+            if at is None:
                 continue
-            mine = np.frombuffer(raw.as_py(), np.int64).tolist()
-            least = needed(len(mine), num, den)
-            here = union[f, k, s].intersection(mine)
-            if len(here) < least:
-                continue
-            done = {c}
-            for i in of[f, k, s]:
-                if comp[i] in done:
-                    continue
-                other = sets[i]
-                if len(other) > len(mine) or len(other) * den < len(mine) * num:
+            own = sets(members, at)
+            token, who = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+            order = np.argsort(token)
+            token, who = token[order], who[order]
+            node, n, comp = (column(members, c, at) for c in ("node", "n", "component"))
+            for a, size, c, mine in zip(*(column(asked, x, ask).tolist() for x in ("node", "n", "component")), sets(asked, ask), strict=True):
+                low = np.searchsorted(token, mine, "left")
+                many = np.searchsorted(token, mine, "right") - low
+                if (many > 0).sum() < needed(size, num, den):  # overlap with the union
                     continue
-                if linked(len(other.intersection(here)), len(mine), len(other), num, den):
-                    a_out.append(a)
-                    b_out.append(node[i])
-                    done.add(comp[i])
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+                shared = np.bincount(who[_ranges(low, many)], minlength=len(own))
+                good = np.flatnonzero(linked(shared, size, n, num, den) & (comp != c) & (n <= size))
+                good = good[np.unique(comp[good], return_index=True)[1]]
+                a_out.append(np.full(len(good), a))
+                b_out.append(node[good])
+        return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
 
     return run
 
 
-def _chunks(rows: DataFrame, key: str) -> DataFrame:
-    """Add chunk: rows of one key are dealt by a hash of the node into parts of about GROUP."""
-    many = rows.groupBy(key).agg(F.count("*").alias("_m"))
-    rows = rows.join(many, key)
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("node", key), F.ceil(F.col("_m") / F.lit(GROUP))).cast("int"))
+def _chunks(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with _m, the rows of their key, and chunk: rows of one key are dealt by a hash of the node into parts of
+    about GROUP rows and 2 SLICE tokens. Also the table of keys, which is written so that the join can split a hot one."""
+    many = written(rows.groupBy(key).agg(F.count("*").alias("_m"), F.sum("size").alias("_t")), "keys")
+    parts = F.ceil(F.greatest(F.col("_m") / F.lit(GROUP), F.col("_t") / F.lit(2 * SLICE)))
+    return rows.join(many, key).withColumn("chunk", F.pmod(F.xxhash64("node", key), parts).cast("int")).drop("_t"), many
 
 
-def _buckets(n: int, per: int = 4000) -> int:
-    return max(8, -(-n // per))
+def _buckets(tokens: int | None) -> int:
+    return max(8, -(-(tokens or 0) // SLICE))
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,23 +313,24 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     sig = written(_signatures(docs, id_col, text_col, k), "signatures")
     known = sig.where("i IS NOT NULL AND n > 0")
     node_of = known.groupBy("s1", "s2", "n").agg(F.min("i").alias("node"))
-    nodes = written(node_of.select("node", "n"), "nodes")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    some = Restriction(nodes.select("node"))
-    active = written(_frequent(some.rows(docs, id_col, text_col), some.may(), max(4, -(-total // SLICE)), k, num, den), "active")
-    some = Restriction(active.select("node").distinct())
-    sets = written(_sets(some.rows(docs, id_col, text_col), some.may(), k).join(active.select("node").distinct(), "node", "left_semi"), "sets")
-    n_active = active.count()
+    total = known.agg(F.sum("n")).first()[0] or 0
+    active, shared = _active(docs, id_col, text_col, max(4, -(-total // SLICE)), k, num, den)
+    active = written(active.join(node_of.select("node").distinct().hint("shuffle_hash"), "node", "left_semi").withColumn("size", F.octet_length("tokens") / 8), "active")
+    forget(shared)
+    sets = active.select("node", "n", "tokens")
 
     # Links inside groups: three partitions by minimum hashes join most near copies.
-    rows = sets.select("node", "tokens", F.posexplode("keys").alias("r", "h"))
+    rows = active.select("node", "n", "size", "tokens", F.posexplode("keys").alias("r", "h"))
     rows = rows.withColumn("key", F.xxhash64("r", "h")).drop("h", "r")
-    rows = _chunks(rows, "key").where("_m > 1")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "chunk"), F.lit(_buckets(KEYS * n_active))))
+    rows, keys = _chunks(rows, "key")
+    rows = rows.where("_m > 1")
+    buckets = _buckets(int(active.agg(F.sum("size")).first()[0] or 0) * KEYS)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "chunk"), F.lit(buckets))).select("bucket", "key", "chunk", "node", "n", "tokens")
     inner = written(rows.groupBy("bucket").applyInArrow(_within(num, den), "a long, b long"), "links")
     comp = components(inner)
-    label = active.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    label = written(_chunks(label, "family").drop("_m"), "labels")
+    label = active.drop("tokens", "keys").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    label, families = _chunks(label, "family")
+    label = written(label.drop("_m"), "labels")
 
     # Queries to other groups, by the prefix tokens that more than one component has.
     cells = label.select("node", "n", "component", "family", "chunk", "short", F.posexplode("prefix").alias("place", "token"))
@@ -337,18 +340,24 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     ask = cells.select("token", "node", "n", "component").alias("q").join(matrix.alias("g"), "token")
     fits = (F.col("n_hi") * den >= F.col("q.n") * num) & (F.col("n_lo") <= F.col("q.n"))
     other = ~((F.col("g.lo") == F.col("q.component")) & (F.col("g.hi") == F.col("q.component")))
-    ask = ask.where(fits & other).select("q.node", "q.component", "g.family", "g.chunk").distinct()
-    ask = written(ask, "queries")
-    per = written(ask.groupBy("family", "chunk").agg(F.ceil(F.count("*") / 2000).cast("int").alias("salts")), "salts")
-    n_ask = ask.count()
-    b = F.pmod(F.xxhash64("family", "chunk", "salt"), F.lit(_buckets(n_ask, 2000)))
-    ask = ask.join(per, ["family", "chunk"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(sets.select("node", "tokens"), "node").withColumn("bucket", b)
-    sets, per = (x.toDF(*x.columns) for x in (sets, per))  # new column ids: both sides of the cogroup have these tables
-    members = label.select("node", "component", "family", "chunk").join(per, ["family", "chunk"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(sets.select("node", "tokens"), "node").withColumn("bucket", b)
-    outer = ask.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInArrow(_open(num, den), "a long, b long")
+    ask = written(ask.where(fits & other).select("q.node", "q.component", "g.family", "g.chunk").distinct(), "queries")
+    size = label.groupBy("node").agg(F.sum("size").alias("size"))
+    per = ask.join(size, "node").groupBy("family", "chunk").agg(F.count("*").alias("m"), F.sum("size").alias("asked"))
+    per = per.withColumn("salts", F.ceil(F.greatest(F.col("m") / 2000, F.col("asked") / F.lit(SLICE))).cast("int"))
+    salted = written(per.join(label.groupBy("family", "chunk").agg(F.sum("size").alias("inside")), ["family", "chunk"]), "salts")
+    buckets = _buckets(int(salted.agg(F.sum(F.col("asked") + F.col("inside") * F.col("salts"))).first()[0] or 0))
+    per = salted.select("family", "chunk", "salts")
+    b = F.pmod(F.xxhash64("family", "chunk", "salt"), F.lit(buckets))
+    queries = ask.join(per, ["family", "chunk"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(sets, "node").withColumn("bucket", b)
+    theirs, salts = sets.toDF(*sets.columns), per.toDF(*per.columns)  # new column ids: both sides of the cogroup have these tables
+    members = label.select("node", "n", "component", "family", "chunk").join(salts, ["family", "chunk"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(theirs, ["node", "n"]).withColumn("bucket", b)
+    columns = ["bucket", "node", "n", "component", "family", "chunk", "salt", "tokens"]
+    outer = queries.select(columns).groupBy("bucket").cogroup(members.select(columns).groupBy("bucket")).applyInArrow(_open(num, den), "a long, b long")
+    outer = written(outer, "links")
 
     # Ids of one class and sets of one id.
-    final = components(reduce(DataFrame.unionByName, [comp.select(F.col("node").alias("a"), F.col("component").alias("b")), written(outer, "links")]))
+    final = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(outer))
+    forget(keys, families, inner, comp, active, label, cells, ask, salted, outer)
     final = node_of.join(final, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
     rows = sig.join(final, ["s1", "s2", "n"], "left")
     return rows.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("i").isNotNull(), F.coalesce("component", "i")).alias("component_id"))

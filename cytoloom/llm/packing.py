@@ -15,15 +15,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import slices, texts_of, written
-from .tokens import tokenizer
+from .common import slices, written
+from .tokens import tokenizer, with_end
 
 #: Pieces per sequence in the tail classes.
 TAIL = (18, 20, 22, 24, 28, 32, 40, 48, 64, 96, 128, 192, 256, 384, 512, 1024, 2048)
@@ -52,13 +51,12 @@ def cuts(length: int, capacity: int, finest: int = 16) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, finest: int = 16, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False, remembered: int = 300_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, finest: int = 16, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``tokens``, the ids).
 
     Null and empty texts are documents of the end id alone. Repeated rows are packed each on its own; a null id
     stays null. Every id of a document lies in exactly one piece; offsets in a sequence have no gaps. Which
-    sequence holds a piece depends on the input's partitions, the pieces themselves do not. A worker remembers at
-    most ``remembered`` encoded words, some 200 bytes each, also while it waits for other work.
+    sequence holds a piece depends on the input's partitions, the pieces themselves do not.
     """
     spark = docs.sparkSession
     table: dict[int, list[tuple[int, int]]] = {}
@@ -67,20 +65,21 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, fine
         from pyspark import TaskContext
 
         worker, local = TaskContext.get().partitionId(), {}
-        tok = tokenizer(path, remembered)
-        end = np.array([end_id], "<u4").tobytes()
+        tok = tokenizer(path)
         for b in slices(batches, "t"):
             cols: list[list] = [[] for _ in range(9)]
-            for key, raw in zip(b.column(0).to_pylist(), tok.encode(texts_of(b.column(1))), strict=True):
-                raw += end
-                n, start = len(raw) // 4, 0
+            ids, ends = with_end(*tok.encode_column(b.column(1)), end_id)
+            data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            at = 0
+            for key, stop in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
+                n, start, raw, at = stop - at, 0, data[4 * at : 4 * stop], stop
                 if n not in table:
                     table[n] = cuts(n, capacity, finest)
                 for length, j in table[n]:
                     part = raw[4 * start : 4 * (start + length)]
                     rank = local.get(j, 0)
                     local[j] = rank + 1
-                    for c, v in zip(cols, (key, start, length, zlib.crc32(part), n, worker, j, rank, part if tokens else None), strict=True):
+                    for c, v in zip(cols, (key, start, length, zlib.crc32(part), n, worker, j, rank, bytes(part) if tokens else None), strict=True):
                         c.append(v)
                     start += length
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)

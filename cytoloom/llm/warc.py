@@ -1,8 +1,9 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
-Archives are written by Spark's text writer, so its commit protocol and any store it knows are used: a record
-ends in CR LF CR LF, of which the last LF is the writer's line end. Files are read whole as binary; a file
-holds at most ``records_per_file`` records.
+Archives are compressed record by record, one gzip member each, and written by Spark's text writer, so its commit
+protocol and any store it knows are used: the writer's line end is an empty gzip member, which stands for no bytes.
+A row of the writer is a block of some members, and a file holds at most ``BLOCKS`` blocks of about ``BLOCK`` bytes
+(a longer record is a block of its own), as files are read whole as binary.
 
 The reader checks each record (version line, headers, length, closing lines, block digest). After a failed
 check it searches for the next gzip member or version line from which a whole valid record can be read, goes
@@ -27,6 +28,7 @@ from .common import scratch_path, slices
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = b"\x1f\x8b\x08"
+BLOCK, BLOCKS, STEP = 2 << 20, 16, 1 << 14
 
 
 def sha1_base32(data: bytes) -> str:
@@ -57,11 +59,14 @@ def record(page: int | None, url: str | None, payload: bytes, first: int | None
 
 
 def member(raw: bytes, level: int = 6) -> bytes:
-    """``raw`` as one gzip member, for archives that are compressed record by record."""
+    """``raw`` as one gzip member."""
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
 
 
+EMPTY = member(b"")
+
+
 @dataclass
 class Part:
     """A record, or with ``gap`` why these bytes were set aside."""
@@ -109,14 +114,16 @@ def _at(raw: bytes, at: int) -> tuple[list[Part], int, str]:
     if raw[at : at + 3] != GZIP:
         one, why = _parse(raw, at)
         return ([] if why else [one]), one.length, why
-    z = zlib.decompressobj(31)
+    z, view, stop, parts = zlib.decompressobj(31), memoryview(raw), at, []
     try:
-        inner = z.decompress(raw[at:]) + z.flush()
+        while stop < len(raw) and not z.eof:  # a step at a time: what follows the member is not copied
+            parts.append(z.decompress(view[stop : stop + STEP]))
+            stop += STEP
     except zlib.error as e:
         return [], 0, f"damaged gzip member: {e}"
     if not z.eof:
         return [], 0, "gzip member without an end"
-    size = len(raw) - at - len(z.unused_data)
+    inner, size = b"".join(parts), min(stop, len(raw)) - at - len(z.unused_data)
     out: list[Part] = []
     place = 0
     while place < len(inner):
@@ -158,37 +165,59 @@ def salvage(raw: bytes) -> Iterator[Part]:
         yield Part(bad, len(raw) - bad, gap=reason)
 
 
-def with_first(pages: DataFrame, id_col: str = "page_id", least: int = 0) -> DataFrame:
-    """Add payload, first (the smallest id with the same payload) and revisit.
+def _packed(pages: DataFrame) -> DataFrame:
+    """page_id, url, digest, size and the compressed payload of every page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "html"):
+            raw = [(x or "").encode() for x in b.column(2).to_pylist()]
+            cols = [pa.array([hashlib.sha1(x).digest() for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([zlib.compress(x, 1) for x in raw], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["page_id", "url", "digest", "size", "z"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, digest binary, size long, z binary")
+
+
+def with_first(pages: DataFrame, least: int = 0) -> DataFrame:
+    """page_id, url, digest, size, z (compressed payload), first (the smallest id with the same payload) and revisit.
 
     Payloads are equal when their SHA-1 is. The smallest ids are found by an aggregation that combines before
-    the shuffle, and joined back, so one payload of a third of all pages is split by the adaptive join.
+    the shuffle, and joined to the compressed payloads, so one payload of a third of all pages is split by the
+    adaptive join.
     """
-    rows = pages.withColumn("payload", F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    first = rows.groupBy("digest").agg(F.min(id_col).alias("first"))
-    rows = rows.join(first, "digest")
-    again = (F.octet_length("payload") >= least) & F.col("first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("first"))
+    digest = F.unhex(F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
+    first = pages.select("page_id", digest.alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first"))
+    rows = _packed(pages).join(first, "digest")
+    again = (F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.withColumn("revisit", again)
 
 
-def write_warc(pages: DataFrame, to: str, least: int = 0, records_per_file: int = 8_000) -> None:
+def write_warc(pages: DataFrame, to: str, least: int = 0, level: int = 1) -> None:
     """Write pages (page_id, url, html) to the folder ``to``.
 
     Null html is an empty payload, a null url ``about:blank``; a null page_id has an empty record name and
     revisits the smallest id of its payload, if any has one. Rows that repeat the smallest id are all
-    responses. Other columns are ignored.
+    responses. Other columns are ignored. No pages: no records.
     """
-    rows = with_first(pages.select("page_id", "url", "html"), least=least).select("page_id", "url", "payload", "first", "revisit")
+    rows = with_first(pages, least).select("page_id", "url", "z", "first", "revisit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        block = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                out = [record(r["page_id"], r["url"], r["payload"], r["first"], r["revisit"])[:-1] for r in b.slice(at, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for page, url, z, first, revisit in zip(*(c.to_pylist() if j != 2 else c for j, c in enumerate(b.columns)), strict=True):
+                x = member(record(page, url, zlib.decompress(z.as_py()), first, revisit), level)
+                if held and size + len(x) > BLOCK:
+                    yield block()
+                    held, size = [], 0
+                held.append(x)
+                size += len(x)
+        if held:
+            yield block()
 
     lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("maxRecordsPerFile", records_per_file).text(to)
+    lines.write.option("maxRecordsPerFile", BLOCKS).option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(to)
 
 
 SCHEMA = "file string, offset long, length long, gap string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"

@@ -21,13 +21,8 @@ from cytoloom.llm.secret_scan import find_secrets
 
 #: Shingles of five words, Jaccard similarity of 0.8 or more.
 NEAR = (5, 80, 100)
-#: At most so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
-FEW = 500_000
-
-
-def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``docs``, whatever their names."""
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+#: The stages' own key; a column of ``docs`` with this name stays what it is.
+KEY = "_cytoloom_key"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,53 +30,56 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-def _without(rows: DataFrame, bad: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose key is not in ``bad``; keys are broadcast while they are few, so that texts need no shuffle."""
-    bad = written(bad.select(key).distinct(), "dropped")
-    return rows.join(F.broadcast(bad) if bad.count() <= FEW else bad, key, "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """KEY, a hash of id and text, and the whole row as ``row``, whatever the columns' names."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(F.xxhash64("doc_id", "text").alias(KEY), F.col("text"), F.col("doc_id"), whole.alias("row"))
+
+
+def _without(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """``rows`` whose KEY is not in ``bad``: one hash join at every size, for which each row crosses the network once."""
+    return rows.join(bad.select(KEY).distinct().hint("shuffle_hash"), KEY, "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id stays, one without an id only where none has one.
 
-    Rows are told apart by a hash of id and text, so that rows of one id go only if their texts are equal or linked.
+    Rows are told apart by a hash of id and text, so that rows of one id go only if their texts are equal or linked,
+    and null ids are compared too. Of equal rows one stays. Null and empty texts are near nothing but their equals.
     """
-    key = "_cytoloom_key"
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = written(similar(keyed, *NEAR, id_col=key), "near")
-    each = written(found.groupBy(key).agg(F.min("component_id").alias("component"), F.count("*").alias("times")).where(f"{key} <> component OR times > 1"), "copies")
-    linked = each.where(f"{key} <> component").select(key, "component")
+    keyed = _keyed(docs)
+    found = written(similar(keyed, *NEAR, id_col=KEY), "near")
+    linked = found.where(f"{KEY} <> component_id").select(KEY, F.col("component_id").alias("component")).distinct()
     linked = written(linked.union(linked.select("component", "component").distinct()), "linked")
-    ids = keyed.groupBy(key).agg(F.min("doc_id").alias("doc_id")).join(linked, key)
-    best = ids.groupBy("component").agg(F.min_by(key, F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias(key))
-    rows = _without(keyed, linked.join(best.select(key), key, "left_anti"), key)
-    again = written(each.where("times > 1").select(key), "again")
-    n = again.count()
-    if n:  # equal rows: combined before the shuffle, whatever their number
-        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        order = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
-        some = rows.join(F.broadcast(again) if n <= FEW else again, key, "left_semi").groupBy(key).agg(F.min_by(whole, order).alias("_row"))
-        return _columns(_without(rows, again, key), docs).union(some.select("_row.*"))
-    return _columns(rows, docs)
+    ids = keyed.groupBy(KEY).agg(F.min("doc_id").alias("doc_id")).join(linked, KEY)
+    best = ids.groupBy("component").agg(F.min_by(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias(KEY))
+    bad = written(linked.join(best.select(KEY), KEY, "left_anti"), "dropped")
+    # Equal rows are combined before the shuffle, whatever their number, and the join keeps its partitions.
+    order = F.xxhash64(*(F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+    each = keyed.groupBy(KEY).agg(F.min_by("row", order).alias("row"))
+    return _without(each, bad).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any window of ten words of a benchmark item go. The verdict follows the text, so equal rows share it."""
-    key = F.xxhash64("doc_id", "text")
-    found = contamination(docs.select(key.alias("_cytoloom_key"), "text"), table(spark, sf_dir, "benchmark"), 10, "_cytoloom_key")
-    return _columns(_without(docs.withColumn("_cytoloom_key", key), found.where("contaminated"), "_cytoloom_key"), docs)
+    """Documents with any window of ten words of a benchmark item go; repeated rows go or stay together, as the verdict
+    follows the text. Null and empty texts stay, as does everything where ``benchmark`` has no rows."""
+    keyed = _keyed(docs)
+    found = contamination(keyed.select(KEY, "text"), table(spark, sf_dir, "benchmark"), 10, KEY)
+    bad = written(found.where("contaminated").select(KEY), "contaminated")
+    return _without(keyed, bad).select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; stretches that hold a secret become ``[secret]`` and n_chars follows."""
-    rows = find_secrets(docs, redact=True)
-    changed = F.size("secret_spans") > 0
+    """Every row stays; stretches that hold a secret become ``[secret]`` and n_chars follows. Null texts stay null."""
+    spans = next(c for c in (KEY + "_" * k for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    rows = find_secrets(docs, redact=True, spans_col=spans)
+    changed = F.size(spans) > 0
     rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return _columns(rows, docs)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in sequences of 2048 tokens."""
+    """One row per piece of a document in sequences of 2048 tokens; a null or empty text is the end id alone."""
     return pack(docs, vocabulary("word_bpe_49k.json"), 2048, 1)
 
 

@@ -155,13 +155,16 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns; the texts are measured twice, never shuffled."""
-    stats = written(measured(docs.select("doc_id", "lang", "text")).drop("text"), "quality")
-    cuts = cutoffs(calibrate(stats, labels.select("doc_id", "quality"), alpha, delta))
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    Every text is measured once: rows and measures are written, calibrated on the measures alone, and judged as they
+    are read again; texts are never shuffled. Nulls, empty texts and repeated rows as in :func:`quality`; without
+    labels only the base rules act.
+    """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = measured(docs.select("lang", "text", whole))
-    # A filter would be pushed below the measures and repeat them in its predicate; a generator is not.
-    return judged(rows, cuts).select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
+    stats = written(measured(docs.select("doc_id", "lang", "text", whole)).drop("text"), "quality")
+    cuts = written(cutoffs(calibrate(stats.drop("_row"), labels.select("doc_id", "quality"), alpha, delta)), "cutoffs")
+    return judged(stats, cuts).where("kept").select("_row.*")
 
 
 ORACLE = r"""

@@ -10,7 +10,6 @@ on a second part, and the threshold is the largest that keeps a stated recall on
 from __future__ import annotations
 
 import functools
-import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -26,13 +25,13 @@ KINDS = ("assign", "access", "hex", "network")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 BEFORE, VALUE, AFTER = 28, 48, 12
 #: Longer tokens are seen through windows of VALUE characters, one every so many, and piece by piece between / and =.
 STEP = 16
-PIECE = re.compile(r"[^/=]{20,}")
+PIECE = re.compile(r"[^/=]{16,}")
 WIDTH = BEFORE + VALUE + AFTER
 _CODE = np.full(0x110000, 97, np.uint8)
 _CODE[32:127] = np.arange(1, 96)
@@ -181,7 +180,7 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> tuple[list[tuple[str, in
     for _ in range(n):
         good = rng.random() < 0.5
         if good:
-            value = pick([lambda: some(hexa, rng.integers(32, 65)), lambda: "AKIA" + some(alnum[:26] + "0123456789", 16), lambda: some(alnum, rng.integers(20, 44)), lambda: some(alnum + "+/", rng.integers(24, 48)) + "=", lambda: "ghp_" + some(alnum, 36), lambda: "sk_live_" + some(alnum, 24), lambda: some(alnum + "_-", rng.integers(20, 43))])()
+            value = pick([lambda: some(hexa, rng.integers(32, 65)), lambda: "AKIA" + some(alnum[:26] + "0123456789", 16), lambda: some(alnum, rng.integers(16, 44)), lambda: some(alnum + "+/", rng.integers(24, 48)) + "=", lambda: "ghp_" + some(alnum, 36), lambda: "sk_live_" + some(alnum, 24), lambda: some(alnum + "_-", rng.integers(20, 43))])()
             before = pick([lambda: f"{pick(keys)} = \"", lambda: f"{pick(keys)}: ", lambda: f"{pick(keys)}=", lambda: "Bearer ", lambda: f"'{pick(keys)}': '", lambda: f"{prose()} "])()
         else:
             value = pick([
@@ -193,6 +192,7 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> tuple[list[tuple[str, in
                 lambda: f"page{rng.integers(1, 99)}=" + "=".join(word() for _ in range(4)),
                 lambda: "".join(word() for _ in range(9)) + str(rng.integers(0, 9)),
                 lambda: some("0123456789", 12) + "-" + word() + "-" + some("0123456789", 6),
+                lambda: (word() + word() + word())[:18] + str(rng.integers(0, 2100)),
                 lambda: "=" * rng.integers(18, 40) + word() + str(rng.integers(1, 9)),
                 lambda: pick(("your", "my", "example", "changeme")) + "_" + pick(keys) + "_goes_here_" + str(rng.integers(1, 99)),
             ])()
@@ -231,23 +231,24 @@ def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, int, float
 SPAN = "array<struct<kind: string, start: long, end: long, probability: double>>"
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", recall: float = 0.98, redact: bool = False) -> DataFrame:
-    """``docs`` with ``secret_spans`` (by start, then kind), whole texts scanned; null and empty texts have none.
+def find_secrets(docs: DataFrame, text_col: str = "text", recall: float = 0.98, redact: bool = False, spans_col: str = "secret_spans") -> DataFrame:
+    """``docs`` with ``spans_col`` (by start, then kind), whole texts scanned; null and empty texts have none.
 
     With ``redact`` each covered stretch of the text becomes ``[secret]``. Other columns pass through; a column
-    that is already named ``secret_spans`` is replaced.
+    that is already named so is replaced.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     net = docs.sparkSession.sparkContext.broadcast(network(recall))  # some 10 kB, whatever the input
-    docs = docs.drop("secret_spans")
-    schema = T.StructType(list(docs.schema.fields)).add("secret_spans", T._parse_datatype_string(SPAN))
-    at = docs.schema.fieldNames().index(text_col)
+    docs = docs.drop(spans_col)
+    names, at = docs.columns, docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # any names, dots in them too
+    schema = T.StructType(list(plain.schema.fields)).add("spans", T._parse_datatype_string(SPAN))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, f"c{at}"):
             texts = texts_of(b.column(at))
             spans = scan(texts, net.value)
             cols = list(b.columns)
@@ -260,7 +261,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", recall: float = 0.98,
             cols.append(pa.array([[{"kind": KINDS[k], "start": s, "end": e, "probability": p} for s, e, k, p in x] for x in spans], arrow.field(len(cols)).type))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names, spans_col)
 
 
 def redacted(text: str, found: list[tuple[int, int, int, float]]) -> str:
@@ -283,7 +284,3 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reca
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     many = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select(id_col, *(many(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("secret_spans")).alias("spans"))
-
-
-def span_sha(found: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in found).encode()).hexdigest()

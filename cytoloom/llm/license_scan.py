@@ -132,6 +132,76 @@ LICENSES = (
     ("ICU", "icu", "icu licen[cs]e", "icu"),
     ("FTL", "freetype", "freetype (?:project )?licen[cs]e", "ftl"),
     ("IJG", "jpeg group", "independent jpeg group(?: licen[cs]e)?", "ijg"),
+    ("APSL-2.0", "apple public", "apple public source licen[cs]e(?: (?:version |v)?2 0)?", "apsl 2 0"),
+    ("AAL", "attribution assurance", "attribution assurance licen[cs]e", "aal"),
+    ("APL-1.0", "adaptive public", "adaptive public licen[cs]e(?: (?:version |v)?1 0)?", "apl 1 0"),
+    ("BitTorrent-1.1", "bittorrent", "bittorrent open source licen[cs]e(?: (?:version |v)?1 1)?", "bittorrent 1 1"),
+    ("CAL-1.0", "cryptographic autonomy", "cryptographic autonomy licen[cs]e(?: (?:version |v)?1 0)?", "cal 1 0"),
+    ("CATOSL-1.1", "computer associates", "computer associates trusted open source licen[cs]e(?: (?:version |v)?1 1)?", "catosl 1 1"),
+    ("CPAL-1.0", "common public attribution", "common public attribution licen[cs]e(?: (?:version |v)?1 0)?", "cpal 1 0"),
+    ("CUA-OPL-1.0", "cua office", "cua office public licen[cs]e(?: (?:version |v)?1 0)?", "cua opl 1 0"),
+    ("EFL-2.0", "eiffel forum", "eiffel forum licen[cs]e(?: (?:version |v)?2(?: 0)?)?", "efl 2 0"),
+    ("Entessa", "entessa", "entessa public licen[cs]e(?: (?:version |v)?1 0)?", "entessa"),
+    ("EUDatagrid", "eu datagrid", "eu datagrid software licen[cs]e", "eudatagrid"),
+    ("Fair", "fair licen", "fair licen[cs]e", "fair"),
+    ("Frameworx-1.0", "frameworx", "frameworx open licen[cs]e(?: (?:version |v)?1 0)?", "frameworx 1 0"),
+    ("HPND", "historical permission", "historical permission notice and disclaimer(?: licen[cs]e)?", "hpnd"),
+    ("IPA", "ipa font", "ipa font licen[cs]e", "ipa"),
+    ("LPL-1.02", "lucent public", "lucent public licen[cs]e(?: (?:version |v)?1 0 ?2)?", "lpl 1 02"),
+    ("MirOS", "miros", "miros licen[cs]e", "miros"),
+    ("Motosoto", "motosoto", "motosoto open source licen[cs]e", "motosoto"),
+    ("Multics", "multics", "multics licen[cs]e", "multics"),
+    ("NASA-1.3", "nasa open", "nasa open source agreement(?: (?:version |v)?1 3)?", "nasa 1 3"),
+    ("Naumen", "naumen", "naumen public licen[cs]e", "naumen"),
+    ("NGPL", "nethack", "nethack general public licen[cs]e", "ngpl"),
+    ("Nokia", "nokia", "nokia open source licen[cs]e", "nokia"),
+    ("NPOSL-3.0", "non profit open", "non profit open software licen[cs]e(?: (?:version |v)?3 0)?", "nposl 3 0"),
+    ("NTP", "ntp licen", "ntp licen[cs]e", "ntp"),
+    ("OCLC-2.0", "oclc", "oclc research public licen[cs]e(?: (?:version |v)?2 0)?", "oclc 2 0"),
+    ("OGL-UK", "open government", "open government licen[cs]e(?: (?:version |v)?[1-3] 0)?", "ogl uk [1-3] 0"),
+    ("OLDAP-2.8", "openldap", "openldap public licen[cs]e(?: (?:version |v)?2 8)?", "oldap 2 8"),
+    ("OSET-PL-2.1", "oset", "oset (?:foundation )?public licen[cs]e(?: (?:version |v)?2 1)?", "oset pl 2 1"),
+    ("RPL-1.5", "reciprocal public", "reciprocal public licen[cs]e(?: (?:version |v)?1 [15])?", "rpl 1 [15]"),
+    ("RPSL-1.0", "realnetworks", "realnetworks public source licen[cs]e(?: (?:version |v)?1 0)?", "rpsl 1 0"),
+    ("RSCPL", "ricoh", "ricoh source code public licen[cs]e", "rscpl"),
+    ("SimPL-2.0", "simple public", "simple public licen[cs]e(?: (?:version |v)?2 0)?", "simpl 2 0"),
+    ("SISSL", "sun industry", "sun industry standards source licen[cs]e", "sissl"),
+    ("SPL-1.0", "sun public", "sun public licen[cs]e(?: (?:version |v)?1 0)?", "spl 1 0"),
+    ("TCL", "tcl tk", "tcl tk licen[cs]e", "tcl"),
+    ("UCL-1.0", "upstream compatibility", "upstream compatibility licen[cs]e(?: (?:version |v)?1 0)?", "ucl 1 0"),
+    ("VSL-1.0", "vovida", "vovida software licen[cs]e(?: (?:version |v)?1 0)?", "vsl 1 0"),
+    ("Watcom-1.0", "watcom", "sybase open watcom public licen[cs]e(?: (?:version |v)?1 0)?", "watcom 1 0"),
+    ("Xnet", "x net licen", "x net licen[cs]e", "xnet"),
+    ("YPL-1.1", "yahoo public", "yahoo public licen[cs]e(?: (?:version |v)?1 [01])?", "ypl 1 [01]"),
+    ("Info-ZIP", "info zip", "info zip licen[cs]e", "info zip"),
+    ("JSON", "json licen", "json licen[cs]e", "json"),
+    ("SGI-B-2.0", "sgi free", "sgi free software licen[cs]e b(?: (?:version |v)?2 0)?", "sgi b 2 0"),
+    ("TOSL", "trusster", "trusster open source licen[cs]e", "tosl"),
+    ("CERN-OHL-P-2.0", "cern open", "cern open hardware licen[cs]e (?:version |v)?2 permissive", "cern ohl p 2 0"),
+    ("CERN-OHL-W-2.0", "cern open", "cern open hardware licen[cs]e (?:version |v)?2 weakly reciprocal", "cern ohl w 2 0"),
+    ("CERN-OHL-S-2.0", "cern open", "cern open hardware licen[cs]e (?:version |v)?2 strongly reciprocal", "cern ohl s 2 0"),
+    ("CERN-OHL", "cern open", "cern open hardware licen[cs]e(?: (?:version |v)?1 [12])?", "cern ohl 1 [12]"),
+    ("TAPR-OHL-1.0", "tapr", "tapr open hardware licen[cs]e(?: (?:version |v)?1 0)?", "tapr ohl 1 0"),
+    ("SHL-0.51", "solderpad", "solderpad hardware licen[cs]e(?: (?:version |v)?0 51)?", "shl 0 51"),
+    ("PolyForm-Noncommercial", "polyform noncommercial", "polyform noncommercial licen[cs]e(?: (?:version |v)?1 0 0)?", "polyform noncommercial 1 0 0"),
+    ("PolyForm-Small-Business", "polyform small", "polyform small business licen[cs]e(?: (?:version |v)?1 0 0)?", "polyform small business 1 0 0"),
+    ("Parity-7.0.0", "parity public", "parity public licen[cs]e(?: (?:version |v)?7 0 0)?", "parity 7 0 0"),
+    ("Commons-Clause", "commons clause", "commons clause(?: licen[cs]e)?(?: condition)?", None),
+    ("Gemma", "gemma", "gemma (?:terms of use|licen[cs]e)", None),
+    ("DL-DE", "germany", "data licen[cs]e germany (?:attribution|zero)(?: (?:version |v)?2 0)?", "dl de (?:by|zero) 2 0"),
+    ("etalab-2.0", "licence ouverte", "(?:etalab )?licence ouverte(?: open licen[cs]e)?(?: (?:version |v)?2 0)?", "etalab 2 0"),
+    ("CDLA-Permissive", "community data", "community data licen[cs]e agreement permissive(?: (?:version |v)?[12] 0)?", "cdla permissive [12] 0"),
+    ("CDLA-Sharing-1.0", "community data", "community data licen[cs]e agreement sharing(?: (?:version |v)?1 0)?", "cdla sharing 1 0"),
+    ("ASWF-Digital-Assets", "aswf", "aswf digital assets licen[cs]e(?: (?:version |v)?1 [01])?", "aswf digital assets 1 [01]"),
+    ("Arphic-1999", "arphic", "arphic public licen[cs]e", "arphic 1999"),
+    ("Bitstream-Vera", "bitstream vera", "bitstream vera (?:fonts )?(?:copyright|licen[cs]e)", "bitstream vera"),
+    ("Baekmuk", "baekmuk", "baekmuk (?:fonts )?licen[cs]e", "baekmuk"),
+    ("Condor-1.1", "condor", "condor public licen[cs]e(?: (?:version |v)?1 1)?", "condor 1 1"),
+    ("Knuth-CTAN", "knuth", "knuth (?:ctan )?licen[cs]e", "knuth ctan"),
+    ("Net-SNMP", "net snmp", "net snmp licen[cs]e", "net snmp"),
+    ("Zend-2.0", "zend", "zend (?:engine )?licen[cs]e(?: (?:version |v)?2 0)?", "zend 2 0"),
+    ("Xiph", "xiph", "xiph (?:org )?(?:bsd )?licen[cs]e", None),
+    ("AFPL", "aladdin", "aladdin free public licen[cs]e", "aladdin"),
 )
 #: Whole sentences: (label, keyword, pattern).
 SENTENCES = (
@@ -145,16 +215,59 @@ SENTENCES = (
     ("Public-Domain", "public domain", "(?:released|placed|dedicated|donated) (?:in|in ?to|to) the public domain"),
     ("Proprietary", "all rights reserved", "copyright (?:c )?(?:[0-9]{4} )?(?:[^ ]+ ){0,6}all rights reserved"),
     ("Proprietary", "proprietary", "(?:confidential and proprietary|proprietary and confidential)"),
+    ("Apache", "unless required by", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("Apache", "you may not use this file", "you may not use this file except in compliance with the licen[cs]e"),
+    ("MIT", "this permission notice", "(?:the )?above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("MIT", "the software is provided", "the software is provided as is without warranty of any kind express or implied"),
+    ("BSD", "neither the name", "neither the name of (?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products"),
+    ("BSD", "redistributions of source", "redistributions of source code must retain the above copyright notice"),
+    ("BSD", "redistributions in binary", "redistributions in binary form must reproduce the above copyright notice"),
+    ("GPL", "without any warranty", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("LGPL", "without any warranty", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("GPL", "you should have received", "you should have received a copy of the gnu general public licen[cs]e"),
+    ("LGPL", "you should have received", "you should have received a copy of the gnu lesser general public licen[cs]e"),
+    ("AGPL", "you should have received", "you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("MPL", "source code form is subject", "this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("EPL", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse (?:public|distribution) licen[cs]e"),
+    ("CDDL", "contents of this file", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("OFL-1.1", "this font software", "this font software is licen[cs]ed under the sil open font licen[cs]e"),
+    ("CC", "this work is", "this work is licen[cs]ed under (?:a|the) creative commons"),
+    ("CC0-1.0", "waived all copyright", "has waived all copyright and related or neighbou?ring rights"),
+    ("Python-2.0", "hereby grants", "psf hereby grants licen[cs]ee a nonexclusive royalty free world ?wide licen[cs]e"),
+    ("Artistic", "package", "you may distribute this package under the terms of the artistic licen[cs]e"),
+    ("Proprietary", "unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("Proprietary", "no part of this", "no part of this (?:document|publication|book|work) may be (?:reproduced|copied|distributed)"),
+    ("Proprietary", "internal use only", "for internal use only"),
+    ("Proprietary", "do not distribute", "confidential do not distribute"),
+    ("Proprietary", "trade secret", "(?:contains|constitutes) (?:proprietary |confidential |valuable )?trade secrets?"),
+    ("Non-Commercial", "non commercial use", "for (?:personal|academic|research|educational)(?: and)? non commercial use only"),
+    ("Non-Commercial", "non commercial purposes", "for non commercial purposes only"),
+    ("Evaluation", "evaluation purposes", "for evaluation purposes only"),
+    ("Patent", "patent licen", "patent licen[cs]e (?:is )?(?:hereby )?granted"),
+    ("EULA", "end user", "end user licen[cs]e agreement"),
+    ("Public-Domain", "public domain", "(?:is|are) (?:hereby )?in the public domain"),
+    ("Copyleft", "copyleft", "copyleft (?:all wrongs reserved|licen[cs]e)"),
+    ("Dual", "dual licen", "dual licen[cs]ed under"),
+    ("GPL", "gplv", "(?:gnu )?gplv[23]"),
+    ("GPL", "gnu gpl", "gnu gpl(?: (?:version |v)?[23](?: 0)?)?"),
+    ("LGPL", "lgplv", "(?:gnu )?lgplv[23](?: 1)?"),
+    ("LGPL", "gnu lgpl", "gnu lgpl(?: (?:version |v)?[23](?: [01])?)?"),
+    ("AGPL", "agplv", "(?:gnu )?agplv3"),
+    ("MIT", "mit x11", "mit x11(?: style)?(?: licen[cs]e)?"),
+    ("Attribution", "attribution required", "attribution required"),
 )
 GRANT = "(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed|redistribute it)(?: to you)? (?:under|with|by)(?: the)?(?: terms of)?(?: the)? "
 #: Priority and confidence of the forms.
 TAG, NOTICE, SENTENCE, NAME = (4, 0.99), (3, 0.95), (2, 0.9), (1, 0.7)
 #: Words that every rule's match holds, tested once before any rule.
-ROOTS = ("licen", "spdx", "copyright", "public domain", "cc0", "cc by", "creative commons", "redistribution and use", "permission is hereby", "permission to use", "proprietary", "free software", "as is without", "unencumbered", "cecill", "bsd", "rail", "mulan", "jpeg group", "mit no attribution")
+ROOTS = ("licen", "spdx", "copyright", "public domain", "cc0", "cc by", "creative commons", "redistribution and use", "permission is hereby", "permission to use", "proprietary", "free software", "as is without", "unencumbered", "cecill", "bsd", "rail", "mulan", "jpeg group", "mit no attribution", "historical permission", "nasa open", "commons clause", "gemma", "neither the name", "without any warranty", "unauthorized copying", "no part of this", "internal use only", "do not distribute", "trade secret", "non commercial", "evaluation purposes", "copyleft", "gplv", "gnu gpl", "gnu lgpl", "mit x11", "attribution required")
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, confidence) in order; patterns want a space on either side."""
+    """(label, keyword, pattern, priority, confidence) in order.
+
+    Patterns are for words with two spaces between them: each takes one on either side, so that neighbours share none.
+    """
     out = []
     for label, key, name, identifier in LICENSES:
         if identifier:
@@ -162,7 +275,8 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         out.append((label, key, f" {GRANT}(?:{name}) ", *NOTICE))
         out.append((label, key, f" (?:{name}) ", *NAME))
     out += [(label, key, f" (?:{pattern}) ", *SENTENCE) for label, key, pattern in SENTENCES]
-    return out
+    twice = lambda x: "(?:  )?".join(y.replace(" ", "  ") for y in x.split(" ?"))
+    return [(label, key, f" {twice(pattern[1:-1])} ", *rest) for label, key, pattern, *rest in out]
 
 
 def normal(text: Column) -> Column:
@@ -193,18 +307,21 @@ def _places(parts: list[str], label: str) -> Column:
 def detected(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with license_words, license_base (place and label of base phrases) and license_found.
 
-    license_found has the surviving detections by start: start and end in the text of words with single spaces and
-    one space before it, priority, label, confidence. Null and empty texts have no words and no detections.
+    license_found has the surviving detections by start: start and end in the text of words with two spaces between
+    them and one at either end, priority, label, confidence. Null and empty texts have no words and no detections.
+    Other columns pass through; those named like the three new ones are replaced.
     """
+    kept_columns = [c for c in docs.columns if c not in ("license_words", "license_base", "license_found")]
+    whole = F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("_row")
     table = F.array(*(F.struct(F.lit(i).alias("number"), F.lit(a).alias("label"), F.lit(k).alias("key"), F.lit(p).alias("pattern"), F.lit(w).alias("priority"), F.lit(c).alias("confidence")) for i, (a, k, p, w, c) in enumerate(rules())))
-    rows = docs.withColumn("_n", normal(F.col(text_col)))
+    rows = docs.select(normal(F.col(text_col)).alias("_n"), whole)
     words = F.when(F.col("_n") == "", F.lit(0)).otherwise(F.length("_n") - F.length(F.translate("_n", " ", "")) + 1)
     rows = rows.withColumn("license_words", words.cast("long"))
-    rows = rows.withColumn("_x", F.when(reduce(lambda a, b: a | b, (F.contains(F.col("_n"), F.lit(r)) for r in ROOTS)), F.concat(F.lit(" "), "_n", F.lit(" "))))
-    rows = rows.withColumn("_w", F.when(F.contains(F.col("_x"), F.lit(" license ")), F.split("_n", " ")))
+    rows = rows.withColumn("_x", F.when(reduce(lambda a, b: a | b, (F.contains(F.col("_n"), F.lit(r)) for r in ROOTS)), F.concat(F.lit(" "), F.replace("_n", F.lit(" "), F.lit("  ")), F.lit(" "))))
+    rows = rows.withColumn("_w", F.when(F.col("_x").isNotNull() & F.contains(F.col("_n"), F.lit("license")), F.split("_n", " ")))
     places = [_places(phrase.split(), label) for phrase, label in BASE]
     rows = rows.withColumn("license_base", F.coalesce(F.when(F.col("_w").isNotNull(), F.concat(*places)), F.array().cast("array<struct<place:bigint,label:string>>")))
-    tried = F.filter(table, lambda r: F.contains(F.col("_x"), r["key"]))
+    tried = F.filter(table, lambda r: F.contains(F.col("_n"), r["key"]))
     found = F.when(F.col("_x").isNotNull(), F.sort_array(F.flatten(F.transform(tried, lambda r: _spans(F.col("_x"), r)))))
     rows = rows.withColumn("_f", found)
     # By start, then longest, then priority: an interval inside an earlier one ends no later than all before it.
@@ -215,11 +332,14 @@ def detected(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kept = F.filter("_g", lambda x, i: ~beaten(x, F.get("_g", i - 1)) & ~beaten(x, F.get("_g", i + 1)))
     final = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), (-x["minus_end"]).alias("end"), (-x["minus_priority"]).alias("priority"), x["label"].alias("label"), x["confidence"].alias("confidence")))
     rows = rows.withColumn("license_found", F.coalesce(final, F.array().cast("array<struct<start:int,end:int,priority:int,label:string,confidence:double>>")))
-    return rows.drop("_n", "_x", "_w", "_f", "_g")
+    return rows.select("_row.*", "license_words", "license_base", "license_found")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_words, base places and labels, all labels, and the highest confidence (0.6 for a base phrase alone)."""
+    """Per document: n_words, base places and labels, all labels, and the highest confidence (0.6 for a base phrase alone).
+
+    Null and empty texts have no words, null places, empty labels and score 0; repeated rows and null ids each give a row.
+    """
     rows = detected(docs.select(id_col, text_col), text_col)
     place = F.transform("license_base", lambda x: x["place"])
     base = F.array_distinct(F.transform("license_base", lambda x: x["label"]))
@@ -248,8 +368,8 @@ WITH d AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{UP
 w AS (SELECT doc_id, n, CASE WHEN n = '' THEN [] ELSE string_split(n, ' ') END AS w FROM d),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, flatten([{places}]) AS b FROM w),
 r(number, label, key, pattern, priority, confidence) AS (VALUES {table}),
-x AS (SELECT doc_id, ' ' || n || ' ' AS x FROM d WHERE {roots}),
-t AS (SELECT doc_id, number, label, priority, confidence, regexp_extract_all(x, pattern) AS m, string_split_regex(x, pattern) AS p FROM x JOIN r ON contains(x.x, r.key)),
+x AS (SELECT doc_id, n, ' ' || replace(n, ' ', '  ') || ' ' AS x FROM d WHERE {roots}),
+t AS (SELECT doc_id, number, label, priority, confidence, regexp_extract_all(x, pattern) AS m, string_split_regex(x, pattern) AS p FROM x JOIN r ON contains(x.n, r.key)),
 s AS (SELECT doc_id, number, label, priority, confidence,
   list_sum(list_transform(p[1 : k], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1 : k - 1], lambda y: length(y))), 0) AS a, length(m[k]) AS l
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM t WHERE len(m) > 0)),

@@ -108,23 +108,32 @@ def phrases(block: Block, windows: np.ndarray, length: np.ndarray) -> tuple[np.n
 
 
 def near(block: Block, windows: np.ndarray, length: np.ndarray, span: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, position of its rarest term here, different terms within ``span`` words in the same document)."""
+    """(window, start, different terms) of every run of ``span`` words of one document that begins with a term of the
+    window and holds ``least`` different ones of its terms (all, where it has fewer).
+
+    Of n different terms such a run holds one of the n - least + 1 rarest, so runs are sought around those alone.
+    """
     k, n = block.look(windows)
+    ends = np.r_[block.first[1:] - 1, np.iinfo(np.int64).max]
     found, where, many = [], [], []
     for w in range(len(windows)):
-        terms, cols = np.unique(windows[w, : length[w]], return_index=True)
-        cols = cols[n[w, cols] > 0]
-        if len(cols) < min(least, len(terms)) or not len(cols):
+        cols = np.unique(windows[w, : length[w]], return_index=True)[1]
+        want = min(least, len(cols))
+        lists = sorted((block.list(k[w, c]) for c in cols.tolist() if n[w, c]), key=len)
+        if len(lists) < want or not lists:
             continue
-        p = block.list(k[w, cols[np.argmin(n[w, cols])]])
-        doc = block.place(p)
-        lo = np.maximum(p - span, block.first[doc])
-        hi = np.minimum(p + span, np.r_[block.first[1:] - 2, np.iinfo(np.int64).max][doc])
+        rare = np.sort(np.concatenate(lists[: max(1, len(lists) - want + 1)]))
+        starts = []
+        for x in lists:  # a term that stands at most span - 1 words before a rare one
+            after = np.searchsorted(rare, x)
+            close = rare[np.minimum(after, len(rare) - 1)]
+            starts.append(x[(close >= x) & (close < x + span)])
+        p = np.sort(np.concatenate(starts))
+        stop = np.minimum(p + span, ends[block.place(p)])
         count = np.zeros(len(p), np.int64)
-        for c in cols.tolist():
-            at = block.list(k[w, c])
-            count += np.searchsorted(at, hi, "right") > np.searchsorted(at, lo, "left")
-        good = count >= min(least, len(terms))
+        for x in lists:
+            count += np.searchsorted(x, stop, "left") > np.searchsorted(x, p, "left")
+        good = count >= want
         found.append(np.full(int(good.sum()), w))
         where.append(p[good])
         many.append(count[good])
@@ -215,7 +224,9 @@ def _search(data):
 
 
 def proximity(index: DataFrame, items: DataFrame, size: int = 10, span: int = 20, least: int = 8, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """block, place, item, position, n_terms: where ``least`` different terms of an item's window stand within ``span`` words of its rarest."""
+    """block, place, item, position, n_terms: runs of ``span`` words that begin with a term of one of the item's windows and
+    hold ``least`` different terms of it, in any order; n_terms is the most of any window. No block decides: the rows are
+    the same however the documents are dealt to blocks."""
     spark = index.sparkSession
     schema = "block long, place int, item string, position long, n_terms long"
     out = spark.createDataFrame([], schema)
@@ -224,23 +235,38 @@ def proximity(index: DataFrame, items: DataFrame, size: int = 10, span: int = 20
 
         def run(batches: Iterator[pa.RecordBatch], data=data) -> Iterator[pa.RecordBatch]:
             ids, windows, length, pairs = data.value
-            item_of: dict[int, list[int]] = {}
-            for w, i in pairs.tolist():
-                item_of.setdefault(w, []).append(i)
+            starts_of = np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))
             for b in batches:
                 for row in range(b.num_rows):
                     block = Block(*(c[row].as_py() for c in b.columns[1:]))
                     w, p, n = near(block, windows, length, span, least)
-                    place = block.place(p)
-                    rows = {(d, ids[i], x - int(block.first[d])): m for v, d, x, m in zip(w.tolist(), place.tolist(), p.tolist(), n.tolist(), strict=True) for i in item_of[v]}
-                    if rows:
-                        d, i, x = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[row].as_py()] * len(d), pa.int64()), pa.array(d, pa.int32()), pa.array(i, pa.string()), pa.array(x, pa.int64()), pa.array(list(rows.values()), pa.int64())], ["block", "place", "item", "position", "n_terms"])
+                    each = starts_of[w + 1] - starts_of[w]
+                    at = np.repeat(np.arange(len(w)), each)
+                    item = pairs[np.repeat(starts_of[w] - (np.cumsum(each) - each), each) + np.arange(len(at)), 1]
+                    p, n = p[at], n[at]
+                    order = np.lexsort((-n, p, item))
+                    item, p, n = item[order], p[order], n[order]
+                    head = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (p[1:] != p[:-1])]) if len(p) else np.zeros(0, np.int64)
+                    place = block.place(p[head])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b.column(0)[row].as_py()] * len(head), pa.int64()), pa.array(place.astype(np.int32)), pa.array([ids[i] for i in item[head].tolist()], pa.string()), pa.array(p[head] - block.first[place]), pa.array(n[head])],
+                        ["block", "place", "item", "position", "n_terms"],
+                    )
 
         out = out.unionByName(index.select("block", "first", "terms", "at", "positions").mapInArrow(run, schema))
     return out
 
 
+def near_passages(docs: DataFrame, benchmark: DataFrame, size: int = 10, span: int = 20, least: int = 8, id_col: str = "doc_id") -> DataFrame:
+    """Per document and item with a proximity match: id, item_id (as text), n_places and n_terms, the most terms of a run.
+
+    Texts without words match nothing; repeated rows and rows with a null id are matched each on its own.
+    """
+    index = build_index(docs, id_col)
+    found = proximity(index, benchmark, size, span, least).groupBy("block", "place", "item").agg(F.count("*").alias("n_places"), F.max("n_terms").alias("n_terms"))
+    return found.join(documents(index), ["block", "place"]).select(F.col("doc_id").alias(id_col), F.col("item").alias("item_id"), "n_places", "n_terms")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id") -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
 

@@ -84,6 +84,14 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
+@query
+def near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op10's method, in a query of its own: runs of 20 words with 8 of a window's 10, in any order."""
+    from . import decontamination
+
+    return decontamination.near_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import digest

@@ -9,12 +9,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cytoloom.llm import grammar, license_scan, packing, quality_rules, secret_scan, warc
+from cytoloom.llm import decontamination, grammar, license_scan, packing, quality_classifier, quality_rules, secret_scan, warc
+from cytoloom.llm.common import SPACE_WORDS, utf8_of, words_of
 from cytoloom.llm.components import components
-from cytoloom.llm.decontamination import build_index, contamination, proximity
-from cytoloom.llm.ngram_join import similar
+from cytoloom.llm.decontamination import contamination
+from cytoloom.llm.ngram_join import row_sets, similar
 from cytoloom.llm.quality_classifier import classify
 from cytoloom.llm.token_counts import PieceCounter, token_counts
 from cytoloom.llm.tokens import CachedTokenizer
@@ -317,11 +319,11 @@ def brute_licenses(text):
     for phrase, label in license_scan.BASE:
         p = phrase.split()
         base += [(i, label) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
-    x = f" {low} "
+    x = f" {low.replace(' ', '  ')} "
     spans = []
     if any(r in low for r in license_scan.ROOTS):
         for n, (label, kw, pattern, priority, conf) in enumerate(license_scan.rules()):
-            if kw in x:
+            if kw in low:
                 spans += [(m.start(), -m.end(), -priority, n, label, conf) for m in re.finditer(pattern, x)]
     spans.sort()
     free = [s for k, s in enumerate(spans) if not any(-o[1] >= -s[1] for o in spans[:k])]
@@ -340,6 +342,8 @@ LICENSED = [
     "mit licence; Mozilla Public License 1.1; GNU Lesser General Public License v2.1; no licen",
     "commit license, general public license apache license",
     "Copyright (c) 2020 Some Body. All rights reserved. BSD 3-Clause License",
+    "zlib license zlib license ISC licence X11 license: all matches, side by side",
+    "For non-commercial purposes only. GPLv3, Creative Commons Attribution ShareAlike 4.0, TAPR Open Hardware License",
 ]
 
 
@@ -348,7 +352,11 @@ def test_licenses(spark, odd, empty):
     got = collections.Counter(tuple(r) for r in license_scan.digest(docs).collect())
     assert got == collections.Counter((r["doc_id"], *brute_licenses(r["text"])) for r in docs.collect())
     assert license_scan.digest(empty).count() == 0
-    assert len(license_scan.rules()) > 300
+    assert len(license_scan.LICENSES) + len(license_scan.SENTENCES) > 200 and len({p for _, _, p, *_ in license_scan.rules()}) == len(license_scan.rules())
+    found = license_scan.detected(docs.where("doc_id = 109")).first()["license_found"]
+    assert [x["label"] for x in found] == ["Zlib", "Zlib", "ISC", "X11"]
+    clash = docs.selectExpr("doc_id", "text", "1 AS _n", "2 AS _x", "3 AS license_words", "4 AS `a.b`")
+    assert license_scan.detected(clash).columns == ["doc_id", "text", "_n", "_x", "a.b", "license_words", "license_base", "license_found"]
 
 
 def matched(tree):
@@ -376,7 +384,8 @@ def test_license_keywords(spark):
     for label, key, pattern, priority, _ in license_scan.rules():
         if priority != license_scan.NOTICE[0]:  # a notice holds a name
             for s in matched(re._parser.parse(pattern)):
-                assert re.fullmatch(pattern, s) and key in s and any(r in s for r in license_scan.ROOTS), (label, s)
+                low = s.replace("  ", " ")
+                assert re.fullmatch(pattern, s) and key in low and any(r in low for r in license_scan.ROOTS), (label, s)
     texts = ["Released under the Expat License", "an Expat Licence here", "Open Data Commons Database License v1.0", "the Open Database License", "MIT License", "an expat"]
     got = license_scan.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert [r["labels"] for r in got.orderBy("doc_id").collect()] == ["MIT", "MIT", "ODbL-1.0", "ODbL-1.0", "MIT,mit", ""]
@@ -513,8 +522,6 @@ def test_contamination(spark, odd, empty):
 
 
 def test_contamination_in_passes(spark, monkeypatch):
-    from cytoloom.llm import decontamination
-
     rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i} j{i} k{i}") for i in range(30)]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")
     whole = sorted(map(tuple, contamination(docs, bench).collect()))
@@ -522,9 +529,51 @@ def test_contamination_in_passes(spark, monkeypatch):
     assert sorted(map(tuple, contamination(docs, bench).collect())) == whole and all(r[2] == 11 for r in whole)
 
 
-def test_proximity(spark):
+def brute_near(rows, items, size, span, least):
+    out = collections.Counter()
+    for d, text in rows:
+        w = re.findall(ALNUM, (text or "").translate(LOWER))
+        for i, item in items:
+            x = re.findall(ALNUM, (item or "").translate(LOWER))
+            windows = {frozenset(x[a : a + size]) for a in range(max(1, len(x) - size + 1))} if x else set()
+            best = [max((len(q & set(w[p : p + span])) for q in windows if w[p] in q and len(q & set(w[p : p + span])) >= min(least, len(q))), default=0) for p in range(len(w))]
+            if any(best):
+                out[d, str(i), sum(map(bool, best)), max(best)] += 1
+    return out
+
+
+def test_proximity(spark, odd, empty):
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    texts = ["x " * 30 + "kappa iota theta eta zeta epsilon delta gamma beta alpha" + " y" * 30, "alpha " + "x " * 50 + "beta", item]
-    index = build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    got = proximity(index, spark.createDataFrame([(7, item)], "item_id long, text string"), 10, 20, 8).collect()
-    assert {(r["place"], r["n_terms"]) for r in got if r["block"] == got[0]["block"]} and {r["item"] for r in got} == {"7"} and {r["n_terms"] for r in got} == {10} and len(got) == 2
+    rows = [(i, text(rnd.randrange(0, 120))) for i in range(40)] + [(90, "x " * 30 + " ".join(reversed(item.split())) + " y" * 30), (91, "alpha " + "x " * 50 + "beta"), (92, item), (92, item), (None, item), (93, None), (94, "")]
+    items = [(7, item), (8, text(25)), (9, text(12)), (10, "w1 w2"), (11, None), (12, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for parts in (1, 5):
+        got = decontamination.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), bench, 10, 20, 6).collect()
+        assert collections.Counter(map(tuple, got)) == brute_near(rows, items, 10, 20, 6)
+    assert decontamination.near_passages(empty, bench).count() == 0 and decontamination.near_passages(odd, bench.limit(0)).count() == 0
+
+
+def test_very_long_text():
+    """One text of 50 MB: words and shingles are those of its parts."""
+    rnd = random.Random(4)
+    part = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, 9))) for _ in range(200_000))
+    text = " ".join([part] * (50_000_000 // len(part)) + ["z" * 1_000_000])
+    h, before, s, e = words_of(*utf8_of(pa.array([text])), SPACE_WORDS)
+    one = words_of(*utf8_of(pa.array([part])), SPACE_WORDS)[0]
+    assert before[-1] == len(h) == len(one) * (50_000_000 // len(part)) + 1 and (h[: len(one)] == one).all() and (h[-len(one) - 1 : -1] == one).all()
+    assert e[-1] - s[-1] == 1_000_000 and len(row_sets(pa.array([text]), 5)[0]) <= len(one) + 9
+
+
+def test_scores_do_not_depend_on_neighbours(spark, odd, labels):
+    """A row's score is the same alone and among others, and the model the same however rows are dealt."""
+    texts = [t or "" for t in odd_texts()]
+    weights = np.random.default_rng(3).normal(size=1 << quality_classifier.BITS)
+    model = quality_classifier.Ordinal(weights, np.array([-1.0, 1.0]))
+    every = model.score(*quality_classifier.features(pa.array(texts)))
+    assert every.tolist() == [float(model.score(*quality_classifier.features(pa.array([t])))[0]) for t in texts]
+    twice = odd.union(odd.withColumn("text", odd["lang"]))
+    found = [quality_classifier.rated(x, quality_classifier.grades_of(labels)) for x in (twice.repartition(5), twice.coalesce(1))]
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(found[0][0], found[1][0], strict=True)) and (found[0][1] == found[1][1]).all()

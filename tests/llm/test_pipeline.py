@@ -74,3 +74,27 @@ def test_near_duplicates_without_unique_ids(spark):
     either = [((1, two), (1, two + " extra")), ((None, three), (None, three + " extra"))]
     assert all(left.count(x) == 1 for x in sure) and all(left.count(x) + left.count(y) == 1 for x, y in either)
     assert len(left) == len(sure) + len(either)
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows, and extra columns named like the stages' own."""
+    extra = COLUMNS + ["_cytoloom_key", "row", "_row", "kept", "n_words", "secret_spans", "a.b"]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _cytoloom_key string, row int, _row int, kept string, n_words int, secret_spans string, `a.b` array<int>"
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, good, "en", "s", 9, "k", 1, 2, "x", 3, "y", [1]), (1, good, "en", "s", 9, "k", 1, 2, "x", 3, "y", [1]), (None, good + " more", None, None, None, *[None] * 7), *[(None, None, *[None] * 10)] * 3, (5, good.replace("word", "other"), None, None, None, *[None] * 7)]
+    full = spark.createDataFrame(rows, kinds)
+    bench = spark.createDataFrame([(1, "some words of an item that no document of this table has at all")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    for number, (docs, some_bench, some_labels) in enumerate([(full, bench, labels), (full, bench.limit(0), labels.limit(0)), (full.limit(0), bench, labels)]):
+        path = str(tmp_path / str(number))
+        for name, table in (("documents", docs), ("benchmark", some_bench), ("labels", some_labels)):
+            table.write.parquet(f"{path}/{name}.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, path)
+            assert docs.columns == extra and [f.dataType for f in docs.schema] == [f.dataType for f in full.schema], name
+        left = docs.collect()
+        assert sorted(r["doc_id"] for r in left) == ([] if number == 2 else [1, 5])
+        assert all(r["_cytoloom_key"] == "k" and r["a.b"] == [1] for r in left if r["doc_id"] == 1)
+        packed = corpus_pipeline.run(spark, path).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in left}

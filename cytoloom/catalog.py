@@ -16,13 +16,14 @@ from .operators import anchors as A
 from .operators import annotate, cca, clean, cluster, correct, embed, gates, knn, transfer
 from .params import Params
 from .plans import integration
+from .sources import cells as sources
+from .sources.scratch import fresh_path, settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-K, K_ANCHOR, K_FILTER, K_SCORE, K_WEIGHT = 20, 10, 30, 20, 25
-#: Near the middle of the mean distances here, so that the mask has both values.
-MASK = 0.66
+P = Params()
+K, K_ANCHOR, K_FILTER, K_SCORE, K_WEIGHT, MASK = P.k_find_nn, P.k_find_anchor, P.k_filter_anchor, P.k_score_anchor, P.k_find_weights, P.mask_threshold
 NB = (("A", 4.0, 20.0), ("N", 6.0, 30.0), ("R", 2.5, 25.0))
 GATES: list[gates.Gate] = [(0, 0.1), (3, 0.05), ((1, 2), (0.4, 0.3))]
 
@@ -111,7 +112,7 @@ def euclid_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = _ref(spark, sf_dir)
-    return knn.four_way(ref, _query(spark, sf_dir), ref, K)
+    return settled(knn.four_way(ref, _query(spark, sf_dir), ref, K))
 
 
 @query(f"WITH {_NN} SELECT 'rr' AS kind, src, dst, rank, round(dist, 6) AS dist FROM rr UNION ALL SELECT 'qq', src, dst, rank, round(dist, 6) FROM qq UNION ALL SELECT 'rq', src, dst, rank, round(dist, 6) FROM rq UNION ALL SELECT 'qr', src, dst, rank, round(dist, 6) FROM qr")
@@ -130,22 +131,23 @@ def mutual_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.mutual(_neighbours(spark, sf_dir), K_ANCHOR)
 
 
-def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.filtered(mutual_nn(spark, sf_dir), _ref(spark, sf_dir), _query(spark, sf_dir), K_FILTER)
+def _anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    near = _neighbours(spark, sf_dir)
+    return near, A.filtered(A.mutual(near, K_ANCHOR), _ref(spark, sf_dir), _query(spark, sf_dir), K_FILTER)
 
 
 @query(f"WITH {_FILTER} SELECT cellr, cellq FROM an")
 def filter_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anchors(spark, sf_dir)
+    return _anchors(spark, sf_dir)[1]
 
 
 @query(f"WITH {_SCORE} SELECT cellr, cellq, shared FROM sh")
 def score_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.shared_counts(_neighbours(spark, sf_dir), _anchors(spark, sf_dir), K_SCORE)
+    return A.shared_counts(*_anchors(spark, sf_dir), K_SCORE)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.scored(_neighbours(spark, sf_dir), _anchors(spark, sf_dir), K_SCORE)
+    return settled(A.scored(*_anchors(spark, sf_dir), K_SCORE))
 
 
 @query(f"WITH {_SCORE} SELECT cellr, cellq, round(score, 6) AS score FROM sc")
@@ -153,6 +155,23 @@ def score_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {_E}, " + ", ".join([_sql_knn("rr", 0, 0, K + 1, "euclidean"), _sql_knn("qq", 1, 1, K + 1), _sql_knn("rq", 0, 1, K, "euclidean"), _sql_knn("qr", 1, 0, K, "euclidean")]) + " SELECT 'rr' AS kind, src, dst, rank, round(dist, 6) AS dist FROM rr UNION ALL SELECT 'qq', src, dst, rank, round(dist, 6) FROM qq UNION ALL SELECT 'rq', src, dst, rank, round(dist, 6) FROM rq UNION ALL SELECT 'qr', src, dst, rank, round(dist, 6) FROM qr")
+def four_way_query_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _query(spark, sf_dir)
+    return knn.four_way(_ref(spark, sf_dir), q, q, K, reference_first=False).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {_E} SELECT a.ord AS src, b.ord AS dst, round(1 - list_dot_product(a.z, b.z), 6) AS dist FROM z a, z b WHERE a.side = 1 AND b.side = 0")
+def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.distances_to(_query(spark, sf_dir), _ref(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {_E}, {_sql_knn('k', 1, 0, 80)} SELECT src, dst, rank, round(dist, 6) AS dist FROM k")
+def corr_knn_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of blocks, as for a data side beyond the broadcast's bound."""
+    return knn.knn(_query(spark, sf_dir), knn.Vectors(_ref(spark, sf_dir), 1 << 16), 80).withColumn("dist", F.round("dist", 6))
+
+
 # ------------------------------------------------------------------ correction
 
 
@@ -163,7 +182,7 @@ def integration_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = correct.numbered(_scored(spark, sf_dir)).cache()
+    found = settled(correct.numbered(_scored(spark, sf_dir)))
     return found, correct.anchor_weights(found, _query(spark, sf_dir), K_WEIGHT)
 
 
@@ -209,7 +228,7 @@ def query_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LABEL} SELECT src, CASE WHEN keep THEN label::VARCHAR ELSE 'Not Assigned' END AS label, round(mean_dist, 6) AS mean_dist, keep FROM tl JOIN mk USING (src)")
 def masked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _transfer(spark, sf_dir).cache()
+    w = settled(_transfer(spark, sf_dir))
     rows = transfer.masked_labels(transfer.transfer_labels(w, _ref(spark, sf_dir).select("ord", "label")), transfer.query_mask(w, MASK))
     return rows.withColumn("mean_dist", F.round("mean_dist", 6))
 
@@ -219,6 +238,17 @@ def discard_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfer.discard(_query(spark, sf_dir), transfer.query_mask(_transfer(spark, sf_dir), MASK)).select("ord")
 
 
+@query(f"WITH {_LABEL}, k AS (SELECT ord, v FROM z WHERE side = 1 AND ord IN (SELECT src FROM mk WHERE keep)) SELECT t AS name, ord, round(v[1], 6) AS value FROM k, (VALUES ('blanks'), ('protein'), ('protein_clean'), ('protein_corrected'), ('size'), ('spatial'), ('transfer')) n(t)")
+def discard_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, mask = _query(spark, sf_dir), settled(transfer.query_mask(_transfer(spark, sf_dir), MASK))
+    names = ("blanks", "protein", "protein_clean", "protein_corrected", "size", "spatial", "transfer")
+    out = None
+    for name, kept in transfer.discard_everywhere(dict.fromkeys(names, rows), mask).items():
+        kept = kept.select(F.lit(name).alias("name"), "ord", F.round(F.get("v", F.lit(0)), 6).alias("value"))
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 # ------------------------------------------------------------------ canonical correlation
 
 
@@ -245,6 +275,28 @@ def pca_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(cca.pca(_cells(spark, sf_dir), 2))
 
 
+@query("SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS g FROM range(0, 63) a(i), range(0, 63) b(j)")
+def cca_orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Gram matrix of the reference's embedding: singular vectors are orthonormal."""
+    r = cca.cca(_ref(spark, sf_dir), _query(spark, sf_dir), 63)[0]
+    g = cca.gram(r, standardize=False)
+    return spark.createDataFrame([(i, j, round(float(g[i, j]), 6) + 0.0) for i in range(len(g)) for j in range(len(g))], "i long, j long, g double")
+
+
+@query(f"WITH {_E}, s AS (SELECT side, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u) / 63)) AS s FROM d), g AS (SELECT a.i, b.j, sum(s[a.i] * s[b.j]) FILTER (side = 0) AS r, sum(s[a.i] * s[b.j]) FILTER (side = 1) AS q FROM s, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL) SELECT round(sum(x.r * y.q), 2) AS total FROM g x JOIN g y ON x.i = y.j AND x.j = y.i")
+def cca_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of the squared singular values is the trace of the product of both Gram matrices."""
+    s = cca.cca(_ref(spark, sf_dir), _query(spark, sf_dir), 63)[2]
+    return spark.createDataFrame([(round(float((s**2).sum()), 2),)], "total double")
+
+
+@query(f"WITH {_E}, m AS (SELECT i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY i) SELECT round(sum((v[i] - m) ** 2), 4) AS total FROM e JOIN m ON true")
+def pca_total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All principal components together have the whole variance."""
+    rows = cca.pca(_cells(spark, sf_dir), 64).select(F.explode("v").alias("x"))
+    return rows.agg(F.round(F.sum(F.col("x") * F.col("x")), 4).alias("total"))
+
+
 @query()
 def neighbour_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(embed.neighbour_embedding(_cells(spark, sf_dir)))
@@ -381,6 +433,13 @@ def cluster_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("cluster", F.round("0", 6).alias("f0"), F.round("1", 6).alias("f1"))
 
 
+@query(f"WITH {_E}, g(i, gene) AS (VALUES {', '.join(f"({i + 1}, '{g}')" for i, g in enumerate(annotate.DEFAULT_GENES))}) SELECT label AS cluster, gene, round(avg(least(v[i] * 100, 10)), 6) AS mean FROM e, g GROUP BY ALL")
+def default_gene_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir).withColumn("v", F.transform("v", lambda x: x * 100))
+    panel = [*annotate.DEFAULT_GENES, *(f"other{i}" for i in range(64 - len(annotate.DEFAULT_GENES)))]
+    return annotate.gene_means(cells, panel, cells.select("ord", F.col("label").alias("cluster"))).withColumn("mean", F.round("mean", 6))
+
+
 @query("SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1")
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.cluster_sizes(_cells(spark, sf_dir).select(F.col("label").alias("cluster")))
@@ -453,12 +512,42 @@ def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hdbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.density_grid(_cells(spark, sf_dir, 0), [5, 9], [5, 10])
+    return cluster.density_grid(_ref(spark, sf_dir), range(5, 21, 4), range(10, 41, 3))
 
 
 @query()
 def parameter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.parameter_scan(_cells(spark, sf_dir, 0), [5, 9], [5, 10])[1]
+    return integration.scan(_ref(spark, sf_dir))[1]
+
+
+@query()
+def query_scan_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integration.cluster_cells(_query(spark, sf_dir), 2)
+
+
+@query()
+def query_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integration.cluster_cells(_query(spark, sf_dir), 3)
+
+
+@query()
+def query_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integration.cluster_cells(_query(spark, sf_dir), 5)
+
+
+@query()
+def reference_scan_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integration.cluster_reference(_ref(spark, sf_dir), 1)
+
+
+@query()
+def reference_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integration.cluster_reference(_ref(spark, sf_dir), 2)
+
+
+@query()
+def reference_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integration.cluster_reference(_ref(spark, sf_dir), 3)
 
 
 @query()
@@ -487,6 +576,11 @@ def consensus_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.relabel(_runs(spark, sf_dir)[0].where("run = 2").select("ord", "label"))
 
 
+@query(f"WITH {_RUNS}, m AS (SELECT label, dense_rank() OVER (ORDER BY label) AS c FROM (SELECT DISTINCT label FROM l WHERE run = 2 AND label <> -1)) SELECT ord, c::INT AS cluster FROM l JOIN m USING (label) WHERE run = 2")
+def without_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.without_noise(cluster.relabel(_runs(spark, sf_dir)[0].where("run = 2").select("ord", "label")))
+
+
 @query()
 def consensus_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir)
@@ -494,6 +588,76 @@ def consensus_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.consensus_clusters(cells, cluster.consensus_distance(labels, scores, 0.2), 0.5, 3)
 
 
+# ------------------------------------------------------------------ sources and sinks
+
+
+def _csv(cells: DataFrame, panel: list[str], name: str) -> str:
+    to = fresh_path(cells.sparkSession, name)
+    sources.write_wide(cells, panel, to)
+    return to
+
+
+def _named_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).withColumn("cell_id", F.concat(F.lit("c"), F.col("ord").cast("string")))
+
+
+_FILES = "SELECT 'c' || vec_id AS cell_id, t AS name, i - a AS feature, round(v[i], 6) AS value FROM e, (VALUES ('latent', 1, 10), ('protein', 11, 40), ('mrna', 41, 64)) p(t, a, z), range(1, 65) r(i) WHERE i BETWEEN a AND z"
+
+
+@query(f"WITH {_E} {_FILES}")
+def reference_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three CSV files of the reference set, written and read back."""
+    cells, out = _named_cells(spark, sf_dir), None
+    parts = {"latent": (1, 10), "protein": (11, 30), "mrna": (41, 24)}
+    paths = {name: _csv(cells.withColumn("v", F.slice("v", a, n)), [f"{name}{i}" for i in range(n)], name) for name, (a, n) in parts.items()}
+    for name, (rows, panel) in sources.read_reference(spark, **paths).items():
+        assert len(panel) == parts[name][1]
+        rows = rows.select("cell_id", F.lit(name).alias("name"), F.posexplode("v").alias("feature", "x")).select("cell_id", "name", "feature", F.round("x", 6).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""WITH {_SPOT.replace("s AS (", "a AS (", 1)}, s AS (SELECT l_orderkey, l_linenumber, max(x) AS x, max(y) AS y, max(z) AS z, max(size) AS size, max(b1) AS b1, max(b2) AS b2 FROM a GROUP BY ALL),
+m AS (SELECT min(x) AS mx, min(y) AS my FROM s), t AS (SELECT l_orderkey || '-' || l_linenumber AS cell_id, size, b1, b2, (x - (mx - 1)) * 188 AS x, (y - (my - 1)) * 188 AS y, z * 900 AS z FROM s, m)
+SELECT cell_id, size AS protein, b1, b2, size, round(x, 4) AS x, round(y, 4) AS y, z FROM t WHERE x < 5640000 AND y < 5640000""")
+def query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four CSV files of the query set, written, read back, joined, converted to nm and cut at the border."""
+    first, second = F.get("blanks", F.lit(0)), F.get("blanks", F.lit(1))
+    spots = _spots(spark, sf_dir).groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("x", "y", "z", "size")), F.array(F.max(first), F.max(second)).alias("blanks"))
+    spots = spots.withColumn("cell_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    wide = lambda *c: spots.select("cell_id", F.array(*(F.col(x).cast("double") if isinstance(x, str) else x for x in c)).alias("v"))
+    blanks = _csv(wide(first.cast("double"), second.cast("double")), ["b1", "b2"], "blanks")
+    files = [blanks, _csv(wide("size"), ["protein"], "protein"), _csv(wide("size"), ["size"], "size"), _csv(wide("x", "y", "z"), ["x", "y", "z"], "spatial")]
+    rows, _ = sources.read_query(spark, *files, convert=True, border=5640000)
+    at = lambda c, i: F.get(c, F.lit(i))
+    return rows.select("cell_id", at("v", 0).alias("protein"), at("blanks", 0).alias("b1"), at("blanks", 1).alias("b2"), "size", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "z")
+
+
+@query(f"WITH {_E} SELECT vec_id::VARCHAR AS cell_id, vec_id AS ord, round(v[1], 6) AS a, round(v[3], 6) AS b FROM e")
+def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells from a table in memory, numbered in its order."""
+    table = _cells(spark, sf_dir).orderBy("ord").select("ord", *(F.get("v", F.lit(i)).alias(f"m{i}") for i in range(3)))
+    rows = sources.from_wide(table.withColumnRenamed("ord", "cell"), "cell", ["m0", "m2"])
+    return rows.select("cell_id", "ord", F.round(F.get("v", F.lit(0)), 6).alias("a"), F.round(F.get("v", F.lit(1)), 6).alias("b"))
+
+
+@query("SELECT 'c' || vec_id AS cell_id, label::VARCHAR AS label FROM embeddings")
+def label_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = fresh_path(spark, "labels")
+    _named_cells(spark, sf_dir).select("cell_id", "label").write.option("header", True).csv(to)
+    return sources.read_labels(spark, to)
+
+
+@query("SELECT n_nationkey AS cluster, r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def cluster_name_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines ``name: i, j, k``, written and read back."""
+    to = fresh_path(spark, "names")
+    nations = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = nations.groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_list(F.col("n_nationkey").cast("string"))), ", ").alias("k"))
+    lines.select(F.concat_ws(": ", "r_name", "k").alias("value")).write.text(to)
+    return sources.read_cluster_names(spark, to)
+
+
 # ------------------------------------------------------------------ whole pipelines
 
 
@@ -506,3 +670,11 @@ def map_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = _ref(spark, sf_dir)
     return integration.integrate(_query(spark, sf_dir), ref, ref.select("ord", "label"), p=Params())
+
+
+@query()
+def whole_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subset, map, transfer, mask, discard and cluster prepared sets: each query cell with its mask and cluster."""
+    panel = [f"m{i}" for i in range(64)]
+    out = integration.pipeline(_query(spark, sf_dir), panel, _ref(spark, sf_dir), panel, prepared=True)
+    return out.mask.join(out.query_clusters.withColumnRenamed("ord", "src"), "src", "left").select("src", "keep", F.round("mean_dist", 6).alias("mean_dist"), "cluster")

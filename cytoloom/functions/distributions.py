@@ -5,24 +5,27 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
-_erf = np.vectorize(math.erf, otypes=[float])
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
 def normal_cdf(x: Column | str, mean: Column | str, sd: Column | str) -> Column:
-    """Normal distribution function; Spark has no erf, so an Arrow-batched function."""
-
-    @pandas_udf(DoubleType())
-    def cdf(x: pd.Series, mean: pd.Series, sd: pd.Series) -> pd.Series:
-        return pd.Series(0.5 * (1 + _erf((x - mean) / (sd * math.sqrt(2)))))
-
-    return cdf(x, mean, sd)
+    """Normal distribution function as a column expression; absolute error below 1e-13.
+
+    Up to six deviations from the mean the series 1/2 + phi(z) (z + z^3/3 + z^5/15 + ...), beyond them the continued
+    fraction of the tail.
+    """
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    z = (col(x) - col(mean)) / col(sd)
+    phi = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    start = F.struct(z.alias("t"), z.alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, lambda a, k: F.struct((a["t"] * z * z / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * z * z / (2 * k + 1)).alias("s")), lambda a: a["s"])
+    u = F.abs(z)
+    fraction = F.aggregate(F.sequence(F.lit(40), F.lit(1), F.lit(-1)), u, lambda a, k: u + k / a)
+    tail = phi / fraction
+    return F.when(u <= 6, 0.5 + phi * series).when(z > 0, 1 - tail).otherwise(tail)
 
 
 def log_gamma(z: Column) -> Column:
@@ -34,11 +37,6 @@ def log_gamma(z: Column) -> Column:
     return series
 
 
-def nb_pmf_column(k: Column, size: float, mean: float) -> Column:
-    p = size / (size + mean)
-    return F.exp(log_gamma(k + size) - log_gamma(k + 1) - math.lgamma(size) + size * math.log(p) + k * math.log1p(-p))
-
-
 def nb_pmf(k: np.ndarray, size: float, mean: float) -> np.ndarray:
     """Negative binomial probabilities of counts; success probability size / (size + mean)."""
     p = min(max(size / (size + mean), 1e-300), 1 - 1e-16)

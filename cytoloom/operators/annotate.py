@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,24 @@ def cluster_means(cells: DataFrame, clusters: DataFrame, upper: float | None = N
     return rows.groupBy("cluster", "feature").agg(F.avg(x).alias("mean"))
 
 
+#: The genes that the reference set's heatmap shows unless others are asked for.
+DEFAULT_GENES = (
+    "Cxcl16", "Cacnb3", "Cox6a2", "Bst2", "Siglech", "Hmox1", "C1qa", "Vcam1", "Hba-a1", "Hbb-bs", "Hba-a2", "Ngp", "S100a9",
+    "S100a8", "Klf1", "Car2", "Car1", "Ppt1", "Ppp1r14a", "Ffar2", "Mmp12", "Jchain", "Ifi30", "Vpreb3", "Wfdc17", "Ccl9",
+    "Ccl6", "Ncr1", "Ccl5", "Gzma", "Cd22", "Ighd", "1810046K07Rik", "Zbtb32", "Bhlhe41", "Cd3d", "Cd3e", "Trbc2",
+)
+
+
+def gene_means(cells: DataFrame, panel: list[str], clusters: DataFrame, genes: Sequence[str] = DEFAULT_GENES, upper: float | None = 10) -> DataFrame:
+    """(cluster, gene, mean) of the panel's features that are among ``genes``, values above ``upper`` counted as it."""
+    at = [i for i, g in enumerate(panel) if g in set(genes)]
+    if not at:
+        raise ValueError("the panel has none of the genes")
+    names = F.array(*(F.lit(panel[i]) for i in at))
+    slim = cells.select("ord", F.array(*(F.get("v", F.lit(i)) for i in at)).alias("v"))
+    return cluster_means(slim, clusters, upper).select("cluster", F.get(names, F.col("feature")).alias("gene"), "mean")
+
+
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster").agg(F.count("*").alias("n"))
 

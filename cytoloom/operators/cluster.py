@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import settled
+from .embed import embedded_rows
 from .knn import knn, matrix, unit
-
-#: Limits of the steps that one task does.
-MOST_EDGES, MOST_CELLS = 50_000_000, 20_000
+from .limits import MOST_CELLS, MOST_EDGES
 
 
 def knn_edges(cells: DataFrame, k: int = 30) -> DataFrame:
@@ -268,9 +267,13 @@ def silhouettes(cells: DataFrame, labels: DataFrame, by: Sequence[str] = ()) ->
     return rows.groupBy(*by).agg(F.avg(value).alias("score")) if by else rows.agg(F.avg(value).alias("score"))
 
 
-def parameter_scan(cells: DataFrame, min_sizes: Sequence[int] = range(5, 21, 4), min_samples: Sequence[int] = range(10, 41, 3), metric: str = "correlation") -> tuple[DataFrame, DataFrame]:
-    """Labels of every grid run, and (run, min_samples, min_cluster_size, score)."""
-    labels = settled(density_grid(cells, min_sizes, min_samples, metric))
+def parameter_scan(cells: DataFrame, min_sizes: Sequence[int] = range(5, 21, 4), min_samples: Sequence[int] = range(10, 41, 3), metric: str = "correlation", space: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labels of every grid run, and (run, min_samples, min_cluster_size, score).
+
+    Density clustering works in ``space``, an embedding of the cells (by default the cells themselves); silhouettes are
+    those of the cells.
+    """
+    labels = settled(density_grid(cells if space is None else space, min_sizes, min_samples, metric))
     keys = ["run", "min_samples", "min_cluster_size"]
     return labels, settled(silhouettes(cells, labels, keys))
 
@@ -414,15 +417,20 @@ def best_run(labels: DataFrame, scores: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(top), "run").select("ord", F.col("label").alias("cluster"))
 
 
-def refined_clusters(cells: DataFrame, clusters: DataFrame, min_samples: int = 5) -> DataFrame:
-    """(ord, cluster): inside each cluster, cells that density clustering leaves as noise become -1."""
+def refined_clusters(cells: DataFrame, clusters: DataFrame, min_samples: int = 5, components: int = 4, k: int = 20) -> DataFrame:
+    """(ord, cluster): inside each cluster, cells that density clustering of the cluster's embedding leaves as noise become -1."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MOST_CELLS:
             raise ValueError(f"a cluster has {len(pdf)} cells; density clustering takes {MOST_CELLS}")
         pdf = pdf.sort_values("ord")
-        x = np.array(pdf["v"].tolist())
+        x = embedded_rows(np.array(pdf["v"].tolist()), components, k)
         label = density_clusters(density_tree(distances(x, "correlation"), min_samples), len(x), max(round(len(x) / 10), 2))
         return pd.DataFrame({"ord": pdf["ord"], "cluster": np.where(label < 0, -1, key[0]).astype("int32")})
 
     return cells.select("ord", "v").join(clusters, "ord").groupBy("cluster").applyInPandas(run, "ord long, cluster int")
+
+
+def without_noise(clusters: DataFrame) -> DataFrame:
+    """Rows of cells that belong to a cluster."""
+    return clusters.where("cluster <> -1")

@@ -21,8 +21,10 @@ def differences(anchors: DataFrame, ref: DataFrame, query: DataFrame) -> DataFra
 
 
 def numbered(anchors: DataFrame) -> DataFrame:
-    """Add anchor_id: one number per (cellr, cellq), ordered by both for cells below 2^31."""
-    return anchors.withColumn("anchor_id", F.shiftleft(F.col("cellq").cast("long"), 31) + F.col("cellr"))
+    """Add anchor_id: one number per (cellr, cellq), ordered by both; cells from 2^31 on, which would collide, are an error."""
+    fits = (F.col("cellr") < F.lit(1 << 31)) & (F.col("cellq") < F.lit(1 << 31))
+    number = F.shiftleft(F.col("cellq").cast("long"), 31) + F.col("cellr")
+    return anchors.withColumn("anchor_id", F.when(fits, number).otherwise(F.raise_error(F.lit("ordinals of anchors must be below 2^31")).cast("long")))
 
 
 def anchor_weights(anchors: DataFrame, query: DataFrame, k: int, sd: float = 1.0, delta: float = 1e-5, zero: str = "nan") -> DataFrame:

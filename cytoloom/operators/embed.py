@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cca import pca
-from .cluster import MOST_CELLS
-from .knn import knn
+from .limits import MOST_CELLS
+from .knn import knn, unit
 
 
 def membership(dist: np.ndarray) -> np.ndarray:
@@ -47,30 +47,64 @@ def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
 def layout(start: np.ndarray, head: np.ndarray, tail: np.ndarray, weight: np.ndarray, epochs: int, negatives: int, a: float, b: float, seed: int) -> np.ndarray:
     """Move points along sampled edges, nearer by weight, and away from random others."""
     rng = np.random.default_rng(seed)
-    y, n = start.copy(), len(start)
-    chance = weight / weight.max()
+    y, n = start.astype(np.float32), len(start)
+    chance = weight / weight.max() if len(weight) else weight
+    step = max(1, (1 << 22) // max(1, negatives * y.shape[1]))  # edges whose random others are looked at together
     for e in range(epochs):
-        rate = 1 - e / epochs
+        rate = np.float32(1 - e / epochs)
         at = np.flatnonzero(rng.random(len(head)) < chance)
         i, j = head[at], tail[at]
         d = y[i] - y[j]
-        r = (d * d).sum(axis=1, keepdims=True)
-        g = np.clip(-2 * a * b * r ** np.maximum(b - 1, 0) / (1 + a * r**b) * d if b >= 1 else -2 * a * b * np.maximum(r, 1e-9) ** (b - 1) / (1 + a * r**b) * d, -4, 4) * rate
+        r = np.maximum((d * d).sum(axis=1, keepdims=True), 1e-9)
+        g = np.clip(-2 * a * b * r ** (b - 1) / (1 + a * r**b) * d, -4, 4).astype(np.float32) * rate
         np.add.at(y, i, g)
         np.add.at(y, j, -g)
-        i = np.repeat(i, negatives)
-        d = y[i] - y[rng.integers(0, n, len(i))]
-        r = (d * d).sum(axis=1, keepdims=True)
-        np.add.at(y, i, np.clip(2 * b / ((0.001 + r) * (1 + a * r**b)) * d, -4, 4) * rate * (r > 0))
-    return y
+        for low in range(0, len(i), step):
+            part = i[low : low + step]
+            d = y[part][:, None] - y[rng.integers(0, n, (len(part), negatives))]
+            r = np.einsum("ijk,ijk->ij", d, d)[..., None]
+            push = np.clip((2 * b * (r > 0) / ((0.001 + r) * (1 + a * r**b))).astype(np.float32) * d, -4, 4)
+            np.add.at(y, part, push.sum(axis=1) * rate)
+    return y.astype(float)
 
 
-def neighbour_embedding(cells: DataFrame, components: int = 2, k: int = 30, min_dist: float = 0.1, epochs: int = 200, negatives: int = 5, metric: str = "correlation", seed: int = 0) -> DataFrame:
+def placed(start: np.ndarray, dst: np.ndarray, dist: np.ndarray, epochs: int, negatives: int, min_dist: float, seed: int) -> np.ndarray:
+    """Coordinates from a start, each row's neighbours (row numbers) and their distances."""
+    n = len(start)
+    w = np.zeros((n, n), np.float32)
+    w[np.repeat(np.arange(n), dst.shape[1]), dst.reshape(-1)] = np.round(membership(dist), 9).reshape(-1)
+    w = w + w.T - w * w.T
+    i, j = np.nonzero(np.triu(w, 1))
+    # Rounded: sums over other partitions differ in their last digits, which the layout would magnify.
+    start = np.round(10 * start / max(np.abs(start).max(), 1e-12), 6) + np.random.default_rng(seed).normal(0, 1e-4, start.shape)
+    return layout(start, i, j, w[i, j], epochs, negatives, *curve(min_dist), seed)
+
+
+def embedded_rows(x: np.ndarray, components: int, k: int, min_dist: float = 0.1, epochs: int = 200, negatives: int = 5, seed: int = 0) -> np.ndarray:
+    """The embedding of rows that one task holds, by correlation; rows without variance stay at the origin."""
+    out = np.zeros((len(x), components))
+    z = unit(x)
+    good = np.flatnonzero(~np.isnan(z).any(axis=1)) if len(x) else np.zeros(0, int)
+    z, x = z[good], x[good]
+    near = min(k, len(x)) - 1
+    if near < 1:
+        return out
+    dist = np.round(1 - z @ z.T, 12)
+    np.fill_diagonal(dist, np.inf)
+    dst = np.argsort(dist, axis=1, kind="stable")[:, :near]
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    start = np.zeros((len(x), components))
+    wide = min(components, len(s))
+    start[:, :wide] = (u * s * np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1, 1))[:, :wide]
+    out[good] = placed(start, dst, np.maximum(np.take_along_axis(dist, dst, 1), 0), epochs, negatives, min_dist, seed)
+    return out
+
+
+def neighbour_embedding(cells: DataFrame, components: int = 2, k: int = 30, min_dist: float = 0.1, epochs: int = 200, negatives: int = 50, metric: str = "correlation", seed: int = 0) -> DataFrame:
     """(ord, v): ``components`` coordinates of every cell that has neighbours; ``k`` counts the cell itself."""
     n = cells.count()
     if n > MOST_CELLS:
         raise ValueError(f"{n} cells; the layout takes {MOST_CELLS}")
-    a, b = curve(min_dist)
     near = knn(cells, cells, min(k, max(2, n)) - 1, metric, drop_self=True)
     lists = near.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst", "dist"))).alias("n"))
     rows = lists.join(pca(cells, components).withColumnRenamed("ord", "src"), "src").withColumn("g", F.lit(0))
@@ -78,18 +112,8 @@ def neighbour_embedding(cells: DataFrame, components: int = 2, k: int = 30, min_
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("src")
         ids = pdf["src"].to_numpy()
-        dst = np.array([[x["dst"] for x in r] for r in pdf["n"]])
-        strength = np.round(membership(np.array([[x["dist"] for x in r] for r in pdf["n"]])), 9)
-        row = np.repeat(np.arange(len(ids)), dst.shape[1])
-        column = np.searchsorted(ids, dst.reshape(-1))
-        w = np.zeros((len(ids), len(ids)), np.float32)
-        w[row, column] = strength.reshape(-1)
-        w = w + w.T - w * w.T
-        i, j = np.nonzero(np.triu(w, 1))
-        start = np.array(pdf["v"].tolist())
-        # Rounded: sums over other partitions differ in their last digits, which the layout would magnify.
-        start = np.round(10 * start / max(np.abs(start).max(), 1e-12), 6) + np.random.default_rng(seed).normal(0, 1e-4, start.shape)
-        y = layout(start, i, j, w[i, j], epochs, negatives, a, b, seed)
+        dst = np.searchsorted(ids, np.array([[x["dst"] for x in r] for r in pdf["n"]]))
+        y = placed(np.array(pdf["v"].tolist()), dst, np.array([[x["dist"] for x in r] for r in pdf["n"]]), epochs, negatives, min_dist, seed)
         return pd.DataFrame({"ord": ids, "v": y.tolist()})
 
     return rows.groupBy("g").applyInPandas(run, "ord long, v array<double>")

@@ -1,8 +1,9 @@
 """Exact k-nearest-neighbour joins: correlation or Euclidean distance.
 
-A table of vectors is (ord long, v array<double>). The data side is taken in blocks of bounded size; each block
-is broadcast to the query rows, which keep their k best by a matrix product. Blocks beyond the first need a
-top-k over at most k rows per block. Ties go to the smaller ord; distances are rounded to 12 digits first, so
+A table of vectors is (ord long, v array<double>). A data side of at most ``BLOCK_BYTES`` is broadcast. A larger one is
+never on the driver: both sides become blocks of bounded size, one row each; every pair of blocks meets in an equi-join
+on the two block numbers, a matrix product keeps each query row's k best of that data block, and a top-k over at most k
+rows per block joins the blocks. Either way ties go to the smaller ord; distances are rounded to 12 digits first, so
 that equal rows tie on every machine. A row without variance has no correlation neighbours.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: A data side of at most so many bytes is broadcast; blocks of the join beyond hold a quarter.
 BLOCK_BYTES = 64 << 20
 KNN = "src long, dst long, rank int, dist double"
 
@@ -36,25 +38,34 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Vectors:
-    """The data side of neighbour joins, in blocks; a table of one block is collected once and kept."""
+    """The data side of neighbour joins: counted once, and collected once where it is small enough to broadcast."""
 
     def __init__(self, rows: DataFrame, block_bytes: int = BLOCK_BYTES):
-        self.rows, self.one = rows.select("ord", "v"), None
-        n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-        self.n, self.blocks = n, max(1, -(-n * (width or 1) * 8 // block_bytes))
-
-    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.one is not None:
-            yield self.one
-            return
-        for b in range(self.blocks):
-            t = (self.rows if self.blocks == 1 else self.rows.where(F.pmod(F.xxhash64("ord"), F.lit(self.blocks)) == b)).toArrow()
+        self.rows, self.block_bytes, self.sent = rows.select("ord", "v"), block_bytes, None
+        self.n, self.width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+        self.small = self.n * (self.width or 1) * 8 <= block_bytes
+
+    def broadcast(self):
+        """(ords, vectors) in ascending order, at most ``block_bytes``."""
+        if self.sent is None:
+            t = self.rows.toArrow()
             ords = np.asarray(t.column(0), np.int64)
             order = np.argsort(ords, kind="stable")
-            got = ords[order], matrix(t.column(1).combine_chunks())[order]
-            if self.blocks == 1:
-                self.one = got
-            yield got
+            self.sent = self.rows.sparkSession.sparkContext.broadcast((ords[order], matrix(t.column(1).combine_chunks())[order]))
+        return self.sent
+
+
+def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
+    """(name, name_ords, name_v): the rows of each of ``blocks`` blocks as two binaries, ascending by ord."""
+
+    def pack(block: pa.Table) -> pa.Table:
+        ords = np.asarray(block.column("ord").combine_chunks(), np.int64)
+        order = np.argsort(ords, kind="stable")
+        x = matrix(block.column("v").combine_chunks())[order]
+        return pa.table({name: pa.array([block.column(name)[0].as_py()], pa.int32()), f"{name}_ords": pa.array([ords[order].tobytes()], pa.binary()), f"{name}_v": pa.array([x.tobytes()], pa.binary())})
+
+    dealt = rows.select("ord", "v", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias(name))
+    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, {name}_ords binary, {name}_v binary")
 
 
 def nearest(q: np.ndarray, d: np.ndarray, ords: np.ndarray, k: int, metric: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -88,45 +99,55 @@ def knn(query: DataFrame, data: DataFrame | Vectors, k: int, metric: str = "corr
         raise ValueError(f"unknown metric {metric!r}")
     if k < 1:
         raise ValueError("k must be at least 1")
-    spark = query.sparkSession
     data = data if isinstance(data, Vectors) else Vectors(data)
-    rows = query.select("ord", "v").repartition(spark.sparkContext.defaultParallelism)
     kk = k + drop_self
 
-    def search(sent):
+    def best(src: np.ndarray, q: np.ndarray, ords: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if metric == "correlation":
+            q, d = unit(q), unit(d)
+            good = ~np.isnan(d).any(axis=1)
+            ords, d = ords[good], d[good]
+        if not len(q) or not len(ords):
+            return
+        found = [(src[i], o, x) for i, o, x in nearest(q, d, ords, kk, metric)]
+        if drop_self:
+            found = [(s, o[o != s][:k], x[o != s][:k]) for s, o, x in found]
+        if found:
+            sizes = [len(o) for _, o, _ in found]
+            cols = [pa.array(np.repeat([s for s, _, _ in found], sizes), pa.int64()), pa.array(np.concatenate([o for _, o, _ in found]), pa.int64()), pa.array(np.concatenate([np.arange(1, n + 1) for n in sizes]), pa.int32()), pa.array(np.concatenate([x for _, _, x in found]))]
+            yield pa.RecordBatch.from_arrays(cols, ["src", "dst", "rank", "dist"])
+
+    if data.small:
+        sent = data.broadcast()
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ords, d = sent.value
             for b in batches:
-                if not b.num_rows or not len(ords):
-                    continue
-                q, src = matrix(b.column(1)), np.asarray(b.column(0), np.int64)
-                if metric == "correlation":
-                    q = unit(q)
-                found = [(src[i], o, x) for i, o, x in nearest(q, d, ords, kk, metric)]
-                if drop_self:
-                    found = [(s, o[o != s][:k], x[o != s][:k]) for s, o, x in found]
-                if not found:
-                    continue
-                sizes = [len(o) for _, o, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([s for s, _, _ in found], sizes), pa.int64()), pa.array(np.concatenate([o for _, o, _ in found]), pa.int64()), pa.array(np.concatenate([np.arange(1, n + 1) for n in sizes]), pa.int32()), pa.array(np.concatenate([x for _, _, x in found]))],
-                    ["src", "dst", "rank", "dist"],
-                )
-
-        return run
+                if b.num_rows:
+                    yield from best(np.asarray(b.column(0), np.int64), matrix(b.column(1)), ords, d)
 
-    out = None
-    for ords, d in data:
-        if metric == "correlation":
-            d = unit(d)
-            good = ~np.isnan(d).any(axis=1) if len(d) else np.zeros(0, bool)
-            ords, d = ords[good], d[good]
-        part = rows.mapInArrow(search(spark.sparkContext.broadcast((ords, d))), KNN)  # at most BLOCK_BYTES
-        out = part if out is None else out.unionByName(part)
-    if data.blocks > 1:
-        w = Window.partitionBy("src").orderBy("dist", "dst")
-        out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
-    return out
+        return query.select("ord", "v").repartition(query.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, KNN)
+
+    per = max(1, data.block_bytes // 4 // (8 * (data.width or 1)))  # rows of a block
+    q_blocks, d_blocks = max(1, -(-query.count() // per)), -(-data.n // per)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                src, q, ords, d = (np.frombuffer(c[i].as_py(), t) for c, t in zip(b.columns, ("<i8", "<f8", "<i8", "<f8"), strict=True))
+                yield from best(src, q.reshape(len(src), -1), ords, d.reshape(len(ords), -1))
+
+    left = packed(query, q_blocks, "q").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))))
+    right = packed(data.rows, d_blocks, "d").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    pairs = left.join(right.hint("merge"), ["q", "d"]).select("q_ords", "q_v", "d_ords", "d_v")
+    w = Window.partitionBy("src").orderBy("dist", "dst")
+    return pairs.mapInArrow(meet, KNN).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
+
+
+def distances_to(query: DataFrame, data: DataFrame) -> DataFrame:
+    """(src, dst, dist): the whole matrix of correlation distances, a row per pair; for small sets."""
+    many = data.count()
+    return knn(query, data, many).select("src", "dst", "dist") if many else query.sparkSession.createDataFrame([], "src long, dst long, dist double")
 
 
 def four_way(ref_emb: DataFrame, query_emb: DataFrame, ref_latent: DataFrame, k: int, reference_first: bool = True, query_latent: DataFrame | None = None) -> DataFrame:

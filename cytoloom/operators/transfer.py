@@ -47,3 +47,8 @@ def masked_labels(labels: DataFrame, mask: DataFrame) -> DataFrame:
 def discard(rows: DataFrame, mask: DataFrame, key: str = "ord") -> DataFrame:
     """Rows of cells whose mask is on."""
     return rows.join(mask.where("keep").select(F.col("src").alias(key)), key, "left_semi")
+
+
+def discard_everywhere(tables: dict[str, DataFrame], mask: DataFrame, key: str = "ord") -> dict[str, DataFrame]:
+    """Every table of the query set without the cells whose mask is off."""
+    return {name: discard(rows, mask, key) for name, rows in tables.items()}

@@ -23,7 +23,12 @@ class Params:
     blank_lower: tuple[float, ...] | None = (-1200, -1200, -1200, -1200)
     blank_upper: tuple[float, ...] | None = (6000, 2500, 5000, 2500)
     k_cluster: int = 30
-    silhouette_cutoff: float | None = 0.114
+    silhouette_cutoff: float | None = None
     silhouette_percentile: float = 95
     inconsistent_value: float = 0.1
-    min_cluster_size: int = 10
+    min_cluster_size: int = 8
+    query_silhouette_cutoff: float | None = 0.0
+    query_min_cluster_size: int = 1
+    density_min_cluster_size: int = 2
+    density_min_samples: int = 14
+    embed_negatives: int = 50

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import anchors as A
 from ..operators import clean, cluster, correct, gates, transfer
 from ..operators.cca import cca
+from ..operators.embed import neighbour_embedding
 from ..operators.knn import four_way
 from ..params import Params
 from ..sources.scratch import settled
@@ -45,39 +47,52 @@ def integrate(query: DataFrame, ref: DataFrame, labels: DataFrame, latent: DataF
     return transfer.masked_labels(transfer.transfer_labels(w, labels), transfer.query_mask(w, p.mask_threshold))
 
 
-def cluster_cells(cells: DataFrame, option: int = 1, k: int = 30, markers: list[gates.Gate] | None = None, p: Params = Params()) -> DataFrame:
+def embedded(cells: DataFrame, k: int, p: Params = Params()) -> DataFrame:
+    """Cells in a neighbour embedding of as many components as they have features, computed once."""
+    width = cells.select(F.max(F.size("v"))).first()[0] or 1
+    return settled(neighbour_embedding(cells, width, k, 0.1, negatives=p.embed_negatives))
+
+
+def scan(cells: DataFrame, p: Params = Params(), min_sizes: Sequence[int] = range(5, 21, 4), min_samples: Sequence[int] = range(10, 41, 3)) -> tuple[DataFrame, DataFrame]:
+    """Labels and scores of density clustering over the grid, in an embedding of 50 neighbours."""
+    return cluster.parameter_scan(cells, min_sizes, min_samples, space=embedded(cells, 50, p))
+
+
+def cluster_cells(cells: DataFrame, option: int = 1, k: int = 30, markers: list[gates.Gate] | None = None, p: Params = Params(), **grid) -> DataFrame:
     """(ord, cluster): 1 neighbour graph, 2 scan and consensus, 3 graph refined by density, 4 marker gates, 5 density on all markers."""
     if option == 1:
         return cluster.graph_clusters(cells, k)
     if option == 2:
-        labels, scores = cluster.parameter_scan(cells)
-        return cluster.consensus_clusters(cells, cluster.consensus_distance(labels, scores, None, p.silhouette_percentile), p.inconsistent_value, p.min_cluster_size)
+        labels, scores = scan(cells, p, **grid)
+        return cluster.consensus_clusters(cells, cluster.consensus_distance(labels, scores, p.query_silhouette_cutoff), p.inconsistent_value, p.query_min_cluster_size)
     if option == 3:
         return cluster.refined_clusters(cells, cluster.graph_clusters(cells, k))
     if option == 4:
         return gates.marker_gate(cells, markers or [])
     if option == 5:
-        return cluster.density_grid(cells, [3], [20], "euclidean").select("ord", F.col("label").alias("cluster"))
+        return cluster.density_grid(embedded(cells, 15, p), [3], [20], "euclidean").select("ord", F.col("label").alias("cluster"))
     raise ValueError(f"no option {option}")
 
 
-def cluster_reference(cells: DataFrame, option: int = 1, p: Params = Params()) -> DataFrame:
+def cluster_reference(cells: DataFrame, option: int = 1, p: Params = Params(), **grid) -> DataFrame:
     """(ord, cluster): 1 scan and consensus, 2 the best run of the scan, 3 one density clustering."""
     if option in (1, 2):
-        labels, scores = cluster.parameter_scan(cells)
+        labels, scores = scan(cells, p, **grid)
         if option == 2:
             return cluster.best_run(labels, scores)
         return cluster.consensus_clusters(cells, cluster.consensus_distance(labels, scores, p.silhouette_cutoff, p.silhouette_percentile), p.inconsistent_value, p.min_cluster_size)
     if option == 3:
-        return cluster.density_grid(cells, [p.min_cluster_size], [p.min_cluster_size]).select("ord", F.col("label").alias("cluster"))
+        return cluster.density_grid(embedded(cells, 15, p), [p.density_min_cluster_size], [p.density_min_samples]).select("ord", F.col("label").alias("cluster"))
     raise ValueError(f"no option {option}")
 
 
 @dataclass
 class Result:
-    """The full pipeline's tables."""
+    """The full pipeline's tables; ``kept`` is the corrected query without the masked cells, ``tables`` all others so."""
 
     corrected: DataFrame
+    kept: DataFrame
+    tables: dict[str, DataFrame]
     weights: DataFrame
     mask: DataFrame
     query_clusters: DataFrame
@@ -85,12 +100,13 @@ class Result:
 
 
 def pipeline(query: DataFrame, query_panel: list[str], ref: DataFrame, ref_panel: list[str], latent: DataFrame | None = None, amount_query: int = -1, amount_ref: int = -1, prepared: bool = False, p: Params = Params()) -> Result:
-    """Subset, gate, clean, map, transfer weights, discard far cells, cluster both sides.
+    """Subset, gate, clean, map, transfer weights, discard far cells, cluster the corrected query and the reference.
 
     ``query`` has (ord, v, blanks, size, ...). With ``prepared`` the values are taken as they are, as for
     already normalised sets; gates then still apply where blanks and size are there.
     """
     query, ref = gates.take_subset(query, amount_query), gates.take_subset(ref, amount_ref)
+    every = query
     if {"blanks", "size"} <= set(query.columns):
         query = gates.blank_size_gate(query, p.size_limits, p.blank_lower, p.blank_upper)
     if not prepared:
@@ -104,5 +120,7 @@ def pipeline(query: DataFrame, query_panel: list[str], ref: DataFrame, ref_panel
     mapped = settled(gates.drop_nan(map_query(q, r, latent, len(panel), p).corrected))
     w = settled(transfer.transfer_weights(mapped, r, None, p.c))
     mask = transfer.query_mask(w, p.mask_threshold)
-    kept = settled(transfer.discard(q, mask))
-    return Result(mapped, w, mask, cluster_cells(kept, 1, p.k_cluster), cluster_reference(latent if latent is not None else r, 1, p))
+    mask = settled(mask)
+    kept = settled(transfer.discard(mapped, mask))
+    tables = transfer.discard_everywhere({"query": every, "cleaned": query.select("ord", "v"), "panel": q}, mask) | transfer.discard_everywhere({"weights": w}, mask, "src")
+    return Result(mapped, kept, tables, w, mask, cluster_cells(kept, 1, p.k_cluster), cluster_reference(latent if latent is not None else r, 1, p))

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from .scratch import settled
 
 
 def with_ord(rows: DataFrame, key: str | None = None) -> DataFrame:
     """Add a dense ord from 0: by ``key`` if given, else in reading order.
 
-    Numbers are dense per partition and moved by the partitions' counts, so no single task sees all rows.
+    Rows are numbered in their partitions and moved by the counts of the partitions before, so no task sees all rows;
+    they are kept in the shared folder first, as numbers must not change when a partition is read again.
     """
-    if key is not None:
-        rows = rows.orderBy(key)
-    schema = T.StructType([T.StructField("ord", T.LongType(), False), *rows.schema.fields])
-    return rows.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
+    rows = settled(rows if key is None else rows.orderBy(key))
+    rows = rows.withColumn("_n", F.monotonically_increasing_id())  # partition number << 33 | number in it
+    part = F.shiftright("_n", 33)
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))  # a row per partition
+    names = [c for c in rows.columns if c != "_n"]
+    return rows.withColumn("_p", part).join(F.broadcast(base), "_p").select((F.col("_b") + F.col("_n").bitwiseAND((1 << 33) - 1)).alias("ord"), *names)
 
 
 def read_cells(spark: SparkSession, path: str, features: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -24,12 +31,11 @@ def read_cells(spark: SparkSession, path: str, features: list[str] | None = None
     Only the header is read to get the names; every value is parsed as a double (others become null, then NaN).
     """
     names = spark.read.option("header", True).csv(path).columns
-    key, panel = names[0], names[1:]
+    panel = names[1:]
     schema = T.StructType([T.StructField("cell_id", T.StringType()), *(T.StructField(f"f{i}", T.DoubleType()) for i in range(len(panel)))])
     rows = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
     keep = [panel.index(f) for f in features] if features else range(len(panel))
     v = F.array(*(F.coalesce(F.col(f"f{i}"), F.lit(float("nan"))) for i in keep))
-    del key
     return with_ord(rows.select("cell_id", v.alias("v"))), [panel[i] for i in keep]
 
 
@@ -50,8 +56,8 @@ def read_query(spark: SparkSession, blanks: str, protein: str, size: str, spatia
 
 
 def from_wide(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
-    """Cells from an in-memory table with one column per feature."""
-    return with_ord(rows.select(F.col(key).cast("string").alias("cell_id"), F.array(*(F.col(f"`{f}`").cast("double") for f in features)).alias("v")), "cell_id")
+    """Cells from an in-memory table with one column per feature, numbered in the table's order."""
+    return with_ord(rows.select(F.col(key).cast("string").alias("cell_id"), F.array(*(F.col(f"`{f}`").cast("double") for f in features)).alias("v")))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

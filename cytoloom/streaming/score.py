@@ -15,12 +15,12 @@ from ..operators.transfer import UNASSIGNED
 def score_stream(cells: DataFrame, ref: DataFrame, labels: DataFrame, k: int, c: float = 0.1, threshold: float = 0.5) -> DataFrame:
     """(ord, label, mean_dist, keep) for each row (ord, v), as the batch operators give it; no state, so any output mode works.
 
-    The reference must fit one block; a larger one is served by the batch join in ``foreachBatch``.
+    The reference must be small enough to broadcast; a larger one is served by the batch join in ``foreachBatch``.
     """
     data = Vectors(ref)
-    if data.blocks > 1:
-        raise ValueError(f"the reference exceeds one block of {BLOCK_BYTES} bytes")
-    ords, d = next(iter(data))
+    if not data.small:
+        raise ValueError(f"the reference exceeds {BLOCK_BYTES} bytes")
+    ords, d = data.broadcast().value
     name = {r["ord"]: r["label"] for r in labels.select("ord", "label").collect()}  # one block's rows
     d = unit(d)
     good = ~np.isnan(d).any(axis=1)

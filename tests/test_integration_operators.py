@@ -323,12 +323,18 @@ def test_pipeline(spark):
     query = cells(spark, to(q)).withColumn("blanks", F.array(*[F.lit(0.0)] * 4)).withColumn("size", F.lit(2000.0))
     names = [f"m{i}" for i in range(10)]
     out = integration.pipeline(query, names, cells(spark, to(r)), names[::-1], p=small())
-    assert 0 < out.corrected.count() <= 80 and out.query_clusters.count() == out.mask.where("keep").count()
+    kept = out.mask.where("keep").count()
+    assert 0 < out.corrected.count() <= 80 and out.query_clusters.count() == out.kept.count() == kept
+    assert {name: t.count() for name, t in out.tables.items() if name != "weights"} == dict.fromkeys(("query", "cleaned", "panel"), kept)
+    moved = {r["ord"]: r["v"] for r in out.corrected.collect()}
+    assert all(r["v"] == moved[r["ord"]] for r in out.kept.collect())  # the corrected cells are clustered
     prepared = integration.pipeline(cells(spark, q), names, cells(spark, r), names, amount_query=60, prepared=True, p=small())
     assert prepared.corrected.count() <= 60
-    for option in (1, 3, 5):
-        assert integration.cluster_cells(cells(spark, blobs()), option, 12).count() == 120
-    assert integration.cluster_reference(cells(spark, blobs()), 3).count() == 120
+    few = {"min_sizes": [5, 9], "min_samples": [5, 10]}
+    for option in (1, 2, 3, 5):
+        assert integration.cluster_cells(cells(spark, blobs()), option, 12, **(few if option == 2 else {})).count() == 120
+    for option in (1, 2, 3):
+        assert integration.cluster_reference(cells(spark, blobs()), option, **(few if option < 3 else {})).count() == 120
     with pytest.raises(ValueError):
         integration.cluster_cells(cells(spark, r), 9)
 
@@ -357,7 +363,9 @@ def test_files(spark, tmp_path):
     S.write_wide(c, panel, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["cell_id", *panel]
     wide = spark.createDataFrame([("b", 2.0), ("a", 1.0)], "id string, f double")
-    assert [(r["ord"], r["cell_id"]) for r in S.from_wide(wide, "id", ["f"]).orderBy("ord").collect()] == [(0, "a"), (1, "b")]
+    assert [(r["ord"], r["cell_id"]) for r in S.from_wide(wide, "id", ["f"]).orderBy("ord").collect()] == [(0, "b"), (1, "a")]  # the table's order
+    numbered = S.with_ord(spark.range(1000).repartition(7), "id").collect()
+    assert sorted((r["ord"], r["id"]) for r in numbered) == [(i, i) for i in range(1000)]
 
 
 def test_stream(spark, tmp_path):

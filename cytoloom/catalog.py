@@ -24,6 +24,8 @@ ORACLES: dict[str, str] = {}
 
 P = Params()
 K, K_ANCHOR, K_FILTER, K_SCORE, K_WEIGHT, MASK = P.k_find_nn, P.k_find_anchor, P.k_filter_anchor, P.k_score_anchor, P.k_find_weights, P.mask_threshold
+#: Between the mean distances here, none of which is below the default: a discard that keeps some cells and drops some.
+TELLING = 0.66
 NB = (("A", 4.0, 20.0), ("N", 6.0, 30.0), ("R", 2.5, 25.0))
 GATES: list[gates.Gate] = [(0, 0.1), (3, 0.05), ((1, 2), (0.4, 0.3))]
 
@@ -94,6 +96,7 @@ tw AS (SELECT src, dst, dist, exp(-dist / 0.1) / sum(exp(-dist / 0.1)) OVER (PAR
 _LABEL = f"""{_TRANSFER}, tl AS (SELECT src, label, s FROM (SELECT src, label, sum(w) AS s FROM tw JOIN z ON side = 0 AND ord = dst GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, label) = 1),
 mk AS (SELECT src, avg(dist) AS mean_dist, avg(dist) < {MASK} AS keep FROM tw GROUP BY src)"""
+_DISCARD = _LABEL.replace(f"avg(dist) < {MASK}", f"avg(dist) < {TELLING}")
 _TRUTH = f"{_LABEL}, tt AS (SELECT q.label::VARCHAR AS truth, tl.label::VARCHAR AS label FROM tl JOIN z q ON q.side = 1 AND q.ord = tl.src)"
 
 
@@ -233,14 +236,14 @@ def masked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("mean_dist", F.round("mean_dist", 6))
 
 
-@query(f"WITH {_LABEL} SELECT ord FROM z WHERE side = 1 AND ord IN (SELECT src FROM mk WHERE keep)")
+@query(f"WITH {_DISCARD} SELECT ord FROM z WHERE side = 1 AND ord IN (SELECT src FROM mk WHERE keep)")
 def discard_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfer.discard(_query(spark, sf_dir), transfer.query_mask(_transfer(spark, sf_dir), MASK)).select("ord")
+    return transfer.discard(_query(spark, sf_dir), transfer.query_mask(_transfer(spark, sf_dir), TELLING)).select("ord")
 
 
-@query(f"WITH {_LABEL}, k AS (SELECT ord, v FROM z WHERE side = 1 AND ord IN (SELECT src FROM mk WHERE keep)) SELECT t AS name, ord, round(v[1], 6) AS value FROM k, (VALUES ('blanks'), ('protein'), ('protein_clean'), ('protein_corrected'), ('size'), ('spatial'), ('transfer')) n(t)")
+@query(f"WITH {_DISCARD}, k AS (SELECT ord, v FROM z WHERE side = 1 AND ord IN (SELECT src FROM mk WHERE keep)) SELECT t AS name, ord, round(v[1], 6) AS value FROM k, (VALUES ('blanks'), ('protein'), ('protein_clean'), ('protein_corrected'), ('size'), ('spatial'), ('transfer')) n(t)")
 def discard_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, mask = _query(spark, sf_dir), settled(transfer.query_mask(_transfer(spark, sf_dir), MASK))
+    rows, mask = _query(spark, sf_dir), settled(transfer.query_mask(_transfer(spark, sf_dir), TELLING))
     names = ("blanks", "protein", "protein_clean", "protein_corrected", "size", "spatial", "transfer")
     out = None
     for name, kept in transfer.discard_everywhere(dict.fromkeys(names, rows), mask).items():

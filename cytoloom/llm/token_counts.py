@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame
 
 from .common import slices, texts_of
 
-#: Longer pre-tokens are merged one by one with a heap: same result, no quadratic passes.
+#: Longer pre-tokens are cut between characters that are neighbours in no piece, where no merge can cross. What is still
+#: longer (a run of one letter, say) is merged with a heap: the same result without a pass over the whole for each merge.
+#: Applying a pair everywhere at once would need no heap, but is not exact here: in this vocabulary a merge can make a
+#: pair of better rank than its own.
 LONG = 256
 _NONE = np.int64(1) << 40
 
@@ -49,6 +52,8 @@ class PieceCounter:
         at = np.argsort(keys)
         self.keys, self.ranks, self.made = (np.array(x, np.int64)[at] for x in (keys, ranks, made))
         self.pair = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        beside = {number[p[i]] * self.size + number[p[i + 1]] for p in score for i in range(len(p) - 1)}
+        self.beside = np.array(sorted(beside), np.int64)
         apart = any(" " in p.lstrip(" ") for p in score)
         if apart:
             raise ValueError("a piece has a space after another character: words are not independent")
@@ -62,6 +67,14 @@ class PieceCounter:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, at, -1)
 
+    def _parts(self, text: str) -> list[str]:
+        """``text`` cut wherever no piece has the two characters beside each other."""
+        sym = self.char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        key = sym[:-1] * self.size + sym[1:]
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        cut = [0, *(np.flatnonzero(self.beside[at] != key) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
     def _one(self, text: str) -> int:
         """The same merges for one long sequence, by a heap of pairs."""
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -118,11 +131,13 @@ class PieceCounter:
         return count
 
     def _learn(self, new: list[str], into: dict[str, int]) -> None:
-        short = [w for w in new if len(w) <= LONG]
+        parts = {w: self._parts(w) for w in new if len(w) > LONG}
+        every = sorted({x for x in new if len(x) <= LONG}.union(*parts.values()))
+        short, got = [x for x in every if len(x) <= LONG], {x: self._one(x) for x in every if len(x) > LONG}
         for at in range(0, len(short), 50_000):
             part = short[at : at + 50_000]
-            into.update(zip(part, self.merged(part).tolist(), strict=True))
-        into.update((w, self._one(w)) for w in new if len(w) > LONG)
+            got.update(zip(part, self.merged(part).tolist(), strict=True))
+        into.update((w, sum(got[x] for x in parts[w]) if w in parts else got[w]) for w in new)
 
     def counts(self, texts: list[str]) -> list[int]:
         pieces = [self.split(" " + t.replace("▁", " ")) if t else [] for t in texts]

@@ -229,6 +229,7 @@ def test_token_counts(odd, empty):
     m = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
     rnd = random.Random(8)
     texts = ["".join(rnd.choice(" abehtno\nr▁é日😀<s>") for _ in range(rnd.randrange(1, 900))) for _ in range(200)] + ["ab" * 900, "<s> </s> <unk> <0x0A>"]
+    texts += ["".join(rnd.choice("日本語文字列漢字🙂ßxyzqjk/=+019AZ") for _ in range(n)) for n in (300, 700, 5000)] + ["a" * 3000, "the" * 400, "é" * 600]
     assert PieceCounter(path("piece_bpe_32k.model"), limit=20).counts(texts) == [len(x) for x in m.encode(texts)]
     got = token_counts(odd, path("piece_bpe_32k.model")).collect()
     want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()), len(m.encode(r["text"] or ""))) for r in odd.collect())

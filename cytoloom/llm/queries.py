@@ -154,3 +154,43 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify, grades_of
 
     return classify(table(spark, sf_dir, "documents"), grades_of(table(spark, sf_dir, "labels")))
+
+
+@query
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_codec import digest
+
+    return digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+def _op11_oracle() -> str:
+    from .conversation_repair import oracle
+
+    return oracle()
+
+
+ORACLES["op11_conversation_repair"] = _op11_oracle()
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import written
+    from .prefix_trie import numbered, prefix_trie, rebuilt
+
+    return prefix_trie(*rebuilt(written(numbered(table(spark, sf_dir, "conversations")), "turns")))
+
+
+def _op13_oracle() -> str:
+    from .prefix_trie import oracle
+
+    return oracle()
+
+
+ORACLES["op13_prefix_trie"] = _op13_oracle()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.distributions import normal_cdf
 from .operators import anchors as A
-from .operators import annotate, cca, clean, cluster, correct, embed, gates, knn, transfer
+from .operators import annotate, cca, clean, cluster, communities, consensus, correct, density, embed, gates, knn, transfer
 from .params import Params
 from .plans import integration
 from .sources import cells as sources
@@ -100,6 +100,18 @@ _DISCARD = _LABEL.replace(f"avg(dist) < {MASK}", f"avg(dist) < {TELLING}")
 _TRUTH = f"{_LABEL}, tt AS (SELECT q.label::VARCHAR AS truth, tl.label::VARCHAR AS label FROM tl JOIN z q ON q.side = 1 AND q.ord = tl.src)"
 
 
+#: Two of three query cells lie near the reference cell of their number, the third where it was.
+_NEAR = _TRANSFER.replace(_E, _E.replace("e AS (SELECT vec_id, vec_id % 2 AS side, vec_id // 2 AS ord, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)", """r AS (SELECT vec_id, vec_id % 2 AS side, vec_id // 2 AS ord, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+e AS (SELECT a.vec_id, a.side, a.ord, a.label, CASE WHEN a.side = 1 AND a.ord % 3 > 0 THEN list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * 0.3 + b.v[i] * 0.7) ELSE a.v END AS v FROM r a JOIN r b ON b.side = 0 AND b.ord = a.ord)""")).replace(_AUTO, "2")
+_NEAR_LABEL = f"{_NEAR}, {_LABEL[len(_TRANSFER) + 2 :]}"
+
+
+def _near_query(spark, sf_dir):
+    ref = _ref(spark, sf_dir).select("ord", F.col("v").alias("r"))
+    near = F.zip_with("v", "r", lambda q, r: q * 0.3 + r * 0.7)
+    return _query(spark, sf_dir).join(ref, "ord").select("ord", F.when(F.col("ord") % 3 > 0, near).otherwise(F.col("v")).alias("v"), "label")
+
+
 # ------------------------------------------------------------------ neighbours and anchors
 
 
@@ -513,6 +525,47 @@ def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.graph_clusters(_cells(spark, sf_dir))
 
 
+@query(f"""WITH {_E}, k AS (SELECT a.side + 2 * a.ord AS src, b.side + 2 * b.ord AS dst, row_number() OVER (PARTITION BY a.side, a.ord ORDER BY round(1 - list_dot_product(a.z, b.z), 12), b.side + 2 * b.ord) AS r
+  FROM z a, z b WHERE (a.side, a.ord) <> (b.side, b.ord) QUALIFY r <= 29), l AS (SELECT vec_id, label FROM e),
+g AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*)::DOUBLE AS w FROM k GROUP BY ALL), h AS (SELECT x.label AS x, y.label AS y, w FROM g JOIN l x ON x.vec_id = a JOIN l y ON y.vec_id = b),
+per AS (SELECT l, sum(w) AS mass, sum(i) AS inside FROM (SELECT x AS l, w, CASE WHEN x = y THEN w ELSE 0 END AS i FROM h UNION ALL SELECT y, w, CASE WHEN x = y THEN w ELSE 0 END FROM h) GROUP BY 1)
+SELECT sum(mass) / 2 AS weight, count(*) AS communities, round(sum(inside) / sum(mass) - sum(mass * mass) / sum(mass) ** 2, 9) AS modularity FROM per""")
+def label_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modularity of the given labels on the neighbour graph."""
+    cells = _cells(spark, sf_dir)
+    return communities.modularity(cluster.knn_edges(cells), cells.select("ord", F.col("label").alias("cluster"))).withColumn("modularity", F.round("modularity", 9))
+
+
+@query()
+def communities_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the neighbour graph, every level made of distributed rounds."""
+    return cluster.graph_clusters(_cells(spark, sf_dir), small=0)
+
+
+@query(f"""WITH {_E}, p AS (SELECT a.ord, round(1 - list_dot_product(a.z, b.z), 12) AS d, row_number() OVER (PARTITION BY a.ord ORDER BY round(1 - list_dot_product(a.z, b.z), 12), b.ord) AS r FROM z a, z b WHERE a.side = 0 AND b.side = 0 AND a.ord <> b.ord)
+SELECT ord, round(d, 6) AS core FROM p WHERE r = 9""")
+def core_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _ref(spark, sf_dir)
+    return density.core_distances(knn.knn(cells, cells, 15, drop_self=True), cells, 10).withColumn("core", F.round("core", 6))
+
+
+#: Prim's algorithm: a step takes the least distance to the tree and brings every distance up to date.
+_PRIM = f"""WITH RECURSIVE {_E}, p AS (SELECT a.ord AS a, b.ord AS b, greatest(0, round(1 - list_dot_product(a.z, b.z), 12)) AS d FROM z a, z b WHERE a.side = 0 AND b.side = 0),
+k AS (SELECT a, d AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p WHERE a <> b) WHERE r = 9),
+m AS MATERIALIZED (SELECT p.a, list(greatest(p.d, x.core, y.core) ORDER BY p.b) AS row FROM p JOIN k x ON x.a = p.a JOIN k y ON y.a = p.b GROUP BY 1),
+t AS (SELECT 1::BIGINT AS n, 0.0::DOUBLE AS total, row AS best, [0::BIGINT] AS inside FROM m WHERE a = 0
+  UNION ALL SELECT n + 1, total + least_d, list_transform(range(1, len(best) + 1), lambda i: least(best[i], m.row[i])), list_append(inside, next) FROM
+  (SELECT n, total, best, inside, list_min(list_transform(range(1, len(best) + 1), lambda i: CASE WHEN list_contains(inside, i - 1) THEN NULL ELSE {{'d': best[i], 'i': i - 1}} END)).d AS least_d,
+   list_min(list_transform(range(1, len(best) + 1), lambda i: CASE WHEN list_contains(inside, i - 1) THEN NULL ELSE {{'d': best[i], 'i': i - 1}} END)).i AS next FROM t WHERE n < len(best)) JOIN m ON m.a = next)
+SELECT n - 1 AS edges, round(total, 6) AS weight FROM t ORDER BY n DESC LIMIT 1"""
+
+
+@query(_PRIM)
+def reach_tree_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and weight of the minimum spanning tree of mutual reachability, made in distributed rounds."""
+    return density.reach_tree(_ref(spark, sf_dir), 10).agg(F.count("*").alias("edges"), F.round(F.sum("d"), 6).alias("weight"))
+
+
 @query()
 def hdbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.density_grid(_ref(spark, sf_dir), range(5, 21, 4), range(10, 41, 3))
@@ -574,6 +627,25 @@ def consensus_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.consensus_distance(*_runs(spark, sf_dir), 0.2).withColumn("d", F.round("d", 6))
 
 
+_CLASSES = f"{_RUNS}, w AS (SELECT ord, list(label ORDER BY run) AS s FROM l WHERE score >= 0.2 GROUP BY 1), c AS (SELECT s, min(ord) AS node, count(*) AS size FROM w GROUP BY 1)"
+
+
+@query(f"WITH {_CLASSES} SELECT ord, node, size, round(len(list_filter(s, lambda x: x <> -1)) / 4, 6) AS own FROM w JOIN c USING (s)")
+def consensus_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell's class of cells that the kept runs treat alike."""
+    labels, scores = _runs(spark, sf_dir)
+    members, classes = consensus.consensus_classes(labels, *consensus.kept_runs(scores, 0.2))
+    return members.join(classes, "node").select("ord", "node", "size", F.round("own", 6).alias("own"))
+
+
+@query(f"WITH {_CLASSES} SELECT x.node AS a, y.node AS b, round(1 - len(list_filter(list_zip(x.s, y.s), lambda p: p[1] = p[2] AND p[1] <> -1)) / 4, 6) AS d FROM c x JOIN c y ON x.node < y.node AND len(list_filter(list_zip(x.s, y.s), lambda p: p[1] = p[2] AND p[1] <> -1)) > 0")
+def consensus_class_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between classes, a row per pair that some run joins."""
+    labels, scores = _runs(spark, sf_dir)
+    runs, many = consensus.kept_runs(scores, 0.2)
+    return consensus.class_distances(consensus.consensus_classes(labels, runs, many)[1], many).withColumn("d", F.round("d", 6))
+
+
 @query(f"WITH {_RUNS}, m AS (SELECT label, dense_rank() OVER (ORDER BY label) AS c FROM (SELECT DISTINCT label FROM l WHERE run = 2 AND label <> -1)) SELECT ord, coalesce(c, -1)::INT AS cluster FROM l LEFT JOIN m USING (label) WHERE run = 2")
 def consensus_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.relabel(_runs(spark, sf_dir)[0].where("run = 2").select("ord", "label"))
@@ -586,9 +658,7 @@ def without_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def consensus_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark, sf_dir)
-    labels, scores = _runs(spark, sf_dir)
-    return cluster.consensus_clusters(cells, cluster.consensus_distance(labels, scores, 0.2), 0.5, 3)
+    return cluster.consensus(*_runs(spark, sf_dir), 0.2, inconsistent=0.5, min_size=3)
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -675,6 +745,23 @@ def integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integration.integrate(_query(spark, sf_dir), ref, ref.select("ord", "label"), p=Params())
 
 
+@query(f"WITH {_NEAR_LABEL} SELECT tl.src, CASE WHEN keep THEN label::VARCHAR ELSE 'Not Assigned' END AS label, round(mean_dist, 6) AS mean_dist, keep FROM tl JOIN mk USING (src)")
+def near_masked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and mask of a query that lies near the reference for two cells of three."""
+    ref = _ref(spark, sf_dir)
+    w = settled(transfer.transfer_weights(_near_query(spark, sf_dir), ref, 2))
+    out = transfer.masked_labels(transfer.transfer_labels(w, ref.select("ord", "label")), transfer.query_mask(w))
+    return out.select("src", "label", F.round("mean_dist", 6).alias("mean_dist"), "keep")
+
+
+@query()
+def near_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline on that query: each query cell with its mask and cluster."""
+    panel = [f"m{i}" for i in range(64)]
+    out = integration.pipeline(_near_query(spark, sf_dir), panel, _ref(spark, sf_dir), panel, prepared=True, k=2)
+    return out.mask.join(out.query_clusters.withColumnRenamed("ord", "src"), "src", "left").select("src", "keep", F.round("mean_dist", 6).alias("mean_dist"), "cluster")
+
+
 @query()
 def whole_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subset, map, transfer, mask, discard and cluster prepared sets: each query cell with its mask and cluster."""

@@ -1,7 +1,8 @@
 """Clustering: neighbour graphs with modularity communities, density clustering, scans and consensus.
 
-Neighbour search, silhouettes and consensus counts are distributed. Community detection, the density tree and
-average linkage need all cells at once; they run in one task on arrays and refuse more than a stated number.
+Neighbour search, communities, silhouettes, the density trees of large sets, consensus and its linkage are distributed.
+Small graphs and small sets of cells are finished on arrays; the clusters of one density tree are cut in one task, which
+refuses more than a stated number of edges.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import settled
+from .communities import communities
+from .consensus import cell_distances, class_distances, consensus_classes, flat_clusters, kept_runs
+from .density import LIST, reach_tree
 from .embed import embedded_rows
 from .knn import knn, matrix, unit
-from .limits import MOST_CELLS, MOST_EDGES
+from .limits import MOST_CELLS, MOST_TREE, SMALL_EDGES
 
 
 def knn_edges(cells: DataFrame, k: int = 30) -> DataFrame:
@@ -80,20 +84,9 @@ def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     return rank[inverse]
 
 
-def graph_clusters(cells: DataFrame, k: int = 30) -> DataFrame:
+def graph_clusters(cells: DataFrame, k: int = 30, small: int = SMALL_EDGES) -> DataFrame:
     """(ord, cluster) of the neighbour graph's communities."""
-    edges = knn_edges(cells, k)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_EDGES:
-            raise ValueError(f"{len(pdf)} edges; one task takes {MOST_EDGES}")
-        ords = np.unique(np.r_[pdf["a"], pdf["b"]])
-        pdf = pdf[pdf["w"] > 0].sort_values(["a", "b"])
-        c = louvain(len(ords), np.searchsorted(ords, pdf["a"]), np.searchsorted(ords, pdf["b"]), pdf["w"].to_numpy())
-        return pd.DataFrame({"ord": ords, "cluster": c.astype("int32")})
-
-    alone = cells.select(F.col("ord").alias("a"), F.col("ord").alias("b"), F.lit(0).cast("long").alias("w"))
-    return edges.unionByName(alone).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "ord long, cluster int")
+    return communities(settled(knn_edges(cells, k)), cells, small)
 
 
 # ------------------------------------------------------------------ density clustering
@@ -212,12 +205,37 @@ def density_clusters(tree: np.ndarray, n: int, min_size: int) -> np.ndarray:
     return rank[inverse]
 
 
-def density_grid(cells: DataFrame, min_sizes: Sequence[int], min_samples: Sequence[int], metric: str = "correlation") -> DataFrame:
-    """(run, min_samples, min_cluster_size, ord, label), min_samples in the outer loop; trees of different min_samples run in parallel."""
+def density_grid(cells: DataFrame, min_sizes: Sequence[int], min_samples: Sequence[int], metric: str = "correlation", most: int = MOST_CELLS) -> DataFrame:
+    """(run, min_samples, min_cluster_size, ord, label), min_samples in the outer loop; cells without distances are noise.
+
+    Up to ``most`` cells one task makes a tree of all distances, trees of different min_samples in parallel. Beyond, the
+    trees are made by :func:`~cytoloom.operators.density.reach_tree` and only their edges meet in one task each, at most MOST_TREE.
+    """
     spark = cells.sparkSession
     n = cells.count()
-    if n > MOST_CELLS:
-        raise ValueError(f"{n} cells; density clustering takes {MOST_CELLS}")
+    schema = "run int, min_samples int, min_cluster_size int, ord long, label int"
+    if n > most:
+        length = max(LIST, max(min_samples) - 1)
+        near = settled(knn(cells, cells, length, metric, drop_self=True).withColumn("dist", F.greatest("dist", F.lit(0.0))))
+        trees = None
+        for i, samples in enumerate(min_samples):
+            tree = reach_tree(cells, samples, metric, near, length).select(F.lit(i).alias("i"), F.lit(samples).alias("samples"), "a", "b", "d")
+            trees = tree if trees is None else trees.unionByName(tree)
+
+        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+            if len(pdf) > MOST_TREE:
+                raise ValueError(f"a tree of {len(pdf)} edges; one task takes {MOST_TREE}")
+            pdf = pdf.sort_values(["d", "a", "b"])
+            ids = np.unique(np.r_[pdf["a"], pdf["b"]])
+            tree = np.stack([np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"]), pdf["d"]], 1)
+            i, samples = int(pdf["i"].iloc[0]), int(pdf["samples"].iloc[0])
+            return pd.concat([pd.DataFrame({"run": i * len(min_sizes) + j, "min_samples": samples, "min_cluster_size": size, "ord": ids, "label": density_clusters(tree, len(ids), size)}) for j, size in enumerate(min_sizes)])
+
+        found = trees.groupBy("i").applyInPandas(cut, schema)
+        grid = [(i * len(min_sizes) + j, int(samples), int(size)) for i, samples in enumerate(min_samples) for j, size in enumerate(min_sizes)]
+        runs = F.broadcast(spark.createDataFrame(grid, "run int, min_samples int, min_cluster_size int"))  # a row per run
+        every = cells.select("ord").join(runs)
+        return every.join(found.select("run", "ord", "label"), ["run", "ord"], "left").select("run", "min_samples", "min_cluster_size", "ord", F.coalesce("label", F.lit(-1)).alias("label"))
     got = cells.select("ord", "v").toArrow()  # at most MOST_CELLS rows
     ords = np.asarray(got.column(0), np.int64)
     order = np.argsort(ords)
@@ -234,7 +252,7 @@ def density_grid(cells: DataFrame, min_sizes: Sequence[int], min_samples: Sequen
                     yield pd.DataFrame({"run": i * len(min_sizes) + j, "min_samples": samples, "min_cluster_size": size, "ord": ids, "label": density_clusters(tree, len(ids), size)})
 
     grid = spark.createDataFrame([(i, int(s)) for i, s in enumerate(min_samples)], "i int, samples int").repartition(len(min_samples), "i")
-    return grid.mapInPandas(run, "run int, min_samples int, min_cluster_size int, ord long, label int")
+    return grid.mapInPandas(run, schema)
 
 
 def silhouettes(cells: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -282,20 +300,15 @@ def parameter_scan(cells: DataFrame, min_sizes: Sequence[int] = range(5, 21, 4),
 
 
 def consensus_distance(labels: DataFrame, scores: DataFrame, cutoff: float | None = None, percentile: float = 95) -> DataFrame:
-    """(a, b, d) with a < b for pairs in one cluster of some kept run: 1 - share of kept runs that join them.
+    """(a, b, d) with a < b for pairs of cells in one cluster of some kept run: 1 - share of kept runs that join them.
 
     Pairs that are not listed have distance 1. Noise joins nobody. Kept are runs with a score of at least the
-    cutoff, by default the given percentile of the scores; raises if none is.
+    cutoff, by default the given percentile of the scores; raises if none is. The pairs are those of classes of cells
+    that all runs treat alike, written out: for small sets. :func:`consensus` needs only the classes.
     """
-    if cutoff is None:
-        cutoff = scores.agg(F.percentile("score", F.lit(percentile / 100))).first()[0]
-    kept = scores.where(F.col("score") >= F.lit(cutoff)).select("run")
-    runs = kept.count()
-    if not runs:
-        raise ValueError("no run reaches the silhouette cutoff")
-    rows = labels.join(F.broadcast(kept), "run").where("label <> -1").select("run", "label", "ord")  # a row per run
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.label") == F.col("y.label")) & (F.col("x.ord") < F.col("y.ord")))
-    return pairs.groupBy(F.col("x.ord").alias("a"), F.col("y.ord").alias("b")).agg((1 - F.count("*") / runs).alias("d"))
+    runs, many = kept_runs(scores, cutoff, percentile)
+    members, classes = consensus_classes(labels, runs, many)
+    return cell_distances(members, classes, class_distances(classes, many))
 
 
 def average_linkage(dist: np.ndarray) -> np.ndarray:
@@ -393,22 +406,16 @@ def relabel(labels: DataFrame, legacy: bool = False) -> DataFrame:
 
 
 def consensus_clusters(cells: DataFrame, pairs: DataFrame, inconsistent: float = 0.3, min_size: int = 10, legacy: bool = False) -> DataFrame:
-    """(ord, cluster): average linkage of the consensus distances, cut by inconsistency, small clusters -1."""
-    if cells.count() > MOST_CELLS // 4:
-        raise ValueError(f"average linkage takes {MOST_CELLS // 4} cells")
-    alone = cells.select(F.col("ord").alias("a"), F.col("ord").alias("b"), F.lit(0.0).alias("d"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ords = np.unique(np.r_[pdf["a"], pdf["b"]])
-        i, j = np.searchsorted(ords, pdf["a"]), np.searchsorted(ords, pdf["b"])
-        d = np.ones((len(ords), len(ords)))
-        d[i, j] = d[j, i] = pdf["d"]
-        np.fill_diagonal(d, 0)
-        label = inconsistency_cut(average_linkage(d), len(ords), inconsistent)
-        label[np.bincount(label)[label] < min_size] = -1
-        return pd.DataFrame({"ord": ords, "label": label.astype("int32")})
-
-    return relabel(pairs.unionByName(alone).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "ord long, label int"), legacy)
+    """(ord, cluster): average linkage of the consensus distances of cells, cut by inconsistency, small clusters -1."""
+    nodes = settled(cells.select(F.col("ord").alias("node"), F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("own")))
+    return relabel(settled(flat_clusters(nodes, pairs, nodes.select(F.col("node").alias("ord"), "node"), inconsistent, min_size)), legacy)
+
+
+def consensus(labels: DataFrame, scores: DataFrame, cutoff: float | None = None, percentile: float = 95, inconsistent: float = 0.3, min_size: int = 10, legacy: bool = False) -> DataFrame:
+    """(ord, cluster) of every cell of the kept runs: as :func:`consensus_clusters`, between classes of cells that all runs treat alike."""
+    runs, many = kept_runs(scores, cutoff, percentile)
+    members, classes = consensus_classes(labels, runs, many)
+    return relabel(settled(flat_clusters(classes, class_distances(classes, many), members, inconsistent, min_size)), legacy)
 
 
 def best_run(labels: DataFrame, scores: DataFrame) -> DataFrame:

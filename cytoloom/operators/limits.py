@@ -1,3 +1,6 @@
 """Limits of the steps that one task does on arrays."""
 
-MOST_EDGES, MOST_CELLS = 50_000_000, 10_000
+#: Cells whose distances fit in one task (twice 0.8 GB), and edges of one density tree.
+MOST_CELLS, MOST_TREE = 10_000, 2_000_000
+#: A graph of communities with so many edges is finished on the driver (5 MB).
+SMALL_EDGES = 200_000

@@ -27,6 +27,8 @@ class Params:
     silhouette_percentile: float = 95
     inconsistent_value: float = 0.1
     min_cluster_size: int = 8
+    pipeline_silhouette_cutoff: float | None = 0.114
+    pipeline_min_cluster_size: int = 10
     query_silhouette_cutoff: float | None = 0.0
     query_min_cluster_size: int = 1
     density_min_cluster_size: int = 2

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def cluster_cells(cells: DataFrame, option: int = 1, k: int = 30, markers: list[
         return cluster.graph_clusters(cells, k)
     if option == 2:
         labels, scores = scan(cells, p, **grid)
-        return cluster.consensus_clusters(cells, cluster.consensus_distance(labels, scores, p.query_silhouette_cutoff), p.inconsistent_value, p.query_min_cluster_size)
+        return cluster.consensus(labels, scores, p.query_silhouette_cutoff, inconsistent=p.inconsistent_value, min_size=p.query_min_cluster_size)
     if option == 3:
         return cluster.refined_clusters(cells, cluster.graph_clusters(cells, k))
     if option == 4:
@@ -80,7 +81,7 @@ def cluster_reference(cells: DataFrame, option: int = 1, p: Params = Params(), *
         labels, scores = scan(cells, p, **grid)
         if option == 2:
             return cluster.best_run(labels, scores)
-        return cluster.consensus_clusters(cells, cluster.consensus_distance(labels, scores, p.silhouette_cutoff, p.silhouette_percentile), p.inconsistent_value, p.min_cluster_size)
+        return cluster.consensus(labels, scores, p.silhouette_cutoff, p.silhouette_percentile, p.inconsistent_value, p.min_cluster_size)
     if option == 3:
         return cluster.density_grid(embedded(cells, 15, p), [p.density_min_cluster_size], [p.density_min_samples]).select("ord", F.col("label").alias("cluster"))
     raise ValueError(f"no option {option}")
@@ -96,14 +97,21 @@ class Result:
     weights: DataFrame
     mask: DataFrame
     query_clusters: DataFrame
-    reference_clusters: DataFrame
+    reference: DataFrame
+    p: Params
 
+    @cached_property
+    def reference_clusters(self) -> DataFrame:
+        """Scan and consensus of the reference, with the pipeline's own cutoff and size; raises if no run reaches the cutoff."""
+        return cluster_reference(self.reference, 1, replace(self.p, silhouette_cutoff=self.p.pipeline_silhouette_cutoff, min_cluster_size=self.p.pipeline_min_cluster_size))
 
-def pipeline(query: DataFrame, query_panel: list[str], ref: DataFrame, ref_panel: list[str], latent: DataFrame | None = None, amount_query: int = -1, amount_ref: int = -1, prepared: bool = False, p: Params = Params()) -> Result:
+
+def pipeline(query: DataFrame, query_panel: list[str], ref: DataFrame, ref_panel: list[str], latent: DataFrame | None = None, amount_query: int = -1, amount_ref: int = -1, prepared: bool = False, p: Params = Params(), option: int = 1, markers: list[gates.Gate] | None = None, k: int | None = None) -> Result:
     """Subset, gate, clean, map, transfer weights, discard far cells, cluster the corrected query and the reference.
 
     ``query`` has (ord, v, blanks, size, ...). With ``prepared`` the values are taken as they are, as for
-    already normalised sets; gates then still apply where blanks and size are there.
+    already normalised sets; gates then still apply where blanks and size are there. ``option`` and ``markers`` (places in
+    the shared panel) say how the query is clustered, ``k`` how many neighbours give labels (by default a share).
     """
     query, ref = gates.take_subset(query, amount_query), gates.take_subset(ref, amount_ref)
     every = query
@@ -118,9 +126,9 @@ def pipeline(query: DataFrame, query_panel: list[str], ref: DataFrame, ref_panel
     q = settled(gates.select_panel(query, query_panel, panel).select("ord", "v"))
     r = settled(gates.select_panel(ref, ref_panel, panel).select("ord", "v"))
     mapped = settled(gates.drop_nan(map_query(q, r, latent, len(panel), p).corrected))
-    w = settled(transfer.transfer_weights(mapped, r, None, p.c))
+    w = settled(transfer.transfer_weights(mapped, r, k, p.c))
     mask = transfer.query_mask(w, p.mask_threshold)
     mask = settled(mask)
     kept = settled(transfer.discard(mapped, mask))
     tables = transfer.discard_everywhere({"query": every, "cleaned": query.select("ord", "v"), "panel": q}, mask) | transfer.discard_everywhere({"weights": w}, mask, "src")
-    return Result(mapped, kept, tables, w, mask, cluster_cells(kept, 1, p.k_cluster), cluster_reference(latent if latent is not None else r, 1, p))
+    return Result(mapped, kept, tables, w, mask, cluster_cells(kept, option, p.k_cluster, markers, p), latent if latent is not None else r, p)

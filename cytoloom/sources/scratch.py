@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where none is set a temporary one in local mode, on a cluster an error."""
@@ -22,11 +25,46 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that nothing uses yet; what is written there is deleted at exit."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append((spark, path))
+    return path
 
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder: later plans start there, and lost executors lose nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """As :func:`settled`, but as Parquet, which keeps statistics and which :func:`discard` can delete."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`kept` that nothing reads any more."""
+    for t in tables:
+        _made.remove((t.sparkSession, t._scratch))
+        _delete(t.sparkSession, t._scratch)
+
+
+def clear_scratch() -> None:
+    """Delete every folder of :func:`fresh_path` that is left; results that read them must have been consumed."""
+    while _made:
+        try:
+            _delete(*_made.pop())
+        except Exception:  # the JVM may be gone at exit
+            return
+
+
+atexit.register(clear_scratch)

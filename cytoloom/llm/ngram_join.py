@@ -307,8 +307,8 @@ def _buckets(tokens: int | None) -> int:
 def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles and component_id, the smallest id reachable by links.
 
-    Texts without words have no set and are alone. Rows with one id are one document whose sets are all linked
-    through it; a row with a null id is in no component (null). Sets are compared by 64-bit hashes of shingles.
+    Texts without words have no set and are linked with nothing. Rows with one id are one document whose sets are all
+    linked through it, so they have one component, however they are partitioned; a row with a null id is in no component (null). Sets are compared by 64-bit hashes of shingles.
     """
     sig = written(_signatures(docs, id_col, text_col, k), "signatures")
     known = sig.where("i IS NOT NULL AND n > 0")
@@ -356,8 +356,15 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     outer = written(outer, "links")
 
     # Ids of one class and sets of one id.
-    final = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(outer))
+    of = known.join(node_of, ["s1", "s2", "n"]).groupBy("i", "node").agg(F.count("*").alias("m")).drop("m")
+    several = of.groupBy("i").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("i")
+    own = of.join(several, "i").select(F.col("i").alias("a"), F.col("node").alias("b"))
+    final = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(outer).unionByName(own))
     forget(keys, families, inner, comp, active, label, cells, ask, salted, outer)
     final = node_of.join(final, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
-    rows = sig.join(final, ["s1", "s2", "n"], "left")
+    rows = sig.where("n > 0").join(final, ["s1", "s2", "n"], "left").select("i", "n", "component")
+    # A row without words is in the component of its id's other rows.
+    bare = sig.where("n = 0").select("i", "n")
+    others = known.join(bare.select("i").distinct(), "i", "left_semi").join(final, ["s1", "s2", "n"]).groupBy("i").agg(F.min("component").alias("component"))
+    rows = rows.unionByName(bare.join(others, "i", "left").select("i", "n", "component"))
     return rows.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("i").isNotNull(), F.coalesce("component", "i")).alias("component_id"))

@@ -210,12 +210,24 @@ def network(recall: float = 0.98) -> Network:
     return train(encoded(found), y, recall)
 
 
+def _uncovered(found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans of ``found`` that lie in none of ``base``; both ascend by start."""
+    out, at, reach = [], 0, -1
+    for s, e in found:
+        while at < len(base) and base[at][0] <= s:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach < e:
+            out.append((s, e))
+    return out
+
+
 def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, int, float]]]:
     """(start, end, kind number, probability) of each text, by start, then kind."""
     base = [base_findings(t) for t in texts]
     more = []
     for t, b in zip(texts, base, strict=True):
-        more.append([(s, e) for s, e in candidates(t) if not any(x[0] <= s and e <= x[1] for x in b)] if b else candidates(t))
+        more.append(_uncovered(candidates(t), b))
     found = [(t, s, e) for t, b, c in zip(texts, base, more, strict=True) for s, e, *_ in (*b, *c)]
     p = net.scores(found).tolist()
     out, at = [], 0

@@ -180,6 +180,15 @@ def test_similar(spark, k, num, den):
     assert sorted(got, key=key) == sorted(brute_components(rows, k, num, den), key=key)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_similar_with_several_texts_of_one_id(spark, parts):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    for rows in ([(1, a), (2, a), (2, b), (3, c)], [(1, a), (2, b), (3, a), (3, b)], [(4, a), (3, b), (3, c), (3, a), (2, c), (1, d), (None, b), (5, ""), (5, d)]):
+        rows = [*rows, *rows[:2]]
+        got = [tuple(r) for r in similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 4, 85, 100).collect()]
+        assert sorted(got, key=key) == sorted(brute_components(rows, 4, 85, 100), key=key)
+
+
 def test_similar_large_group(spark):
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(60)]
@@ -210,6 +219,16 @@ def test_components(spark):
     assert got == {x: c for x, c in at.items() if any(a != b and x in (a, b) for a, b in edges)}
 
 
+def test_uncovered_is_linear():
+    rnd = random.Random(2)
+    for _ in range(200):
+        base = sorted((s, s + rnd.randrange(1, 20), 0) for s in rnd.sample(range(60), rnd.randrange(0, 9)))
+        found = sorted((s, s + rnd.randrange(1, 9)) for s in rnd.sample(range(60), rnd.randrange(0, 12)))
+        assert secret_scan._uncovered(found, base) == [(s, e) for s, e in found if not any(x[0] <= s and e <= x[1] for x in base)]
+    many = [(9 * i, 9 * i + 4, 0) for i in range(1_000_000)]  # a text of 9 MB full of findings
+    assert len(secret_scan._uncovered([(9 * i + 3, 9 * i + 6) for i in range(1_000_000)], many)) == 1_000_000
+
+
 # ------------------------------------------------------------------ tokens
 
 

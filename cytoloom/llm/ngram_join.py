@@ -356,15 +356,21 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     outer = written(outer, "links")
 
     # Ids of one class and sets of one id.
-    of = known.join(node_of, ["s1", "s2", "n"]).groupBy("i", "node").agg(F.count("*").alias("m")).drop("m")
-    several = of.groupBy("i").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("i")
-    own = of.join(several, "i").select(F.col("i").alias("a"), F.col("node").alias("b"))
-    final = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(outer).unionByName(own))
+    edges = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(outer)
+    sets_of = known.groupBy("i").agg(F.min(F.struct("s1", "s2", "n")).alias("lo"), F.max(F.struct("s1", "s2", "n")).alias("hi"))
+    several = sets_of.where("lo <> hi").select("i")
+    if not several.isEmpty():
+        edges = edges.unionByName(known.join(several, "i").join(node_of, ["s1", "s2", "n"]).select(F.col("i").alias("a"), F.col("node").alias("b")))
+    final = components(edges)
     forget(keys, families, inner, comp, active, label, cells, ask, salted, outer)
     final = node_of.join(final, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
     rows = sig.where("n > 0").join(final, ["s1", "s2", "n"], "left").select("i", "n", "component")
     # A row without words is in the component of its id's other rows.
     bare = sig.where("n = 0").select("i", "n")
-    others = known.join(bare.select("i").distinct(), "i", "left_semi").join(final, ["s1", "s2", "n"]).groupBy("i").agg(F.min("component").alias("component"))
+    mixed = known.join(bare.select("i").distinct(), "i", "left_semi")
+    if mixed.isEmpty():
+        others = bare.select("i", F.col("i").alias("component")).where("false")
+    else:
+        others = mixed.join(final, ["s1", "s2", "n"]).groupBy("i").agg(F.min("component").alias("component"))
     rows = rows.unionByName(bare.join(others, "i", "left").select("i", "n", "component"))
     return rows.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("i").isNotNull(), F.coalesce("component", "i")).alias("component_id"))

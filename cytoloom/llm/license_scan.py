@@ -9,6 +9,7 @@ priority goes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -284,17 +285,30 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, " "))
 
 
+#: Distances of the passes of :func:`_running`: no array is longer than the last.
+STEPS = tuple(1 << k for k in range(31))
+
+
+def _running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """``both`` of each value and all before it, by doubling: log2(n) passes over an array of n values, none of which
+    appends to a growing one. ``both`` gets null where nothing is before."""
+    steps = F.array(*(F.lit(s) for s in STEPS))
+    return F.aggregate(steps, values, lambda a, s: F.when(s < F.size(a), F.transform(a, lambda x, i: both(x, F.get(a, i - s)))).otherwise(a))
+
+
 def _spans(text: Column, rule: Column) -> Column:
-    """All matches of ``rule`` in ``text`` as structs (start, end, priority, rule number, label, confidence)."""
-    parts, found = F.split(text, rule["pattern"], -1), F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    whole = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("p"), found.alias("m"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("s"), (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("e")))).alias("out"),
-    )
-    at = F.aggregate(whole, zero, step, lambda a: a["out"])
-    return F.transform(at, lambda x: F.struct(x["s"].alias("start"), (-x["e"]).alias("minus_end"), (-rule["priority"]).alias("minus_priority"), rule["number"].alias("number"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+    """All matches of ``rule`` in ``text`` as structs (start, end, priority, rule number, label, confidence).
+
+    A match ends where the parts between matches and the matches up to it end: a running sum of their lengths.
+    """
+    cut = F.struct(F.split(text, rule["pattern"], -1).alias("p"), F.regexp_extract_all(text, rule["pattern"], F.lit(0)).alias("m"))
+
+    def of(x: Column) -> Column:
+        lengths = F.zip_with(F.slice(x["p"], 1, F.size(x["m"])), x["m"], lambda p, m: F.length(p) + F.length(m))
+        ends = _running(lengths, lambda a, b: a + F.coalesce(b, F.lit(0)))
+        return F.zip_with(x["m"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), (-e).alias("minus_end"), (-rule["priority"]).alias("minus_priority"), rule["number"].alias("number"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+
+    return F.flatten(F.transform(F.array(cut), of))  # both arrays are made once
 
 
 def _places(parts: list[str], label: str) -> Column:
@@ -309,6 +323,8 @@ def detected(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     license_found has the surviving detections by start: start and end in the text of words with two spaces between
     them and one at either end, priority, label, confidence. Null and empty texts have no words and no detections.
+    Of a very long text the words, the matches of all rules and their running ends are in memory at once; the work grows
+    with n log n of its matches.
     Other columns pass through; those named like the three new ones are replaced.
     """
     kept_columns = [c for c in docs.columns if c not in ("license_words", "license_base", "license_found")]
@@ -325,8 +341,9 @@ def detected(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = F.when(F.col("_x").isNotNull(), F.sort_array(F.flatten(F.transform(tried, lambda r: _spans(F.col("_x"), r)))))
     rows = rows.withColumn("_f", found)
     # By start, then longest, then priority: an interval inside an earlier one ends no later than all before it.
-    zero = F.struct(F.lit(0).alias("reach"), F.slice("_f", 1, 0).alias("out"))
-    free = F.aggregate("_f", zero, lambda a, x: F.struct(F.greatest(a["reach"], -x["minus_end"]).alias("reach"), F.when(-x["minus_end"] > a["reach"], F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out")), lambda a: a["out"])
+    # The running ends are bound as an array's element: as a column they would be inlined into the filter and made per match.
+    reach = F.array(_running(F.transform("_f", lambda x: -x["minus_end"]), lambda a, b: F.greatest(a, b)))
+    free = F.flatten(F.transform(reach, lambda r: F.filter("_f", lambda x, i: -x["minus_end"] > F.coalesce(F.get(r, i - 1), F.lit(0)))))
     rows = rows.withColumn("_g", free)
     beaten = lambda x, y: F.coalesce((x["start"] < -y["minus_end"] - 1) & (y["start"] < -x["minus_end"] - 1) & (y["minus_priority"] < x["minus_priority"]), F.lit(False))
     kept = F.filter("_g", lambda x, i: ~beaten(x, F.get("_g", i - 1)) & ~beaten(x, F.get("_g", i + 1)))

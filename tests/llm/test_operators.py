@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -379,6 +380,19 @@ def test_licenses(spark, odd, empty):
     assert license_scan.detected(clash).columns == ["doc_id", "text", "_n", "_x", "a.b", "license_words", "license_base", "license_found"]
 
 
+def test_licenses_of_very_long_texts(spark):
+    # Far more matches than the bound below would allow if each were appended to a growing array.
+    n = 270_000
+    text = "mit license and then " * n
+    other = "zlib license, then the GNU General Public License; " * 300
+    docs = spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")
+    at = time.monotonic()
+    got = {r["doc_id"]: tuple(r) for r in license_scan.digest(docs).collect()}
+    assert time.monotonic() - at < 60
+    assert got[1] == (1, 4 * n, n, 0, 4 * (n - 1), "mit", "MIT,mit", 0.7)
+    assert got[2] == (2, *brute_licenses(other))
+
+
 def matched(tree):
     """Strings that a rule's pattern matches, every alternative among them."""
     out = [""]

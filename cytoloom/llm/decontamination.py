@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import ALNUM_WORDS, slices, utf8_of, words_of, written
 
@@ -23,6 +24,17 @@ from .common import ALNUM_WORDS, slices, utf8_of, words_of, written
 PASS = 100_000
 
 
+def _block_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """Words of each text, and first, terms, at and positions of a block of them (little-endian)."""
+    h, before, _, _ = words_of(*utf8_of(texts), ALNUM_WORDS)
+    n = np.diff(before)
+    first = before[:-1] + np.arange(len(n))
+    position = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
+    order = np.argsort(h, kind="stable")
+    terms, at = np.unique(h[order], return_index=True)
+    return n, [x.astype(t).tobytes() for x, t in ((first, "<i8"), (terms, "<u8"), (np.r_[at, len(h)], "<u4"), (position[order], "<u4"))]
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Blocks of about ``block_bytes`` of text: block, ids, n_words, first, terms, at, positions (little-endian arrays).
 
@@ -35,19 +47,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         number = TaskContext.get().partitionId() << 32
         for b in slices(batches, "t", block_bytes):
-            h, before, _, _ = words_of(*utf8_of(b.column(1)), ALNUM_WORDS)
-            n = np.diff(before)
-            first = before[:-1] + np.arange(len(n))
-            position = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
-            order = np.argsort(h, kind="stable")
-            terms, at = np.unique(h[order], return_index=True)
+            n, parts = _block_of(b.column(1))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)),
-                    pa.array([n.tolist()], pa.list_(pa.int64())),
-                    *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((first, "<i8"), (terms, "<u8"), (np.r_[at, len(h)], "<u4"), (position[order], "<u4"))),
-                ],
+                [pa.array([number], pa.int64()), pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([n.tolist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in parts)],
                 ["block", "ids", "n_words", "first", "terms", "at", "positions"],
             )
             number += 1
@@ -290,3 +292,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of any item, with all their columns.
+
+    The verdict falls beside the row: each task indexes blocks of its own rows, searches the windows there and passes
+    the clean rows on, so nothing is shuffled, joined or written; equal rows have equal verdicts. Null and empty texts
+    stay, as does everything where ``benchmark`` has no words.
+    """
+    text = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = StructType([StructField("row", docs.schema)])
+    for portion in _passes(benchmark, "item_id", "text", size):
+        windows, length, _ = _windows([t for _, t in portion], size)
+        rows = rows.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast((windows, length)), text, block_bytes), schema)
+    return rows.select("row.*")
+
+
+def _clean(data, text: int, block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, length = data.value
+        both = (pa.RecordBatch.from_arrays([b.column(0).field(text), b.column(0)], ["t", "row"]) for b in batches)
+        for b in slices(both, "t", block_bytes):
+            block = Block(*_block_of(b.column(0))[1])
+            _, start = phrases(block, windows, length)
+            clean = np.ones(b.num_rows, bool)
+            clean[block.place(start)] = False
+            yield b.select(["row"]).filter(pa.array(clean))
+
+    return run

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoloom.llm.common import written
-from cytoloom.llm.decontamination import contamination
+from cytoloom.llm.decontamination import uncontaminated
 from cytoloom.llm.ngram_join import similar
 from cytoloom.llm.packing import pack
 from cytoloom.llm.quality_rules import keep_good
@@ -63,10 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any window of ten words of a benchmark item go; repeated rows go or stay together, as the verdict
     follows the text. Null and empty texts stay, as does everything where ``benchmark`` has no rows."""
-    keyed = _keyed(docs)
-    found = contamination(keyed.select(KEY, "text"), table(spark, sf_dir, "benchmark"), 10, KEY)
-    bad = written(found.where("contaminated").select(KEY), "contaminated")
-    return _without(keyed, bad).select("row.*")
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"), 10)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

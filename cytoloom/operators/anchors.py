@@ -39,7 +39,11 @@ def shared_counts(neighbours: DataFrame, anchors: DataFrame, k: int) -> DataFram
 
 
 def rescaled(scores: DataFrame, column: str = "shared") -> DataFrame:
-    """``score``: the count between its 0.01 and 0.9 quantiles (linear), clipped to 0..1; 1 for all if both are equal."""
+    """``score``: the count between its 0.01 and 0.9 quantiles (linear), clipped to 0..1; 1 for all if both are equal.
+
+    Shared neighbours are whole numbers of at most twice the neighbour count, so ``percentile`` keeps no more different
+    values than that, for any number of anchors.
+    """
     q = scores.agg(F.percentile(column, F.array(F.lit(0.01), F.lit(0.9))).alias("q"))
     lo, hi = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     rows = scores.crossJoin(F.broadcast(q))  # one row

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.distributions import normal_cdf
 from .operators import anchors as A
-from .operators import annotate, cca, clean, cluster, communities, consensus, correct, density, embed, gates, knn, transfer
+from .operators import annotate, cca, clean, cluster, communities, consensus, correct, density, embed, gates, knn, pivots, transfer
 from .params import Params
 from .plans import integration
 from .sources import cells as sources
@@ -187,6 +187,29 @@ def corr_knn_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn(_query(spark, sf_dir), knn.Vectors(_ref(spark, sf_dir), 1 << 16), 80).withColumn("dist", F.round("dist", 6))
 
 
+@query(ORACLES["corr_knn"])
+def corr_knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join through the partition of space, exact."""
+    return pivots.Index(_ref(spark, sf_dir), "correlation").search(_query(spark, sf_dir), 80).withColumn("dist", F.round("dist", 6))
+
+
+@query(ORACLES["euclid_knn"])
+def euclid_knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.Index(_ref(spark, sf_dir)).search(_query(spark, sf_dir), 80).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {_E}, {_sql_knn('k', 1, 0, 20, 'euclidean')} SELECT src, rank, true AS is_pair, true AS within FROM k")
+def eps_knn_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For eps 0.1: each returned distance is that of its pair, and at most 1.1 times the exact one of its rank."""
+    ref, q, eps = _ref(spark, sf_dir), _query(spark, sf_dir), 0.1
+    near = pivots.Index(ref).search(q, 20, eps)
+    exact = knn.knn(q, ref, 20, "euclidean").select("src", "rank", F.col("dist").alias("least"))
+    square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    pairs = near.join(q.select(F.col("ord").alias("src"), F.col("v").alias("a")), "src").join(ref.select(F.col("ord").alias("dst"), F.col("v").alias("b")), "dst")
+    rows = pairs.join(exact, ["src", "rank"])
+    return rows.select("src", F.col("rank").cast("long").alias("rank"), (F.abs(F.sqrt(square) - F.col("dist")) < 1e-6).alias("is_pair"), (F.col("dist") <= F.col("least") * (1 + eps) + 1e-9).alias("within"))
+
+
 # ------------------------------------------------------------------ correction
 
 

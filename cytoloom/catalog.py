@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from .functions.distributions import normal_cdf
 from .operators import anchors as A
-from .operators import annotate, cca, clean, cluster, communities, consensus, correct, density, embed, gates, knn, pivots, transfer
+from .operators import annotate, cca, clean, cluster, communities, consensus, correct, density, embed, gates, knn, lanczos, pivots, transfer
 from .params import Params
 from .plans import integration
 from .sources import cells as sources
 from .sources.scratch import fresh_path, settled
+from .streaming.score import label_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,13 +277,14 @@ def discard_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfer.discard(_query(spark, sf_dir), transfer.query_mask(_transfer(spark, sf_dir), TELLING)).select("ord")
 
 
-@query(f"WITH {_DISCARD}, k AS (SELECT ord, v FROM z WHERE side = 1 AND ord IN (SELECT src FROM mk WHERE keep)) SELECT t AS name, ord, round(v[1], 6) AS value FROM k, (VALUES ('blanks'), ('protein'), ('protein_clean'), ('protein_corrected'), ('size'), ('spatial'), ('transfer')) n(t)")
+@query(f"WITH {_DISCARD}, k AS (SELECT ord, v FROM z WHERE side = 1 AND ord IN (SELECT src FROM mk WHERE keep)) SELECT t AS name, ord, round(v[j], 6) AS value FROM k, (VALUES ('blanks', 1, 2), ('protein', 2, 3), ('protein_clean', 3, 5), ('protein_corrected', 4, 7), ('size', 5, 11), ('spatial', 6, 13), ('transfer', 7, 17)) n(t, j, m) WHERE ord % m > 0")
 def discard_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, mask = _query(spark, sf_dir), settled(transfer.query_mask(_transfer(spark, sf_dir), TELLING))
-    names = ("blanks", "protein", "protein_clean", "protein_corrected", "size", "spatial", "transfer")
+    lacking = {"blanks": 2, "protein": 3, "protein_clean": 5, "protein_corrected": 7, "size": 11, "spatial": 13, "transfer": 17}
+    tables = {name: rows.where(F.col("ord") % m > 0).select("ord", F.get("v", F.lit(i)).alias(f"{name}_value")) for i, (name, m) in enumerate(lacking.items())}
     out = None
-    for name, kept in transfer.discard_everywhere(dict.fromkeys(names, rows), mask).items():
-        kept = kept.select(F.lit(name).alias("name"), "ord", F.round(F.get("v", F.lit(0)), 6).alias("value"))
+    for name, kept in transfer.discard_everywhere(tables, mask).items():
+        kept = kept.select(F.lit(name).alias("name"), "ord", F.round(f"{name}_value", 6).alias("value"))
         out = kept if out is None else out.unionByName(kept)
     return out
 
@@ -328,6 +330,17 @@ def cca_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float((s**2).sum()), 2),)], "total double")
 
 
+#: Both Gram matrices' product, squared twelve times over: powers of 4096 leave the largest eigenvalue alone.
+_POWERS = ", ".join(f"p{i + 1} AS MATERIALIZED (SELECT x.i, y.j, sum(x.a * y.a) / (SELECT sum(a) FILTER (i = j) FROM p{i}) ** 2 AS a FROM p{i} x JOIN p{i} y ON x.j = y.i GROUP BY ALL)" for i in range(12))
+
+
+@query(f"WITH {_E}, s AS (SELECT side, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u) / 63)) AS s FROM d), g AS MATERIALIZED (SELECT a.i, b.j, sum(s[a.i] * s[b.j]) FILTER (side = 0) AS r, sum(s[a.i] * s[b.j]) FILTER (side = 1) AS q FROM s, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL), p0 AS MATERIALIZED (SELECT x.i, y.j, sum(x.q * y.r) AS a FROM g x JOIN g y ON x.j = y.i GROUP BY ALL), {_POWERS} SELECT round(sqrt(sum(x.a * y.a) / (SELECT sum(a) FILTER (i = j) FROM p12)), 3) AS largest FROM p12 x JOIN p0 y ON x.i = y.j AND x.j = y.i")
+def lanczos_largest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest singular value by restarted bidiagonalisation."""
+    s = lanczos.cca_by_lanczos(settled(_ref(spark, sf_dir)), settled(_query(spark, sf_dir)), 1)[2]
+    return spark.createDataFrame([(round(float(s[0]), 3),)], "largest double")
+
+
 @query(f"WITH {_E}, m AS (SELECT i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY i) SELECT round(sum((v[i] - m) ** 2), 4) AS total FROM e JOIN m ON true")
 def pca_total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All principal components together have the whole variance."""
@@ -385,9 +398,12 @@ def marker_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.marker_gate(_cells(spark, sf_dir), GATES)
 
 
-@query("SELECT vec_id AS ord FROM embeddings WHERE len(list_filter(embedding, lambda x: isnan(x))) = 0")
+@query("SELECT ord FROM (SELECT vec_id AS ord, list_transform(embedding, lambda x: CASE WHEN vec_id % 7 = 0 AND x < 0 THEN 'nan'::DOUBLE ELSE x END) AS v FROM embeddings) WHERE len(list_filter(v, lambda x: isnan(x))) = 0")
 def drop_nan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.drop_nan(_cells(spark, sf_dir)).select("ord")
+    """Every seventh cell has NaN for its negative values."""
+    cells = _cells(spark, sf_dir)
+    spoilt = F.transform("v", lambda x: F.when((F.col("ord") % 7 == 0) & (x < 0), F.lit(float("nan"))).otherwise(x))
+    return gates.drop_nan(cells.withColumn("v", spoilt)).select("ord")
 
 
 @query(f"WITH {_E} SELECT vec_id AS ord, round(v[6], 6) AS a, round(v[2], 6) AS b FROM e")
@@ -777,6 +793,17 @@ def near_masked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("src", "label", F.round("mean_dist", 6).alias("mean_dist"), "keep")
 
 
+@query(ORACLES["near_masked_labels"])
+def streamed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same labels for a stream of the query's files, one file a batch, written and read back."""
+    source, path = fresh_path(spark, "stream"), fresh_path(spark, "labelled")
+    _near_query(spark, sf_dir).select("ord", "v").repartition(3, "ord").write.parquet(source)
+    cells = spark.readStream.schema("ord long, v array<double>").option("maxFilesPerTrigger", 1).parquet(source)
+    ref = _ref(spark, sf_dir)
+    label_batches(cells, ref, ref.select("ord", "label"), path, fresh_path(spark, "offsets"), 2).awaitTermination()
+    return spark.read.parquet(path).select("src", "label", F.round("mean_dist", 6).alias("mean_dist"), "keep")
+
+
 @query()
 def near_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline on that query: each query cell with its mask and cluster."""

@@ -90,15 +90,22 @@ def nearest(q: np.ndarray, d: np.ndarray, ords: np.ndarray, k: int, metric: str)
             yield a + i, ords[at], dist[i, at]
 
 
-def knn(query: DataFrame, data: DataFrame | Vectors, k: int, metric: str = "correlation", drop_self: bool = False) -> DataFrame:
+def knn(query: DataFrame, data: DataFrame | Vectors, k: int, metric: str = "correlation", drop_self: bool = False, eps: float = 0.0) -> DataFrame:
     """(src, dst, rank, dist): the ``k`` nearest rows of ``data`` to each row of ``query``, fewer if there are fewer.
 
-    ``drop_self`` leaves out the row with the same ord, whatever its distance.
+    ``drop_self`` leaves out the row with the same ord, whatever its distance. With ``eps`` above 0 the Euclidean distance
+    of each rank may be up to 1 + eps times the least one (see ``pivots``, which also has an exact search by cells).
     """
     if metric not in ("correlation", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
     if k < 1:
         raise ValueError("k must be at least 1")
+    if eps:
+        if metric != "euclidean":
+            raise ValueError("eps holds for the Euclidean distance")
+        from .pivots import Index  # which builds on this module
+
+        return Index(data.rows if isinstance(data, Vectors) else data).search(query, k, eps, drop_self)
     data = data if isinstance(data, Vectors) else Vectors(data)
     kk = k + drop_self
 
@@ -150,18 +157,19 @@ def distances_to(query: DataFrame, data: DataFrame) -> DataFrame:
     return knn(query, data, many).select("src", "dst", "dist") if many else query.sparkSession.createDataFrame([], "src long, dst long, dist double")
 
 
-def four_way(ref_emb: DataFrame, query_emb: DataFrame, ref_latent: DataFrame, k: int, reference_first: bool = True, query_latent: DataFrame | None = None) -> DataFrame:
+def four_way(ref_emb: DataFrame, query_emb: DataFrame, ref_latent: DataFrame, k: int, reference_first: bool = True, query_latent: DataFrame | None = None, eps: float = 0.0) -> DataFrame:
     """Neighbours within and between both sets: kind (rr, qq, rq, qr), src, dst, rank, dist.
 
     Between the sets Euclidean in the embedding. Within, k + 1 with the row itself: correlation on the latent
-    vectors for the reference and Euclidean in the embedding for the query, or the other way round.
+    vectors for the reference and Euclidean in the embedding for the query, or the other way round. ``eps`` allows that
+    much more than the least distance for the Euclidean ones.
     """
     r, q = Vectors(ref_emb), Vectors(query_emb)
     if reference_first:
-        rr, qq = knn(ref_latent, ref_latent, k + 1), knn(query_emb, q, k + 1, "euclidean")
+        rr, qq = knn(ref_latent, ref_latent, k + 1), knn(query_emb, q, k + 1, "euclidean", eps=eps)
     else:
-        rr, qq = knn(ref_emb, r, k + 1, "euclidean"), knn(query_latent if query_latent is not None else ref_latent, query_latent if query_latent is not None else ref_latent, k + 1)
-    parts = {"rr": rr, "qq": qq, "rq": knn(ref_emb, q, k, "euclidean"), "qr": knn(query_emb, r, k, "euclidean")}
+        rr, qq = knn(ref_emb, r, k + 1, "euclidean", eps=eps), knn(query_latent if query_latent is not None else ref_latent, query_latent if query_latent is not None else ref_latent, k + 1)
+    parts = {"rr": rr, "qq": qq, "rq": knn(ref_emb, q, k, "euclidean", eps=eps), "qr": knn(query_emb, r, k, "euclidean", eps=eps)}
     out = None
     for kind, rows in parts.items():
         rows = rows.select(F.lit(kind).alias("kind"), "src", "dst", "rank", "dist")

@@ -30,7 +30,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["corr_knn", "score_rescale", "anchor_weights", "masked_labels", "quantile_gate", "marker_gate", "ref_normalize", "nb_cdf_fixed_params", "tpr_tnr", "cluster_purity", "knn_edges", "silhouette_corr", "consensus_distance", "corr_knn_in_blocks", "four_way_query_first", "distance_matrix", "discard_everywhere", "cca_orthonormal", "cca_singular_values", "pca_total_variance", "default_gene_means", "reference_files", "query_files", "wide_cells", "label_file", "cluster_name_file", "without_noise", "normal_cdf_fixed_params", "corrected_matrix", "label_modularity", "core_distances", "reach_tree_weight", "consensus_classes", "consensus_class_distance", "near_masked_labels", "corr_knn_by_cells", "euclid_knn_by_cells", "eps_knn_bound"])
+@pytest.mark.parametrize("name", ["corr_knn", "score_rescale", "anchor_weights", "masked_labels", "quantile_gate", "marker_gate", "ref_normalize", "nb_cdf_fixed_params", "tpr_tnr", "cluster_purity", "knn_edges", "silhouette_corr", "consensus_distance", "corr_knn_in_blocks", "four_way_query_first", "distance_matrix", "discard_everywhere", "cca_orthonormal", "cca_singular_values", "pca_total_variance", "default_gene_means", "reference_files", "query_files", "wide_cells", "label_file", "cluster_name_file", "without_noise", "normal_cdf_fixed_params", "corrected_matrix", "label_modularity", "core_distances", "reach_tree_weight", "consensus_classes", "consensus_class_distance", "near_masked_labels", "corr_knn_by_cells", "euclid_knn_by_cells", "eps_knn_bound", "lanczos_largest_value", "streamed_labels", "drop_nan_rows"])
 def test_against_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     names = sorted(got.columns)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cytoloom.operators.knn import knn
+from cytoloom.operators.knn import four_way, knn
 from cytoloom.operators.pivots import Index
 
 
@@ -60,3 +60,12 @@ def test_odd_inputs(spark):
         Index(data).search(data, 0)
     with pytest.raises(ValueError):
         Index(data, "cosine")
+
+
+def test_eps_in_neighbour_joins(spark):
+    x, q = frame(spark, blobs(200, 6)), frame(spark, blobs(80, 7))
+    exact = {(r["kind"], r["src"], r["rank"]): r["dist"] for r in four_way(x, q, x, 6).collect()}
+    got = {(r["kind"], r["src"], r["rank"]): r["dist"] for r in four_way(x, q, x, 6, eps=0.5).collect()}
+    assert got.keys() == exact.keys() and all(d <= exact[key] * 1.5 + 1e-9 for key, d in got.items())
+    with pytest.raises(ValueError):
+        knn(q, x, 3, eps=0.1)

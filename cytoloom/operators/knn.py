@@ -1,10 +1,10 @@
 """Exact k-nearest-neighbour joins: correlation or Euclidean distance.
 
-A table of vectors is (ord long, v array<double>). A data side of at most ``BLOCK_BYTES`` is broadcast. A larger one is
-never on the driver: both sides become blocks of bounded size, one row each; every pair of blocks meets in an equi-join
-on the two block numbers, a matrix product keeps each query row's k best of that data block, and a top-k over at most k
-rows per block joins the blocks. Either way ties go to the smaller ord; distances are rounded to 12 digits first, so
-that equal rows tie on every machine. A row without variance has no correlation neighbours.
+A table of vectors is (ord long, v array<double>). A data side of at most ``SEND_BYTES`` is broadcast. A larger one is
+never on the driver: the query becomes strips and the data blocks of bounded size, one row each; every strip meets all
+blocks in one task, one block after the other, and keeps the k best that it has seen, so the result needs no further
+exchange and a block only gives what beats them. Either way ties go to the smaller ord; distances are rounded to 12 digits
+first, so that equal rows tie on every machine. A row without variance has no correlation neighbours.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: A data side of at most so many bytes is broadcast; blocks of the join beyond hold a quarter.
+#: Strips of queries hold a quarter of this, blocks of data a sixteenth; what a strip has found takes at most a half.
 BLOCK_BYTES = 64 << 20
+#: A data side of at most so many bytes is broadcast.
+SEND_BYTES = 16 << 20
+#: Distances that a task looks at together, and rows of a batch that it gives.
+CHUNK, OUT = 2 << 20, 1 << 18
 KNN = "src long, dst long, rank int, dist double"
 
 
@@ -40,7 +43,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Vectors:
     """The data side of neighbour joins: counted once, and collected once where it is small enough to broadcast."""
 
-    def __init__(self, rows: DataFrame, block_bytes: int = BLOCK_BYTES):
+    def __init__(self, rows: DataFrame, block_bytes: int = SEND_BYTES):
         self.rows, self.block_bytes, self.sent = rows.select("ord", "v"), block_bytes, None
         self.n, self.width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
         self.small = self.n * (self.width or 1) * 8 <= block_bytes
@@ -56,38 +59,127 @@ class Vectors:
 
 
 def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """(name, name_ords, name_v): the rows of each of ``blocks`` blocks as two binaries, ascending by ord."""
+    """(name, ords, v): the rows of each of ``blocks`` blocks as two binaries, ascending by ord."""
 
     def pack(block: pa.Table) -> pa.Table:
         ords = np.asarray(block.column("ord").combine_chunks(), np.int64)
         order = np.argsort(ords, kind="stable")
         x = matrix(block.column("v").combine_chunks())[order]
-        return pa.table({name: pa.array([block.column(name)[0].as_py()], pa.int32()), f"{name}_ords": pa.array([ords[order].tobytes()], pa.binary()), f"{name}_v": pa.array([x.tobytes()], pa.binary())})
+        return pa.table({name: pa.array([block.column(name)[0].as_py()], pa.int32()), "ords": pa.array([ords[order].tobytes()], pa.binary()), "v": pa.array([x.tobytes()], pa.binary())})
 
     dealt = rows.select("ord", "v", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias(name))
-    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, {name}_ords binary, {name}_v binary")
+    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, ords binary, v binary")
+
+
+def strips(query: DataFrame, data: Vectors, kk: int) -> DataFrame:
+    """(q, d, ords, v): in one partition and in this order each strip of ``query`` (d is -1) and a copy of every data block.
+
+    The data crosses the network once a strip, so strips are as large as a task may hold with ``kk`` neighbours a row.
+    """
+    wide, many, parallel = 8 * (data.width or 1), query.count(), 2 * query.sparkSession.sparkContext.defaultParallelism
+    held = 32 * max(1, min(kk, data.n))  # bytes of a row's neighbours as they are merged
+    q_blocks = max(1, -(-many * wide // (BLOCK_BYTES // 4)), -(-many * held // (BLOCK_BYTES // 2)), min(parallel, many))
+    # Smaller blocks than these only where they are few, so that the copies do not grow with their number.
+    d_blocks = max(1, -(-data.n * wide // (BLOCK_BYTES // 16)), min(parallel, -(-data.n * wide // max(1, data.block_bytes // 4))))
+    left = packed(query, q_blocks, "q").select("q", F.lit(-1).alias("d"), "ords", "v")
+    right = packed(data.rows, d_blocks, "d").select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), "d", "ords", "v")
+    return left.unionByName(right).repartitionById(q_blocks, F.col("q")).sortWithinPartitions("q", "d")
+
+
+def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(q, d, ords, vectors) of rows of :func:`strips`."""
+    for b in batches:
+        for i in range(b.num_rows):
+            ords = np.frombuffer(b.column(2)[i].as_buffer(), "<i8")
+            yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), ords, np.frombuffer(b.column(3)[i].as_buffer(), "<f8").reshape(len(ords), -1)
+
+
+class Closest:
+    """The ``k`` least (distance, ord) of every row of ``q`` among the data rows seen so far; unit rows for correlation."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = q, k, metric
+        self.squares = (q * q).sum(axis=1) if metric == "euclidean" else None
+        self.dist, self.dst = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+
+    def see(self, ords: np.ndarray, d: np.ndarray, wanted: np.ndarray | None = None, least: np.ndarray | None = None) -> None:
+        """Look at data rows; only for the query rows ``wanted``, and only up to the distance ``least`` of each, if given."""
+        rows = np.arange(len(self.q)) if wanted is None else wanted
+        if not len(rows) or not len(ords):
+            return
+        width = min(self.k, self.dist.shape[1] + len(ords))
+        more = width - self.dist.shape[1]
+        if more:
+            self.dist = np.concatenate([self.dist, np.full((len(self.q), more), np.inf)], 1)
+            self.dst = np.concatenate([self.dst, np.zeros((len(self.q), more), np.int64)], 1)
+        squares = (d * d).sum(axis=1) if self.squares is not None else None
+        step = max(1, CHUNK // max(1, len(d)))
+        for a in range(0, len(rows), step):
+            self._part(rows[a : a + step], ords, d, squares, least)
+
+    def _part(self, at: np.ndarray, ords: np.ndarray, d: np.ndarray, squares: np.ndarray | None, least: np.ndarray | None) -> None:
+        far = self.q[at] @ d.T  # then the distances, for the Euclidean ones their squares
+        if squares is None:
+            np.subtract(1, far, out=far)
+        else:
+            far *= -2
+            far += self.squares[at, None]
+            far += squares
+            np.maximum(far, 0, out=far)
+        last = self.dist[at, -1] if self.dist.shape[1] == self.k else np.full(len(at), np.inf)
+        if least is not None:
+            last = np.minimum(last, least[at])
+        # A little more than what counts is let through: rounding to 12 digits decides, and then the order.
+        cut = last + 2e-12 if squares is None else (last + 2e-12) ** 2
+        if not np.isfinite(last).all() and len(d) > self.k:
+            own = np.partition(far, self.k - 1, axis=1)[:, self.k - 1]
+            cut = np.minimum(cut, own + 2e-12 if squares is None else (np.sqrt(own) + 2e-12) ** 2)
+        i, j = np.nonzero(far <= cut[:, None])
+        if not len(i):
+            return
+        x = np.round(far[i, j] if squares is None else np.sqrt(far[i, j]), 12)
+        old = self.dist[at]
+        r, c = np.nonzero(np.isfinite(old))
+        row, x, o = np.r_[r, i], np.r_[old[r, c], x], np.r_[self.dst[at][r, c], ords[j]]
+        order = np.lexsort((o, x, row))
+        row, x, o = row[order], x[order], o[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(at)))[row]
+        keep = place < self.k
+        dist, dst = np.full(old.shape, np.inf), np.zeros(old.shape, np.int64)
+        dist[row[keep], place[keep]], dst[row[keep], place[keep]] = x[keep], o[keep]
+        self.dist[at], self.dst[at] = dist, dst
+
+    def found(self, src: np.ndarray, k: int | None = None, drop_self: bool = False) -> Iterator[pa.RecordBatch]:
+        """Batches (src, dst, rank, dist) of all rows, at most ``k`` of each."""
+        step = max(1, OUT // max(1, self.dist.shape[1]))
+        for a in range(0, len(src), step):
+            s, x, o = src[a : a + step], self.dist[a : a + step], self.dst[a : a + step]
+            here = np.isfinite(x)
+            if drop_self:
+                here &= o != s[:, None]
+            rank = np.cumsum(here, axis=1)
+            i, j = np.nonzero(here & (rank <= (self.k if k is None else k)))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(s[i]), pa.array(o[i, j]), pa.array(rank[i, j].astype(np.int32)), pa.array(x[i, j])], ["src", "dst", "rank", "dist"])
 
 
 def nearest(q: np.ndarray, d: np.ndarray, ords: np.ndarray, k: int, metric: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, ords, distances) of each row's k best; ``q`` and ``d`` are unit rows for correlation."""
-    step = max(1, (4 << 20) // max(1, len(d)))
-    squares = (d * d).sum(axis=1) if metric == "euclidean" else None
-    for a in range(0, len(q), step):
-        part = q[a : a + step]
-        dist = part @ d.T
-        if metric == "euclidean":
-            dist = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + squares[None] - 2 * dist, 0))
-        else:
-            dist = 1 - dist
-        dist = np.round(dist, 12)
-        kk = min(k, len(d))
-        limit = np.partition(dist, kk - 1, axis=1)[:, kk - 1] if kk else np.zeros(len(part))
-        for i in range(len(part)):
-            at = np.flatnonzero(dist[i] <= limit[i])
-            if not len(at):
-                continue
-            at = at[np.lexsort((ords[at], dist[i, at]))][:kk]
-            yield a + i, ords[at], dist[i, at]
+    best = Closest(q, k, metric)
+    best.see(ords, d)
+    for i in range(len(q)):
+        many = int(np.isfinite(best.dist[i]).sum())
+        if many:
+            yield i, best.dst[i, :many], best.dist[i, :many]
+
+
+def seen(ords: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Data rows as the metric compares them: unit rows for correlation, without those of no variance."""
+    if metric != "correlation":
+        return ords, x
+    x = unit(x)
+    good = ~np.isnan(x).any(axis=1)
+    return (ords, x) if good.all() else (ords[good], x[good])
 
 
 def knn(query: DataFrame, data: DataFrame | Vectors, k: int, metric: str = "correlation", drop_self: bool = False, eps: float = 0.0) -> DataFrame:
@@ -108,53 +200,59 @@ def knn(query: DataFrame, data: DataFrame | Vectors, k: int, metric: str = "corr
         return Index(data.rows if isinstance(data, Vectors) else data).search(query, k, eps, drop_self)
     data = data if isinstance(data, Vectors) else Vectors(data)
     kk = k + drop_self
-
-    def best(src: np.ndarray, q: np.ndarray, ords: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if metric == "correlation":
-            q, d = unit(q), unit(d)
-            good = ~np.isnan(d).any(axis=1)
-            ords, d = ords[good], d[good]
-        if not len(q) or not len(ords):
-            return
-        found = [(src[i], o, x) for i, o, x in nearest(q, d, ords, kk, metric)]
-        if drop_self:
-            found = [(s, o[o != s][:k], x[o != s][:k]) for s, o, x in found]
-        if found:
-            sizes = [len(o) for _, o, _ in found]
-            cols = [pa.array(np.repeat([s for s, _, _ in found], sizes), pa.int64()), pa.array(np.concatenate([o for _, o, _ in found]), pa.int64()), pa.array(np.concatenate([np.arange(1, n + 1) for n in sizes]), pa.int32()), pa.array(np.concatenate([x for _, _, x in found]))]
-            yield pa.RecordBatch.from_arrays(cols, ["src", "dst", "rank", "dist"])
+    as_query = unit if metric == "correlation" else lambda x: x
 
     if data.small:
         sent = data.broadcast()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ords, d = sent.value
+            ords, d = seen(*sent.value, metric)
             for b in batches:
-                if b.num_rows:
-                    yield from best(np.asarray(b.column(0), np.int64), matrix(b.column(1)), ords, d)
+                step = max(1, OUT // max(1, min(kk, len(ords))))
+                for a in range(0, b.num_rows, step):
+                    part = b.slice(a, step)
+                    best = Closest(as_query(matrix(part.column(1))), kk, metric)
+                    best.see(ords, d)
+                    yield from best.found(np.asarray(part.column(0), np.int64), k, drop_self)
 
         return query.select("ord", "v").repartition(query.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, KNN)
 
-    per = max(1, data.block_bytes // 4 // (8 * (data.width or 1)))  # rows of a block
-    q_blocks, d_blocks = max(1, -(-query.count() // per)), -(-data.n // per)
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                src, q, ords, d = (np.frombuffer(c[i].as_py(), t) for c, t in zip(b.columns, ("<i8", "<f8", "<i8", "<f8"), strict=True))
-                yield from best(src, q.reshape(len(src), -1), ords, d.reshape(len(ords), -1))
+        src, best, now = None, None, None
+        for q, at, ords, x in arrays(batches):
+            if at < 0:
+                if best is not None:
+                    yield from best.found(src, k, drop_self)
+                src, best, now = ords, Closest(as_query(x), kk, metric), q
+            elif q == now:  # blocks of a strip without rows meet nothing
+                best.see(*seen(ords, x, metric))
+        if best is not None:
+            yield from best.found(src, k, drop_self)
 
-    left = packed(query, q_blocks, "q").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))))
-    right = packed(data.rows, d_blocks, "d").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    pairs = left.join(right.hint("merge"), ["q", "d"]).select("q_ords", "q_v", "d_ords", "d_v")
-    w = Window.partitionBy("src").orderBy("dist", "dst")
-    return pairs.mapInArrow(meet, KNN).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
+    return strips(query, data, kk).mapInArrow(meet, KNN)
 
 
 def distances_to(query: DataFrame, data: DataFrame) -> DataFrame:
-    """(src, dst, dist): the whole matrix of correlation distances, a row per pair; for small sets."""
-    many = data.count()
-    return knn(query, data, many).select("src", "dst", "dist") if many else query.sparkSession.createDataFrame([], "src long, dst long, dist double")
+    """(src, dst, dist): the whole matrix of correlation distances, a row per pair, in batches of bounded size.
+
+    There are as many rows as pairs; nothing but a strip, a block and a batch is in a task, whatever the sizes.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, z, now = None, None, None
+        for q, at, ords, x in arrays(batches):
+            if at < 0:
+                src, z = seen(ords, x, "correlation")
+                now = q
+            elif q == now:
+                dst, d = seen(ords, x, "correlation")
+                step = max(1, OUT // max(1, len(dst)))
+                for a in range(0, len(src) if len(dst) else 0, step):
+                    part = src[a : a + step]
+                    dist = np.round(1 - z[a : a + step] @ d.T, 12)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, len(dst))), pa.array(np.tile(dst, len(part))), pa.array(dist.reshape(-1))], ["src", "dst", "dist"])
+
+    return strips(query, Vectors(data), 1).mapInArrow(meet, "src long, dst long, dist double")
 
 
 def four_way(ref_emb: DataFrame, query_emb: DataFrame, ref_latent: DataFrame, k: int, reference_first: bool = True, query_latent: DataFrame | None = None, eps: float = 0.0) -> DataFrame:

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import settled
+from ..sources.scratch import discard, kept, settled
 from .communities import communities
 from .consensus import cell_distances, class_distances, consensus_classes, flat_clusters, kept_runs
-from .density import LIST, reach_tree
+from .density import list_length, reach_trees
 from .embed import embedded_rows
 from .knn import knn, matrix, unit
 from .limits import MOST_CELLS, MOST_TREE, SMALL_EDGES
@@ -209,18 +209,15 @@ def density_grid(cells: DataFrame, min_sizes: Sequence[int], min_samples: Sequen
     """(run, min_samples, min_cluster_size, ord, label), min_samples in the outer loop; cells without distances are noise.
 
     Up to ``most`` cells one task makes a tree of all distances, trees of different min_samples in parallel. Beyond, the
-    trees are made by :func:`~cytoloom.operators.density.reach_tree` and only their edges meet in one task each, at most MOST_TREE.
+    trees are made by :func:`~cytoloom.operators.density.reach_trees` together and only their edges meet in one task each, at most MOST_TREE.
     """
     spark = cells.sparkSession
     n = cells.count()
     schema = "run int, min_samples int, min_cluster_size int, ord long, label int"
     if n > most:
-        length = max(LIST, max(min_samples) - 1)
-        near = settled(knn(cells, cells, length, metric, drop_self=True).withColumn("dist", F.greatest("dist", F.lit(0.0))))
-        trees = None
-        for i, samples in enumerate(min_samples):
-            tree = reach_tree(cells, samples, metric, near, length).select(F.lit(i).alias("i"), F.lit(samples).alias("samples"), "a", "b", "d")
-            trees = tree if trees is None else trees.unionByName(tree)
+        near = kept(knn(cells, cells, list_length(min_samples), metric, drop_self=True).withColumn("dist", F.greatest("dist", F.lit(0.0))), "near")
+        trees = reach_trees(cells, min_samples, metric, near)
+        discard(near)
 
         def cut(pdf: pd.DataFrame) -> pd.DataFrame:
             if len(pdf) > MOST_TREE:
@@ -228,7 +225,8 @@ def density_grid(cells: DataFrame, min_sizes: Sequence[int], min_samples: Sequen
             pdf = pdf.sort_values(["d", "a", "b"])
             ids = np.unique(np.r_[pdf["a"], pdf["b"]])
             tree = np.stack([np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"]), pdf["d"]], 1)
-            i, samples = int(pdf["i"].iloc[0]), int(pdf["samples"].iloc[0])
+            i = int(pdf["i"].iloc[0])
+            samples = int(min_samples[i])
             return pd.concat([pd.DataFrame({"run": i * len(min_sizes) + j, "min_samples": samples, "min_cluster_size": size, "ord": ids, "label": density_clusters(tree, len(ids), size)}) for j, size in enumerate(min_sizes)])
 
         found = trees.groupBy("i").applyInPandas(cut, schema)

@@ -81,6 +81,20 @@ def test_tree_is_the_array_codes(spark, metric, samples, monkeypatch):
         label[label == label[b]] = label[a]
 
 
+def test_trees_share_their_rounds(spark, monkeypatch):
+    """Both trees are the array code's, no list is made twice, and the largest component is not searched."""
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(0, 1, (30, 4)), rng.normal(50, 1, (5, 4))]
+    searched, real = [], density._searched
+    monkeypatch.setattr(density, "LIST", 4)
+    monkeypatch.setattr(density, "FOUND", 1)
+    monkeypatch.setattr(density, "_searched", lambda asked, *rest: (searched.append([tuple(r) for r in asked.select("t", "ord", "comp").collect()]), real(asked, *rest))[1])
+    trees = density.reach_trees(cells(spark, x), [2, 4], "euclidean").toPandas()
+    for i, samples in enumerate([2, 4]):
+        assert np.allclose(np.sort(trees["d"][trees["i"] == i]), cluster.density_tree(cluster.distances(x, "euclidean"), samples)[:, 2], atol=1e-9)
+    assert searched and len(searched[-1]) <= 2 * 5 and all(ord_ >= 30 for _, ord_, _ in searched[-1])
+
+
 def test_grid_beyond_one_task(spark):
     x = blobs(14)
     small = cluster.density_grid(cells(spark, x), [3, 5], [3, 4])

@@ -7,7 +7,7 @@ refuses more than a stated number of edges.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,9 +20,9 @@ from ..sources.scratch import discard, kept, settled
 from .communities import communities
 from .consensus import cell_distances, class_distances, consensus_classes, flat_clusters, kept_runs
 from .density import list_length, reach_trees
-from .embed import embedded_rows
+from .embed import embedded_rows, neighbour_embedding
 from .knn import knn, matrix, unit
-from .limits import MOST_CELLS, MOST_TREE, SMALL_EDGES
+from .limits import MOST_CELLS, MOST_REFINED, MOST_TREE, SMALL_EDGES
 
 
 def knn_edges(cells: DataFrame, k: int = 30) -> DataFrame:
@@ -102,14 +102,19 @@ def distances(x: np.ndarray, metric: str) -> np.ndarray:
 
 def density_tree(dist: np.ndarray, min_samples: int) -> np.ndarray:
     """Edges (a, b, distance) of the minimum spanning tree of mutual reachability, ascending; the core distance counts the cell itself."""
-    n = len(dist)
-    core = np.partition(dist, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
+    last = min(min_samples, len(dist)) - 1
+    return _prim(lambda now: dist[now], np.partition(dist, last, axis=1)[:, last])
+
+
+def _prim(row: Callable[[int], np.ndarray], core: np.ndarray) -> np.ndarray:
+    """The tree of :func:`density_tree` from each cell's distances, asked for once, and the core distances."""
+    n = len(core)
     best, source = np.full(n, np.inf), np.zeros(n, int)
     inside = np.zeros(n, bool)
     now, out = 0, []
     for _ in range(n - 1):
         inside[now] = True
-        reach = np.maximum(np.maximum(dist[now], core[now]), core)
+        reach = np.maximum(np.maximum(row(now), core[now]), core)
         better = ~inside & (reach < best)
         best[better], source[better] = reach[better], now
         nxt = int(np.argmin(np.where(inside, np.inf, best)))
@@ -119,6 +124,17 @@ def density_tree(dist: np.ndarray, min_samples: int) -> np.ndarray:
     return tree[np.argsort(tree[:, 2], kind="stable")]
 
 
+def density_tree_of_rows(x: np.ndarray, min_samples: int) -> np.ndarray:
+    """As :func:`density_tree` of the rows' correlation distances, of which only a part is there at a time."""
+    n, z = len(x), unit(x)
+    core = np.zeros(n)
+    step, last = max(1, (1 << 21) // max(1, n)), min(min_samples, n) - 1
+    for low in range(0, n, step):
+        core[low : low + step] = np.partition(np.maximum(np.round(1 - z[low : low + step] @ z.T, 12), 0), last, axis=1)[:, last]
+    zt = np.ascontiguousarray(z.T)
+    return _prim(lambda now: np.maximum(np.round(1 - z[now] @ zt, 12), 0), core)
+
+
 def density_clusters(tree: np.ndarray, n: int, min_size: int) -> np.ndarray:
     """Labels by excess of mass over the condensed tree: clusters from 0 in order of first member, noise -1. The root is never chosen."""
     if n < 2:
@@ -422,18 +438,29 @@ def best_run(labels: DataFrame, scores: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(top), "run").select("ord", F.col("label").alias("cluster"))
 
 
-def refined_clusters(cells: DataFrame, clusters: DataFrame, min_samples: int = 5, components: int = 4, k: int = 20) -> DataFrame:
-    """(ord, cluster): inside each cluster, cells that density clustering of the cluster's embedding leaves as noise become -1."""
+def refined_clusters(cells: DataFrame, clusters: DataFrame, min_samples: int = 5, components: int = 4, k: int = 20, most: int = MOST_REFINED) -> DataFrame:
+    """(ord, cluster): inside each cluster, cells that density clustering of the cluster's embedding leaves as noise become -1.
+
+    A cluster of up to ``most`` cells is one task, whose memory grows with its cells and not with their pairs. Larger ones,
+    of which there are few, go one after the other through the layout in blocks and the trees in rounds.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_CELLS:
-            raise ValueError(f"a cluster has {len(pdf)} cells; density clustering takes {MOST_CELLS}")
         pdf = pdf.sort_values("ord")
         x = embedded_rows(np.array(pdf["v"].tolist()), components, k)
-        label = density_clusters(density_tree(distances(x, "correlation"), min_samples), len(x), max(round(len(x) / 10), 2))
+        label = density_clusters(density_tree_of_rows(x, min_samples), len(x), max(round(len(x) / 10), 2))
         return pd.DataFrame({"ord": pdf["ord"], "cluster": np.where(label < 0, -1, key[0]).astype("int32")})
 
-    return cells.select("ord", "v").join(clusters, "ord").groupBy("cluster").applyInPandas(run, "ord long, cluster int")
+    rows = cells.select("ord", "v").join(clusters.select("ord", "cluster"), "ord")
+    large = {r["cluster"]: r["count"] for r in rows.groupBy("cluster").count().where(F.col("count") > most).collect()}
+    out = rows.where(~F.col("cluster").isin(list(large))) if large else rows
+    out = out.groupBy("cluster").applyInPandas(run, "ord long, cluster int")
+    for name, n in sorted(large.items()):
+        own = settled(rows.where(F.col("cluster") == name).select("ord", "v"))
+        space = settled(neighbour_embedding(own, components, k, negatives=5, most=most))
+        label = density_grid(space, [max(round(n / 10), 2)], [min_samples], most=most).where("label >= 0").select("ord", F.lit(name).cast("int").alias("cluster"))
+        out = out.unionByName(own.select("ord").join(label, "ord", "left").select("ord", F.coalesce("cluster", F.lit(-1)).alias("cluster")))
+    return out
 
 
 def without_noise(clusters: DataFrame) -> DataFrame:

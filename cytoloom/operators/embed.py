@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, kept
 from .cca import pca
-from .knn import knn, matrix, unit
+from .knn import Closest, knn, matrix, unit
 from .limits import MOST_CELLS
 
 #: Blocks of a layout at least, cells of one at most, and epochs between exchanges of positions.
@@ -81,13 +81,18 @@ def layout(start: np.ndarray, head: np.ndarray, tail: np.ndarray, weight: np.nda
 def placed(start: np.ndarray, dst: np.ndarray, dist: np.ndarray, epochs: int, negatives: int, min_dist: float, seed: int) -> np.ndarray:
     """Coordinates from a start, each row's neighbours (row numbers) and their distances."""
     n = len(start)
-    w = np.zeros((n, n), np.float32)
-    w[np.repeat(np.arange(n), dst.shape[1]), dst.reshape(-1)] = np.round(membership(dist), 9).reshape(-1)
-    w = w + w.T - w * w.T
-    i, j = np.nonzero(np.triu(w, 1))
+    src, w = np.repeat(np.arange(n), dst.shape[1]), np.round(membership(dist), 9).reshape(-1).astype(np.float32)
+    low, high = np.minimum(src, dst.reshape(-1)), np.maximum(src, dst.reshape(-1))
+    order = np.lexsort((high, low))
+    low, high, w = low[order], high[order], w[order]
+    # An edge of both lists weighs w + w' - w w'; the edges are in the order of their ends.
+    first = np.flatnonzero(np.r_[True, (np.diff(low) != 0) | (np.diff(high) != 0)])
+    other = np.where(np.diff(np.r_[first, len(w)]) > 1, w[np.minimum(first + 1, len(w) - 1)], np.float32(0))
+    i, j, w = low[first], high[first], w[first] + other - w[first] * other
+    i, j, w = i[w != 0], j[w != 0], w[w != 0]
     # Rounded: sums over other partitions differ in their last digits, which the layout would magnify.
     start = np.round(10 * start / max(np.abs(start).max(), 1e-12), 6) + np.random.default_rng(seed).normal(0, 1e-4, start.shape)
-    return layout(start, i, j, w[i, j], epochs, negatives, *curve(min_dist), seed)
+    return layout(start, i, j, w, epochs, negatives, *curve(min_dist), seed)
 
 
 def embedded_rows(x: np.ndarray, components: int, k: int, min_dist: float = 0.1, epochs: int = 200, negatives: int = 5, seed: int = 0) -> np.ndarray:
@@ -99,14 +104,19 @@ def embedded_rows(x: np.ndarray, components: int, k: int, min_dist: float = 0.1,
     near = min(k, len(x)) - 1
     if near < 1:
         return out
-    dist = np.round(1 - z @ z.T, 12)
-    np.fill_diagonal(dist, np.inf)
-    dst = np.argsort(dist, axis=1, kind="stable")[:, :near]
+    dst, dist = np.zeros((len(x), near), np.int64), np.zeros((len(x), near))
+    step = max(1, (1 << 21) // len(x))  # rows that are compared with all others together
+    for low in range(0, len(x), step):
+        best = Closest(z[low : low + step], near + 1, "correlation")
+        best.see(np.arange(len(x)), z)
+        for b in best.found(np.arange(low, low + len(best.q)), near, drop_self=True):
+            at, rank = np.asarray(b.column(0)), np.asarray(b.column(2)) - 1
+            dst[at, rank], dist[at, rank] = np.asarray(b.column(1)), np.asarray(b.column(3))
     u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     start = np.zeros((len(x), components))
     wide = min(components, len(s))
     start[:, :wide] = (u * s * np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1, 1))[:, :wide]
-    out[good] = placed(start, dst, np.maximum(np.take_along_axis(dist, dst, 1), 0), epochs, negatives, min_dist, seed)
+    out[good] = placed(start, dst, np.maximum(dist, 0), epochs, negatives, min_dist, seed)
     return out
 
 

@@ -1,5 +1,7 @@
 """Clusterings made in distributed rounds against array code, brute force and planted groups."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +114,28 @@ def test_tree_of_odd_tables(spark):
     assert sorted((r["a"], r["b"]) for r in density.reach_tree(flat, 2).collect()) == [(1, 2), (1, 3)]
 
 
+def test_refining_needs_no_matrix_of_pairs():
+    """A task of 6,000 cells stays well below the 288 MB of their distances; the results are those of the matrices."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (6000, 8))
+    tracemalloc.start()
+    y = embed.embedded_rows(x, 4, 20, epochs=2)
+    tree = cluster.density_tree_of_rows(y, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6 and len(tree) == 5999
+    few = y[:300]
+    assert np.allclose(cluster.density_tree_of_rows(few, 5), cluster.density_tree(cluster.distances(few, "correlation"), 5))
+
+
+def test_clusters_beyond_one_task_are_refined(spark):
+    x = blobs(30)
+    truth = [i // 30 for i in range(len(x))]
+    given = spark.createDataFrame(list(enumerate(truth)), "ord long, cluster int")
+    got = cluster.refined_clusters(cells(spark, x), given.where("ord < 50"), most=25).collect()
+    assert sorted(r["ord"] for r in got) == list(range(50)) and all(r["cluster"] in (-1, truth[r["ord"]]) for r in got)
+
+
 # ------------------------------------------------------------------ consensus
 
 

@@ -60,6 +60,11 @@ class Vectors:
 
 def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
     """(name, ords, v): the rows of each of ``blocks`` blocks as two binaries, ascending by ord."""
+    return gathered(rows.select("ord", "v", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias(name)), name)
+
+
+def gathered(rows: DataFrame, name: str) -> DataFrame:
+    """As :func:`packed`, of rows (ord, v) whose block is in the column ``name``."""
 
     def pack(block: pa.Table) -> pa.Table:
         ords = np.asarray(block.column("ord").combine_chunks(), np.int64)
@@ -67,8 +72,7 @@ def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
         x = matrix(block.column("v").combine_chunks())[order]
         return pa.table({name: pa.array([block.column(name)[0].as_py()], pa.int32()), "ords": pa.array([ords[order].tobytes()], pa.binary()), "v": pa.array([x.tobytes()], pa.binary())})
 
-    dealt = rows.select("ord", "v", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias(name))
-    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, ords binary, v binary")
+    return rows.groupBy(name).applyInArrow(pack, f"{name} int, ords binary, v binary")
 
 
 def strips(query: DataFrame, data: Vectors, kk: int) -> DataFrame:

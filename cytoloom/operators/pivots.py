@@ -7,8 +7,10 @@ distance of its last neighbour; then those other cells that may hold a nearer on
 it could not improve that bound by more than the factor 1 + eps: the r-th row returned is at most 1 + eps times as far as the
 r-th neighbour. Correlation distances are half the squares of Euclidean distances of unit rows, which is how they are bounded.
 
-Cells are cut into blocks of bounded size, and so are the query rows that meet them; a block of each meets in an
-equi-join, so a cell with a third of all rows is many blocks. Nothing but centres and counts is on the driver.
+Cells are cut into blocks of bounded size, so a cell with a third of all rows is many blocks. The nearest cells and the
+query rows that meet them are joined, block by block. For the others the query becomes strips that see all blocks one after
+the other in one task: there a row looks only at blocks of its cells and keeps the best within its bound, so neither copies
+of rows for each cell nor each cell's best cross the network. Nothing but centres and counts is on the driver.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import kept
-from .knn import BLOCK_BYTES, KNN, matrix, nearest, unit
+from .knn import BLOCK_BYTES, KNN, Closest, arrays, gathered, matrix, unit
+from .knn import packed as strips_of
 
 #: Rows that centres are fitted on.
 SAMPLE = 4096
 #: No more centres than these.
 CELLS = 1024
+#: Rows of a batch.
+STEP = 4096
 
 
 def points(rows: DataFrame, metric: str) -> DataFrame:
@@ -86,6 +91,21 @@ def packed(rows: DataFrame, name: str, parts: dict[int, int], meets: dict[int, i
     return blocks.where("many > 0").withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).drop("many")
 
 
+def wanted(space: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, k: int, tau: np.ndarray | None = None, eps: float = 0.0) -> np.ndarray:
+    """Which cells of ``space`` (centres, sizes, radius) each row visits: the nearest that hold ``k`` rows, or of the others those that ``tau`` leaves."""
+    c, sizes, radius = space
+    d = apart(x, c)
+    order = np.argsort(d, axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    first = np.zeros(d.shape, bool)
+    np.put_along_axis(first, order, before < k, axis=1)
+    if tau is not None:
+        # A distance from a matrix product is off by some 1e-8 of the lengths.
+        slack = 1e-7 * (np.sqrt((x * x).sum(axis=1))[:, None] + np.sqrt((c * c).sum(axis=1)) + radius)
+        first = ~first & (np.maximum(d - radius - slack, 0) * (1 + eps) <= tau[:, None] + slack)
+    return first & (sizes > 0)
+
+
 class Index:
     """Cells over a table (ord, v). Written once in the shared folder, so that searches start there."""
 
@@ -120,33 +140,61 @@ class Index:
 
         return rows.mapInArrow(run, "ord long, v array<double>, cell int, away double")
 
-    def _visits(self, rows: DataFrame, k: int, eps: float | None) -> DataFrame:
-        """(cell, ord, v): the nearest cells that hold ``k`` rows; with ``eps`` the others that the bound ``tau`` leaves."""
+    def _visits(self, rows: DataFrame, k: int) -> DataFrame:
+        """(cell, ord, v): the nearest cells that hold ``k`` rows."""
         sent = self.spark.sparkContext.broadcast((self.centres, self.sizes, self.radius))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c, sizes, radius = sent.value
-            norm = np.sqrt((c * c).sum(axis=1))
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = matrix(b.column(1))
-                d = apart(x, c)
-                order = np.argsort(d, axis=1, kind="stable")
-                before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                first = np.zeros(d.shape, bool)
-                np.put_along_axis(first, order, before < k, axis=1)
-                if eps is None:
-                    wanted = first
-                else:
-                    # A distance from a matrix product is off by some 1e-8 of the lengths.
-                    slack = 1e-7 * (np.sqrt((x * x).sum(axis=1))[:, None] + norm + radius)
-                    wanted = ~first & (np.maximum(d - radius - slack, 0) * (1 + eps) <= np.asarray(b.column(2))[:, None] + slack)
-                at, cell = np.nonzero(wanted & (sizes > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["cell", "ord", "v"])
+                for low in range(0, b.num_rows, STEP):
+                    part = b.slice(low, STEP)
+                    at, cell = np.nonzero(wanted(sent.value, matrix(part.column(1)), k))
+                    for i in range(0, len(at), STEP):
+                        take = pa.array(at[i : i + STEP])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + STEP], pa.int32()), part.column(0).take(take), part.column(1).take(take)], ["cell", "ord", "v"])
 
         return rows.mapInArrow(run, "cell int, ord long, v array<double>")
 
+    def _rest(self, rows: DataFrame, k: int, eps: float) -> DataFrame:
+        """(src, dst, rank, dist): the k best within ``tau`` of rows (ord, v, tau) in the cells that the bound leaves."""
+        metric, sizes = self.metric, self.sizes
+        sent = self.spark.sparkContext.broadcast((self.centres, sizes, self.radius))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs = 0
+            for b in batches:
+                for low in range(0, b.num_rows, STEP):
+                    part = b.slice(low, STEP)
+                    pairs += int(wanted(sent.value, matrix(part.column(1)), k, np.asarray(part.column(2)), eps).sum(axis=0) @ sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([pairs])], ["pairs"])
+
+        self._pairs += rows.select("ord", "v", "tau").mapInArrow(count, "pairs long").agg(F.sum("pairs")).first()[0] or 0
+        many, wide = rows.count(), 8 * (self.centres.shape[1] + 1)
+        q_blocks = max(1, -(-many * wide // (BLOCK_BYTES // 4)), -(-many * 32 * min(k, self.n) // (BLOCK_BYTES // 2)), min(2 * self.spark.sparkContext.defaultParallelism, many))
+        parts = np.maximum(1, -(-sizes * wide // (BLOCK_BYTES // 16)))
+        cell_of = np.repeat(np.arange(len(parts)), parts)
+        at = lambda values: F.get(F.array(*(F.lit(int(x)) for x in values)), F.col("cell"))
+        block = (at(np.cumsum(parts) - parts) + F.pmod(F.xxhash64("ord"), at(parts))).cast("int")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            src, best, now = None, None, None
+            for q, d, ords, x in arrays(batches):
+                if d < 0:
+                    if best is not None:
+                        yield from best.found(src, k)
+                    src, now, tau = ords, q, x[:, -1]
+                    x = np.ascontiguousarray(x[:, :-1])
+                    visits = np.concatenate([wanted(sent.value, x[i : i + STEP], k, tau[i : i + STEP], eps) for i in range(0, len(x), STEP)])
+                    best, least = Closest(x, k, metric), tau if metric == "euclidean" else tau * tau / 2
+                elif q == now:
+                    best.see(ords, x, np.flatnonzero(visits[:, cell_of[d]]), least)
+            if best is not None:
+                yield from best.found(src, k)
+
+        left = strips_of(rows.select("ord", F.concat("v", F.array("tau")).alias("v")), q_blocks, "q").select("q", F.lit(-1).alias("d"), "ords", "v")
+        right = gathered(self.rows.select("ord", "v", block.alias("d")), "d").select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), "d", "ords", "v")
+        return left.unionByName(right).repartitionById(q_blocks, F.col("q")).sortWithinPartitions("q", "d").mapInArrow(meet, KNN)
+
     def _meet(self, visits: DataFrame, k: int) -> DataFrame:
         """(src, dst, rank, dist): the k best of each block that a row meets."""
         metric = self.metric
@@ -159,11 +207,9 @@ class Index:
             for b in batches:
                 for i in range(b.num_rows):
                     src, q, ords, d = (np.frombuffer(c[i].as_py(), t) for c, t in zip(b.columns, ("<i8", "<f8", "<i8", "<f8"), strict=True))
-                    found = list(nearest(q.reshape(len(src), -1), d.reshape(len(ords), -1), ords, k, metric))
-                    if found:
-                        n = [len(o) for _, o, _ in found]
-                        cols = [pa.array(np.repeat([src[j] for j, _, _ in found], n), pa.int64()), pa.array(np.concatenate([o for _, o, _ in found]), pa.int64()), pa.array(np.concatenate([np.arange(1, m + 1) for m in n]), pa.int32()), pa.array(np.concatenate([x for _, _, x in found]))]
-                        yield pa.RecordBatch.from_arrays(cols, ["src", "dst", "rank", "dist"])
+                    best = Closest(q.reshape(len(src), -1), k, metric)
+                    best.see(ords, d.reshape(len(ords), -1))
+                    yield from best.found(src, k)
 
         left, right = packed(visits, "q", q_parts, d_parts), packed(self.rows, "d", d_parts, q_parts)
         return left.join(right.hint("merge"), ["cell", "q", "d"]).select("q_ords", "q_v", "d_ords", "d_v").mapInArrow(meet, KNN)
@@ -181,11 +227,11 @@ class Index:
             return self.spark.createDataFrame([], KNN)
         w = Window.partitionBy("src").orderBy("dist", "dst")
         best = lambda found, m: found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
-        near = kept(best(self._meet(self._visits(rows, kk, None), kk), kk), "near")
+        near = kept(best(self._meet(self._visits(rows, kk), kk), kk), "near")
         last = F.max("dist") if self.metric == "euclidean" else F.sqrt(2 * F.greatest(F.max("dist"), F.lit(0.0)))
         # Fewer rows than asked for: all cells were met already.
         bound = near.groupBy("src").agg(F.when(F.count("*") >= kk, last).otherwise(F.lit(-1.0)).alias("tau"))
-        more = self._meet(self._visits(rows.join(bound.withColumnRenamed("src", "ord"), "ord").select("ord", "v", "tau"), kk, eps), kk)
+        more = self._rest(kept(rows.join(bound.withColumnRenamed("src", "ord"), "ord").select("ord", "v", "tau"), "bounds"), kk, eps)
         asked = rows.count()
         self.share = self._pairs / (asked * self.n) if asked else 0.0
         out = near.unionByName(more)

@@ -69,3 +69,16 @@ def test_eps_in_neighbour_joins(spark):
     assert got.keys() == exact.keys() and all(d <= exact[key] * 1.5 + 1e-9 for key, d in got.items())
     with pytest.raises(ValueError):
         knn(q, x, 3, eps=0.1)
+
+
+def test_other_cells_are_searched_without_copies_of_rows(spark, monkeypatch):
+    """A row is copied for the cells it meets first, not for all others; the result stays the exact one."""
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
+    visits, real = [], Index._visits
+    monkeypatch.setattr(Index, "_visits", lambda self, *a: (visits.append(real(self, *a)), visits[-1])[1])
+    index = Index(frame(spark, x), cells=30)
+    got = index.search(frame(spark, q), 5)
+    want = knn(frame(spark, q), frame(spark, x), 5, "euclidean")
+    assert rows(got) == rows(want)
+    assert sum(v.count() for v in visits) < 40 * 10 and index.share > 0.8

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import kept
-from .knn import BLOCK_BYTES, KNN, Closest, arrays, gathered, matrix, unit
+from .knn import BLOCK_BYTES, HELD, KNN, Closest, arrays, gathered, matrix, unit
 from .knn import packed as strips_of
 
 #: Rows that centres are fitted on.
@@ -170,7 +170,7 @@ class Index:
 
         self._pairs += rows.select("ord", "v", "tau").mapInArrow(count, "pairs long").agg(F.sum("pairs")).first()[0] or 0
         many, wide = rows.count(), 8 * (self.centres.shape[1] + 1)
-        q_blocks = max(1, -(-many * wide // (BLOCK_BYTES // 4)), -(-many * 32 * min(k, self.n) // (BLOCK_BYTES // 2)), min(2 * self.spark.sparkContext.defaultParallelism, many))
+        q_blocks = max(1, -(-many * wide // (BLOCK_BYTES // 4)), -(-many * HELD * min(k, self.n) // (BLOCK_BYTES // 2)), min(2 * self.spark.sparkContext.defaultParallelism, many))
         parts = np.maximum(1, -(-sizes * wide // (BLOCK_BYTES // 16)))
         cell_of = np.repeat(np.arange(len(parts)), parts)
         at = lambda values: F.get(F.array(*(F.lit(int(x)) for x in values)), F.col("cell"))

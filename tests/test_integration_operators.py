@@ -420,3 +420,29 @@ def test_anchor_weights_search_cells_not_anchors(spark, monkeypatch):
         first = [(q, r) for _, q in d for r in range(7)][:10]
         want = {(c, ids[a]) for a in first if round(float(1 - x[c] @ x[a[0]]), 12) < d[1][0]}  # those at the last distance weigh 0
         assert {g for g in got if g[0] == c} == want
+
+
+@pytest.mark.parametrize("metric", ["correlation", "euclidean"])
+def test_neighbours_are_sifted_without_loss(metric):
+    """Far from the origin products lose the distances' digits: results are those of the distances pair by pair, ties by number."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(6000, 5))
+    rows[3000:3400] = rows[:400]
+    for x in (rows, rows * 1e-3 + 1e6 * (metric == "euclidean"), np.round(rows), rows * 1e-25):
+        q, d, k = x[:30], x, 25
+        if metric == "correlation":
+            q, d = knn.unit(q), knn.unit(d)
+            far = np.array([[np.round(1 - a @ b, 12) for b in d] for a in q])
+        else:
+            far = np.round(np.sqrt(((q[:, None] - d[None]) ** 2).sum(axis=2)), 12)
+        ords = rng.permutation(len(d))
+        best = knn.Closest(q, k, metric)
+        for low in range(0, len(d), 2500):
+            best.see(ords[low : low + 2500], d[low : low + 2500])
+        got = [b.to_pydict() for b in best.found(np.arange(len(q)))]
+        dst, dist = (np.concatenate([b[c] for b in got]) for c in ("dst", "dist"))
+        good = [i for i in range(len(q)) if np.isfinite(far[i]).any()]
+        order = [np.lexsort((ords, np.where(np.isnan(far[i]), np.inf, far[i])))[:k] for i in good]
+        assert np.allclose(dist, np.concatenate([far[i][o] for i, o in zip(good, order, strict=True)]), rtol=1e-9, atol=2e-12)
+        if metric == "euclidean":
+            assert dst.tolist() == np.concatenate([ords[o] for o in order]).tolist()

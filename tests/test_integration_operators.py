@@ -446,3 +446,27 @@ def test_neighbours_are_sifted_without_loss(metric):
         assert np.allclose(dist, np.concatenate([far[i][o] for i, o in zip(good, order, strict=True)]), rtol=1e-9, atol=2e-12)
         if metric == "euclidean":
             assert dst.tolist() == np.concatenate([ords[o] for o in order]).tolist()
+
+
+def test_silhouettes_of_runs_send_no_vector_for_each_run(spark):
+    """Many clusters and runs, noise, singletons, missing cells and text labels: brute force; vectors are not copied for each run."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 5))
+    labels = [(r, i, f"c{i % (3 + 5 * r)}" if i % 7 else "noise") for r in range(4) for i in range(60) if r != 2 or i % 3]
+    rows = spark.createDataFrame(labels, "run int, ord long, label string")
+    out = cluster.silhouettes(cells(spark, x), rows, ["run"])
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["run"]: r["score"] for r in out.collect()}
+    for run in range(4):
+        of = {i: c for r, i, c in labels if r == run}
+        scores = []
+        for i, c in of.items():
+            far = {}
+            for j, d in of.items():
+                if i != j:
+                    far.setdefault(d, []).append(1 - np.corrcoef(x[i], x[j])[0, 1])
+            b = min(np.mean(v) for d, v in far.items() if d != c)
+            scores.append((b - np.mean(far[c])) / max(np.mean(far[c]), b) if c in far else 0.0)
+        assert abs(got[run] - np.mean(scores)) < 1e-9
+    assert cluster.silhouettes(cells(spark, x), rows.where("false"), ["run"]).count() == 0
+    assert cluster.silhouettes(cells(spark, x), rows.where("run = 9")).first()[0] is None

@@ -22,6 +22,8 @@ from .common import ALNUM_WORDS, slices, utf8_of, words_of, written
 
 #: Windows searched in one pass; more are searched in further passes over the index. 100,000 windows of ten terms take 8 MB.
 PASS = 100_000
+#: Places of rare terms that a proximity search looks at together.
+PLACES = 1 << 18
 
 
 def _block_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes]]:
@@ -113,34 +115,69 @@ def near(block: Block, windows: np.ndarray, length: np.ndarray, span: int, least
     """(window, start, different terms) of every run of ``span`` words of one document that begins with a term of the
     window and holds ``least`` different ones of its terms (all, where it has fewer).
 
-    Of n different terms such a run holds one of the n - least + 1 rarest, so runs are sought around those alone.
+    Of n different terms such a run holds one of the n - least + 1 rarest, so runs are sought around those alone: a place of
+    one is left as soon as too few of the other terms stand within a run's length of it, and frequent terms are looked up
+    there and never read whole.
     """
     k, n = block.look(windows)
+    first = np.arange(windows.shape[1]) < length[:, None]
+    for j in range(windows.shape[1]):
+        first[:, j] &= ~(windows[:, :j] == windows[:, j : j + 1]).any(axis=1)
+    want = np.minimum(least, first.sum(axis=1))
+    there = first & (n > 0)
+    many = there.sum(axis=1)
+    order = np.argsort(np.where(there, n, np.iinfo(np.int64).max), axis=1, kind="stable")
+    k, n = np.take_along_axis(k, order, 1), np.take_along_axis(np.where(there, n, 0), order, 1)
+    # Every position under its term's number: ascending, as terms are and positions within a term.
+    keys = (np.repeat(np.arange(len(block.terms)), np.diff(block.at.astype(np.int64))) << 32) | block.positions
     ends = np.r_[block.first[1:] - 1, np.iinfo(np.int64).max]
-    found, where, many = [], [], []
-    for w in range(len(windows)):
-        cols = np.unique(windows[w, : length[w]], return_index=True)[1]
-        want = min(least, len(cols))
-        lists = sorted((block.list(k[w, c]) for c in cols.tolist() if n[w, c]), key=len)
-        if len(lists) < want or not lists:
-            continue
-        rare = np.sort(np.concatenate(lists[: max(1, len(lists) - want + 1)]))
+    rare = np.where(np.arange(n.shape[1]) < np.maximum(1, many - want + 1)[:, None], n, 0)
+    alive = np.flatnonzero((many >= want) & (many > 0))
+    before = np.cumsum(rare[alive].sum(axis=1))
+    found = [np.zeros((3, 0), np.int64)]
+    low = 0
+    while low < len(alive):
+        high = max(low + 1, int(np.searchsorted(before, (before[low - 1] if low else 0) + PLACES, "right")))
+        some, low = alive[low:high], high
+        r = rare[some].reshape(-1)
+        w = np.repeat(np.repeat(some, rare.shape[1]), r)
+        p = block.positions[np.repeat(block.at[k[some].reshape(-1)].astype(np.int64), r) + _within(r)].astype(np.int64)
+        got = np.zeros(len(p), np.int64)
+        for j in range(k.shape[1]):
+            place = block.place(p)
+            from_ = np.maximum(p - span + 1, block.first[place])
+            got += (n[w, j] > 0) & _between(keys, k[w, j], from_, np.minimum(p + span, ends[place]))
+            keep = got + np.maximum(many[w] - j - 1, 0) >= want[w]
+            w, p, got = w[keep], p[keep], got[keep]
+        # Runs that may count begin with a term of the window at most a run's length before such a place.
         starts = []
-        for x in lists:  # a term that stands at most span - 1 words before a rare one
-            after = np.searchsorted(rare, x)
-            close = rare[np.minimum(after, len(rare) - 1)]
-            starts.append(x[(close >= x) & (close < x + span)])
-        p = np.sort(np.concatenate(starts))
-        stop = np.minimum(p + span, ends[block.place(p)])
-        count = np.zeros(len(p), np.int64)
-        for x in lists:
-            count += np.searchsorted(x, stop, "left") > np.searchsorted(x, p, "left")
-        good = count >= want
-        found.append(np.full(int(good.sum()), w))
-        where.append(p[good])
-        many.append(count[good])
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return cat(found), cat(where), cat(many)
+        for a in range(0, len(p), PLACES // 16):
+            v, q = w[a : a + PLACES // 16], p[a : a + PLACES // 16]
+            from_, begin = np.maximum(q - span + 1, block.first[block.place(q)]), np.zeros(0, np.int64)
+            for j in range(k.shape[1]):
+                lo, hi = np.searchsorted(keys, (k[v, j] << 32) | from_), np.searchsorted(keys, (k[v, j] << 32) | q, "right")
+                r = np.where(n[v, j] > 0, hi - lo, 0)
+                begin = np.r_[begin, (np.repeat(v, r) << 32) | block.positions[np.repeat(lo, r) + _within(r)]]
+            starts.append(np.unique(begin))
+        starts = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
+        w, p = starts >> 32, starts & 0xFFFFFFFF
+        stop, count = np.minimum(p + span, ends[block.place(p)]), np.zeros(len(p), np.int64)
+        for j in range(k.shape[1]):
+            count += (n[w, j] > 0) & _between(keys, k[w, j], p, stop)
+        good = count >= want[w]
+        found.append(np.stack([w[good], p[good], count[good]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _within(many: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``many`` groups, one after the other."""
+    return np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _between(keys: np.ndarray, term: np.ndarray, low: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether the term stands anywhere from ``low`` and before ``stop``."""
+    at = np.searchsorted(keys, (term << 32) | low)
+    return (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] < ((term << 32) | stop))
 
 
 def _windows(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..sources.scratch import discard, kept, settled
 from .communities import communities
-from .consensus import cell_distances, class_distances, consensus_classes, flat_clusters, kept_runs
+from .consensus import cell_distances, class_distances, consensus_classes, flat_clusters, kept_runs, linked, linked_classes
 from .density import list_length, reach_trees
 from .embed import embedded_rows, neighbour_embedding
 from .knn import BLOCK_BYTES, knn, matrix, unit
@@ -486,14 +486,14 @@ def relabel(labels: DataFrame, legacy: bool = False) -> DataFrame:
 def consensus_clusters(cells: DataFrame, pairs: DataFrame, inconsistent: float = 0.3, min_size: int = 10, legacy: bool = False) -> DataFrame:
     """(ord, cluster): average linkage of the consensus distances of cells, cut by inconsistency, small clusters -1."""
     nodes = settled(cells.select(F.col("ord").alias("node"), F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("own")))
-    return relabel(settled(flat_clusters(nodes, pairs, nodes.select(F.col("node").alias("ord"), "node"), inconsistent, min_size)), legacy)
+    return relabel(settled(flat_clusters(nodes, linked(nodes, pairs, inconsistent), nodes.select(F.col("node").alias("ord"), "node"), min_size)), legacy)
 
 
 def consensus(labels: DataFrame, scores: DataFrame, cutoff: float | None = None, percentile: float = 95, inconsistent: float = 0.3, min_size: int = 10, legacy: bool = False) -> DataFrame:
     """(ord, cluster) of every cell of the kept runs: as :func:`consensus_clusters`, between classes of cells that all runs treat alike."""
     runs, many = kept_runs(scores, cutoff, percentile)
     members, classes = consensus_classes(labels, runs, many)
-    return relabel(settled(flat_clusters(classes, class_distances(classes, many), members, inconsistent, min_size)), legacy)
+    return relabel(settled(flat_clusters(classes, linked_classes(classes, many, inconsistent), members, min_size)), legacy)
 
 
 def best_run(labels: DataFrame, scores: DataFrame) -> DataFrame:

@@ -381,12 +381,10 @@ def consensus_distance(labels: DataFrame, scores: DataFrame, cutoff: float | Non
     """(a, b, d) with a < b for pairs of cells in one cluster of some kept run: 1 - share of kept runs that join them.
 
     Pairs that are not listed have distance 1. Noise joins nobody. Kept are runs with a score of at least the
-    cutoff, by default the given percentile of the scores; raises if none is. The pairs are those of classes of cells
-    that all runs treat alike, written out: for small sets. :func:`consensus` needs only the classes.
+    cutoff, by default the given percentile of the scores; raises if none is. There are as many rows as pairs;
+    :func:`consensus` needs none.
     """
-    runs, many = kept_runs(scores, cutoff, percentile)
-    members, classes = consensus_classes(labels, runs, many)
-    return cell_distances(members, classes, class_distances(classes, many))
+    return cell_distances(labels, *kept_runs(scores, cutoff, percentile))
 
 
 def average_linkage(dist: np.ndarray) -> np.ndarray:

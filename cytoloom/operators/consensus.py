@@ -61,13 +61,39 @@ def class_distances(classes: DataFrame, many: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg((1 - F.count("*") / many).alias("d"))
 
 
-def cell_distances(members: DataFrame, classes: DataFrame, between: DataFrame) -> DataFrame:
-    """(a, b, d) with a < b for pairs of cells, from class distances and membership: for small sets."""
-    x, y = members.select(F.col("ord").alias("p"), F.col("node").alias("a")), members.select(F.col("ord").alias("q"), F.col("node").alias("b"))
-    across = between.join(x, "a").join(y, "b").select("p", "q", "d")
-    own = classes.where("own > 0").select(F.col("node").alias("a"), (1 - F.col("own")).alias("d"))
-    inside = x.join(own, "a").join(y, F.col("a") == F.col("b")).where("p < q").select("p", "q", "d")
-    return across.unionByName(inside).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "d")
+def cell_distances(labels: DataFrame, runs: DataFrame, many: int) -> DataFrame:
+    """(a, b, d) with a < b for pairs of cells that some of ``runs`` joins: blocks of cells meet in tasks that give the pairs in
+    bounded batches. There are as many rows as such pairs; they are neither joined nor shuffled."""
+    rows = labels.join(F.broadcast(runs), "run").where("label <> -1")  # a row per run
+    entries = kept(rows.select(F.col("ord").alias("id"), F.xxhash64("run", "label").alias("col"), F.lit(1).cast("long").alias("n")), "entries")
+    left, parallel = entries.count(), 2 * labels.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-left * 16 // (BLOCK_BYTES // 4)), min(parallel, left // MEET))
+    packed = kept(_profiles(entries, entries.select("id").distinct().withColumn("size", F.lit(1).cast("long")), blocks), "profiles")
+    discard(entries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strip = []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own, at = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                if at < 0:
+                    strip = list(_tiles(_opened(batch, row)))
+                    continue
+                for d in _tiles(_opened(batch, row)):
+                    for q in strip:
+                        joint = _joint(q, d)
+                        if own == at:  # each pair once
+                            joint[q[0][:, None] >= d[0]] = 0
+                        i, j = np.nonzero(joint)
+                        x, y = q[0][i], d[0][j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(1 - joint[i, j] / many)], ["a", "b", "d"])
+
+    first = packed.select(F.col("block").alias("q"), F.lit(-1).alias("d"), "ids", "size", "many", "col", "times")
+    right = packed.select(F.col("block").alias("q")).crossJoin(packed.select(F.col("block").alias("d"), "ids", "size", "many", "col", "times"))  # a few dozen blocks
+    # Of two blocks one meets the other: as many others for each.
+    ahead = F.pmod(F.col("d") - F.col("q"), F.lit(blocks))
+    right = right.where((2 * ahead < blocks) | ((2 * ahead == blocks) & (F.col("q") < F.col("d"))))
+    return first.unionByName(right).repartitionById(blocks, F.col("q")).sortWithinPartitions("q", "d").mapInArrow(run, "a long, b long, d double")
 
 
 def _inconsistency(height: Column, first: Column, second: Column) -> Column:

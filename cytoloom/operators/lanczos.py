@@ -4,6 +4,11 @@ The cross-product C = Zr Zq^T of two standardised sets is applied and never form
 Zq y, kept as x and y of panel length; C and its transpose then need Gq y and Gr x, and the same two products give the
 vectors' inner products. Each product is one pass over a set: partial sums z^T (z x) per task, one number per feature to
 the driver. No panel-by-panel matrix and no vector of cells is on the driver.
+
+Coefficients may hold what Z takes to nothing: a constant for centred rows, and more for wide panels. No inner product sees
+it, so orthogonalisation would let it grow from rounding, by the ratio of two elements of the bidiagonal matrix a step, until
+it swamps the rest. So constants are taken off, and both Gram matrices get a ``RIDGE`` on their diagonals, as if each set had
+a very short row more for each feature; the singular values are taken without it.
 """
 
 from __future__ import annotations
@@ -18,6 +23,9 @@ from pyspark.sql import functions as F
 from .cca import projected, standardize_rows
 from .knn import matrix
 
+#: Of the mean eigenvalue of a Gram matrix.
+RIDGE = 1e-10
+
 
 def gram_times(cells: DataFrame, x: np.ndarray, standardize: bool = True) -> np.ndarray:
     """Z^T Z x over all cells in one pass. Rows without variance are left out."""
@@ -41,11 +49,12 @@ def gram_times(cells: DataFrame, x: np.ndarray, standardize: bool = True) -> np.
 
 
 class _Basis:
-    """Vectors Z c of one set, by their coefficients and the Gram matrix times these."""
+    """Vectors Z c of one set, by their coefficients and the Gram matrix (with its ridge) times these."""
 
-    def __init__(self, cells: DataFrame, width: int, standardize: bool):
+    def __init__(self, cells: DataFrame, start: np.ndarray, standardize: bool):
         self.cells, self.standardize = cells, standardize
-        self.c, self.g = np.zeros((width, 0)), np.zeros((width, 0))
+        self.c, self.g = np.zeros((len(start), 0)), np.zeros((len(start), 0))
+        self.ridge = RIDGE * float(start @ gram_times(cells, start, standardize)) / float(start @ start)  # a random start sees the mean
 
     def add(self, c: np.ndarray) -> tuple[float, np.ndarray]:
         """Add the vector with coefficients ``c``, made orthogonal to the others and of length one.
@@ -56,7 +65,8 @@ class _Basis:
         for _ in range(2):  # the second time takes what rounding left
             part = self.g.T @ c
             c, took = c - self.c @ part, took + part
-        g = gram_times(self.cells, c, self.standardize)
+            c = c - c.mean() if self.standardize else c  # centred rows do not see a constant
+        g = gram_times(self.cells, c, self.standardize) + self.ridge * c
         square = float(c @ g)
         whole = float(np.sqrt(max(square, 0.0)))
         if whole > 0:
@@ -81,9 +91,11 @@ def cca_by_lanczos(ref: DataFrame, query: DataFrame, components: int, standardiz
     if first is None or query.first() is None:
         raise ValueError("both sets need cells with variance")
     width = len(first[0])
-    right, left = _Basis(query, width, standardize), _Basis(ref, width, standardize)
-    if right.add(np.random.default_rng(0).normal(size=width))[0] == 0:
+    start = np.random.default_rng(0).normal(size=width)
+    right, left = _Basis(query, start, standardize), _Basis(ref, start, standardize)
+    if not right.ridge or not left.ridge:
         raise ValueError("both sets need cells with variance")
+    right.add(start)
     size = min(components + extra, width)
     b = np.zeros((0, 1))  # left by right: C right = left b
     for _ in range(rounds):
@@ -128,8 +140,12 @@ def cca_by_lanczos(ref: DataFrame, query: DataFrame, components: int, standardiz
         b = np.column_stack([np.diag(s[:more]), np.zeros(more)])
     else:
         raise ValueError(f"not converged after {rounds} restarts")
-    keep = int((s[:keep] > s[0] * 1e-6).sum())
     x, y = left.c @ p[:, :keep], right.c[:, : b.shape[1]] @ q[:keep].T
+    gx, gy = left.g @ p[:, :keep] - left.ridge * x, right.g[:, : b.shape[1]] @ q[:keep].T - right.ridge * y
+    whole = np.sqrt(np.maximum((x * gx).sum(axis=0) * (y * gy).sum(axis=0), 0))  # 1, or 0 for what only the ridge has
+    s = np.where(whole > 0.5, (gx * gy).sum(axis=0) / np.maximum(whole, 0.5), 0)
+    real = s > max(s[0] * 1e-6, 0)
+    x, y, s = x[:, real], y[:, real], s[real]
     head = np.array([first[0]], float)
     sign = np.where(((standardize_rows(head) if standardize else head) @ x)[0] < 0, -1.0, 1.0)
-    return projected(ref, x * sign, standardize), projected(query, y * sign, standardize), s[:keep]
+    return projected(ref, x * sign, standardize), projected(query, y * sign, standardize), s

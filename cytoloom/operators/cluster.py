@@ -7,6 +7,7 @@ refuses more than a stated number of edges.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..sources.scratch import discard, kept, settled
 from .communities import communities
-from .consensus import cell_distances, class_distances, consensus_classes, flat_clusters, kept_runs, linked, linked_classes
+from .consensus import NoRun, cell_distances, class_distances, consensus_classes, flat_clusters, kept_runs, linked, linked_classes
 from .density import list_length, reach_trees
 from .embed import embedded_rows, neighbour_embedding
 from .knn import BLOCK_BYTES, knn, matrix, unit
@@ -487,9 +488,18 @@ def consensus_clusters(cells: DataFrame, pairs: DataFrame, inconsistent: float =
     return relabel(settled(flat_clusters(nodes, linked(nodes, pairs, inconsistent), nodes.select(F.col("node").alias("ord"), "node"), min_size)), legacy)
 
 
-def consensus(labels: DataFrame, scores: DataFrame, cutoff: float | None = None, percentile: float = 95, inconsistent: float = 0.3, min_size: int = 10, legacy: bool = False) -> DataFrame:
-    """(ord, cluster) of every cell of the kept runs: as :func:`consensus_clusters`, between classes of cells that all runs treat alike."""
-    runs, many = kept_runs(scores, cutoff, percentile)
+def consensus(labels: DataFrame, scores: DataFrame, cutoff: float | None = None, percentile: float = 95, inconsistent: float = 0.3, min_size: int = 10, legacy: bool = False, none: str = "raise") -> DataFrame:
+    """(ord, cluster) of every cell of the kept runs: as :func:`consensus_clusters`, between classes of cells that all runs treat alike.
+
+    Where no run reaches the cutoff this raises, or with ``none="noise"`` warns and gives every cell -1: no run joins any.
+    """
+    try:
+        runs, many = kept_runs(scores, cutoff, percentile)
+    except NoRun as e:
+        if none != "noise":
+            raise
+        warnings.warn(f"{e}: no cell is in a cluster", stacklevel=2)
+        return labels.select("ord").distinct().select("ord", F.lit(-1).cast("int").alias("cluster"))
     members, classes = consensus_classes(labels, runs, many)
     return relabel(settled(flat_clusters(classes, linked_classes(classes, many, inconsistent), members, min_size)), legacy)
 

@@ -26,6 +26,10 @@ MEET, COLUMNS = 1000, 2048
 ROUNDS = 10_000
 
 
+class NoRun(ValueError):
+    """No run has the score that a consensus asks for."""
+
+
 def kept_runs(scores: DataFrame, cutoff: float | None = None, percentile: float = 95) -> tuple[DataFrame, int]:
     """Runs with a score of at least the cutoff, by default that percentile of the scores, and their number; raises if none is."""
     if cutoff is None:
@@ -33,7 +37,7 @@ def kept_runs(scores: DataFrame, cutoff: float | None = None, percentile: float
     runs = scores.where(F.col("score") >= F.lit(cutoff)).select("run")
     many = runs.count()
     if not many:
-        raise ValueError("no run reaches the silhouette cutoff")
+        raise NoRun("no run reaches the silhouette cutoff")
     return runs, many
 
 

@@ -60,12 +60,15 @@ def scan(cells: DataFrame, p: Params = Params(), min_sizes: Sequence[int] = rang
 
 
 def cluster_cells(cells: DataFrame, option: int = 1, k: int = 30, markers: list[gates.Gate] | None = None, p: Params = Params(), **grid) -> DataFrame:
-    """(ord, cluster): 1 neighbour graph, 2 scan and consensus, 3 graph refined by density, 4 marker gates, 5 density on all markers."""
+    """(ord, cluster): 1 neighbour graph, 2 scan and consensus, 3 graph refined by density, 4 marker gates, 5 density on all markers.
+
+    Option 2 warns and gives every cell -1 where no run of the scan reaches the cutoff.
+    """
     if option == 1:
         return cluster.graph_clusters(cells, k)
     if option == 2:
         labels, scores = scan(cells, p, **grid)
-        return cluster.consensus(labels, scores, p.query_silhouette_cutoff, inconsistent=p.inconsistent_value, min_size=p.query_min_cluster_size)
+        return cluster.consensus(labels, scores, p.query_silhouette_cutoff, inconsistent=p.inconsistent_value, min_size=p.query_min_cluster_size, none="noise")
     if option == 3:
         return cluster.refined_clusters(cells, cluster.graph_clusters(cells, k))
     if option == 4:

@@ -13,9 +13,9 @@ from ..operators import anchors as A
 from ..operators import clean, cluster, correct, gates, transfer
 from ..operators.cca import cca
 from ..operators.embed import neighbour_embedding
-from ..operators.knn import four_way
+from ..operators.knn import Vectors, four_way
 from ..params import Params
-from ..sources.scratch import settled
+from ..sources.scratch import discard, kept, settled
 
 
 @dataclass
@@ -33,19 +33,24 @@ def map_query(query: DataFrame, ref: DataFrame, latent: DataFrame | None = None,
     size = panel_size or query.select(F.max(F.size("v"))).first()[0]
     ref_emb, query_emb, _ = cca(ref, query, size - 1)
     neighbours = four_way(ref_emb, query_emb, latent if latent is not None else ref, p.k_find_nn)
-    neighbours = settled(neighbours)
+    neighbours = kept(neighbours, "neighbours")
     pairs = A.filtered(A.mutual(neighbours, p.k_find_anchor), ref, query, p.k_filter_anchor)
-    found = settled(correct.numbered(A.scored(neighbours, pairs, p.k_score_anchor)))
+    found = kept(correct.numbered(A.scored(neighbours, pairs, p.k_score_anchor)), "anchors")
     weights = correct.anchor_weights(found, query, p.k_find_weights, p.sd_weight, p.delta, zero)
-    diffs = found.select("anchor_id", "cellr", "cellq").join(correct.differences(found.select("cellr", "cellq"), ref, query), ["cellr", "cellq"])
-    return Mapping(neighbours, found, weights, correct.corrected(query, weights, diffs.select("anchor_id", "dv")))
+    return Mapping(neighbours, found, weights, correct.corrected(query, weights, correct.anchor_differences(found, ref, query)))
+
+
+def mapped_rows(query: DataFrame, ref: DataFrame, latent: DataFrame | None, panel_size: int | None, p: Params) -> DataFrame:
+    """The corrected query without NaN, computed once; what it was made of is deleted."""
+    found = map_query(query, ref, latent, panel_size, p)
+    out = kept(gates.drop_nan(found.corrected), "mapped")
+    discard(found.neighbours, found.anchors)
+    return out
 
 
 def integrate(query: DataFrame, ref: DataFrame, labels: DataFrame, latent: DataFrame | None = None, p: Params = Params(), k: int | None = None) -> DataFrame:
     """(src, label, mean_dist, keep): labels of the reference on every query cell, 'Not Assigned' far from it."""
-    mapped = settled(gates.drop_nan(map_query(query, ref, latent, p=p).corrected))
-    w = settled(transfer.transfer_weights(mapped, ref, k, p.c))
-    return transfer.masked_labels(transfer.transfer_labels(w, labels), transfer.query_mask(w, p.mask_threshold))
+    return transfer.labelled(mapped_rows(query, ref, latent, None, p), ref, labels, k, p.c, p.mask_threshold)
 
 
 def embedded(cells: DataFrame, k: int, p: Params = Params()) -> DataFrame:
@@ -92,7 +97,10 @@ def cluster_reference(cells: DataFrame, option: int = 1, p: Params = Params(), *
 
 @dataclass
 class Result:
-    """The full pipeline's tables; ``kept`` is the corrected query without the masked cells, ``tables`` all others so."""
+    """The full pipeline's tables; ``kept`` is the corrected query without the masked cells, ``tables`` all others so.
+
+    The weights are made anew where they are read.
+    """
 
     corrected: DataFrame
     kept: DataFrame
@@ -128,10 +136,9 @@ def pipeline(query: DataFrame, query_panel: list[str], ref: DataFrame, ref_panel
     panel = gates.common_panel(query_panel, ref_panel)
     q = settled(gates.select_panel(query, query_panel, panel).select("ord", "v"))
     r = settled(gates.select_panel(ref, ref_panel, panel).select("ord", "v"))
-    mapped = settled(gates.drop_nan(map_query(q, r, latent, len(panel), p).corrected))
-    w = settled(transfer.transfer_weights(mapped, r, k, p.c))
-    mask = transfer.query_mask(w, p.mask_threshold)
-    mask = settled(mask)
-    kept = settled(transfer.discard(mapped, mask))
+    mapped, data = mapped_rows(q, r, latent, len(panel), p), Vectors(r)
+    w = transfer.transfer_weights(mapped, data, k, p.c)  # a row per neighbour: only made where it is read
+    mask = settled(transfer.query_mask(transfer.mean_distances(mapped, data, k), p.mask_threshold))
+    inside = settled(transfer.discard(mapped, mask))
     tables = transfer.discard_everywhere({"query": every, "cleaned": query.select("ord", "v"), "panel": q}, mask) | transfer.discard_everywhere({"weights": w}, mask, "src")
-    return Result(mapped, kept, tables, w, mask, cluster_cells(kept, option, p.k_cluster, markers, p), latent if latent is not None else r, p)
+    return Result(mapped, inside, tables, w, mask, cluster_cells(inside, option, p.k_cluster, markers, p), latent if latent is not None else r, p)
